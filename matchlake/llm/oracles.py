@@ -73,3 +73,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN marked USING (rid) LEFT JOIN named USING (rid)
 """
+
+OP7 = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM src),
+weighed AS (SELECT *, [3, 1, 2][r % 3 + 1] AS weight, [0.0, 1.0, -1.0][r % 3 + 1]::DOUBLE / 2 AS a FROM ranked),
+room AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER w, 0)::DOUBLE AS capped, coalesce(sum(weight) OVER w, 0)::DOUBLE AS used
+  FROM weighed WINDOW w AS (ORDER BY source_size::DOUBLE / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lev AS (SELECT *, max((1.5::DOUBLE * total - capped) / (heft - used)) OVER () AS level FROM (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER ()::DOUBLE AS heft FROM room)),
+goal AS (SELECT source, source_size, a, least(2.0::DOUBLE * source_size, level * weight) AS target FROM lev),
+laid AS (
+  SELECT s.*, source_size, a, target, round(target)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN goal g ON g.source IS NOT DISTINCT FROM s.source),
+used AS (SELECT *, greatest(0, least(size, budget - start)) AS u0, greatest(0, least(size, budget - start - source_size)) AS u1,
+         least(1.0::DOUBLE, start / target) AS c0, least(1.0::DOUBLE, (start + source_size) / target) AS c1 FROM laid)
+SELECT doc_id, source, size, source_size, target, (u0 + u1)::BIGINT AS taken,
+       round(CASE WHEN u0 > 0 THEN CASE WHEN a = 0 THEN c0 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c0) - (1 - a)) / (2 * a) END END, 6) + 0.0::DOUBLE AS position,
+       round(CASE WHEN u1 > 0 THEN CASE WHEN a = 0 THEN c1 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c1) - (1 - a)) / (2 * a) END END, 6) + 0.0::DOUBLE AS again
+FROM used
+"""

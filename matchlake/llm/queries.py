@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, oracles, quality, simhash
+from matchlake.llm import decontaminate, oracles, mixing, quality, sharding, simhash
 from matchlake.llm.common import table
 
 
@@ -26,11 +26,20 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.balanced_shards(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("position", "again")})
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_decontamination, op6_sharding, op7_mixing, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op5_decontamination": oracles.OP5}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7}
