@@ -97,3 +97,47 @@ SELECT doc_id, source, size, source_size, target, (u0 + u1)::BIGINT AS taken,
        round(CASE WHEN u1 > 0 THEN CASE WHEN a = 0 THEN c1 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c1) - (1 - a)) / (2 * a) END END, 6) + 0.0::DOUBLE AS again
 FROM used
 """
+
+OP8 = rf"""
+WITH cutted AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+seen AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cutted),
+bad AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS x, string_split(host, '.')[-1] AS suffix,
+         CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain
+  FROM seen LEFT JOIN bad USING (page_id) GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY ALL),
+r AS (SELECT (coalesce(sum(x), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mu FROM s),
+ms AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM s, r WHERE n > 0),
+ss AS (SELECT suffix, (x + mu * m) / (n + m) AS mu FROM s, r, (SELECT coalesce(greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)), 10000) AS m FROM ms)),
+d2 AS (SELECT d.*, mu FROM d JOIN ss USING (suffix)),
+md AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM d2 WHERE n > 0),
+dd AS (SELECT domain, (x + mu * m) / (n + m) AS mu FROM d2, (SELECT coalesce(greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)), 10000) AS m FROM md)),
+h2 AS (SELECT h.*, mu FROM h JOIN dd USING (domain)),
+mh AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM h2 WHERE n > 0),
+hh AS (SELECT host, (x + mu * m) / (n + m) AS mean, n + m AS w FROM h2, (SELECT coalesce(greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)), 10000) AS m FROM mh)),
+fits AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM seen) JOIN (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+       ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS t(verdict, h, p)
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p), LATERAL (SELECT h || p AS rule) GROUP BY host, path)
+SELECT page_id, seen.host, seen.path, rule,
+       coalesce(verdict, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)) > 0.3 THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS mean, round(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)), 6) AS bound
+FROM seen JOIN hh ON hh.host = seen.host LEFT JOIN fits ON fits.host = seen.host AND fits.path = seen.path
+"""
+
+OP4 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
+best AS (SELECT hex, max(page_id) AS best FROM h GROUP BY hex)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM h JOIN best USING (hex)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, oracles, mixing, quality, sharding, simhash
+from matchlake.llm import decontaminate, oracles, mixing, quality, sharding, simhash, urls, warc
 from matchlake.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.new_folder(pages)
+    found = warc.read_archives(warc.write_archives(pages, folder), folder, payload=False)
+    return found.select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to")
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,11 +44,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("position", "again")})
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page's outcome is the quality label under its number
+    outcomes = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return urls.judged(table(spark, sf_dir, "pages"), outcomes).withColumns({c: F.round(c, 6) for c in ("mean", "bound")})
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_decontamination, op6_sharding, op7_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7, "op8_url_filters": oracles.OP8}
