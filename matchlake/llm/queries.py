@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, oracles, mixing, quality, sharding, simhash, urls, warc
+from matchlake.llm import decontaminate, oracles, mixing, pii, quality, secret_scan, sharding, simhash, urls, warc
 from matchlake.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def _joined(spans) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    counts = [_count("spans", k) for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.new_folder(pages)
@@ -50,11 +66,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), outcomes).withColumns({c: F.round(c, 6) for c in ("mean", "bound")})
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["probability"].isNull()))
+    counts = [_count("base", k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op9_pii, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7, "op8_url_filters": oracles.OP8}
