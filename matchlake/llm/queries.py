@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, oracles, mixing, pii, quality, secret_scan, sharding, simhash, urls, warc
+from matchlake.llm import decontaminate, lm, mixing, oracles, pii, quality, secret_scan, sharding, simhash, urls, warc
 from matchlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def _joined(spans) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -77,6 +81,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op9_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scores, op3_secret_scans, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op9_pii, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7, "op8_url_filters": oracles.OP8}
