@@ -81,7 +81,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         at[0].alias("position"),
         at[1].alias("again"),
     )
-    return out.repartitionByRange("position").sortWithinPartitions("position", id_col)
+    return out.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
