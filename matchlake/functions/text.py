@@ -73,7 +73,7 @@ def strip_accolades(c: Column, passes: int = 4) -> Column:
 
 
 def _tokens(c: Column, separator: str) -> Column:
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_chars(c: Column) -> Column:
@@ -89,10 +89,13 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-@F.pandas_udf("string")
-def unicode_slug(names: pd.Series) -> pd.Series:
+def unicode_slug(c: Column) -> Column:
     """slug after compatibility decomposition, so accented letters count as their base. For distinct names: Spark has no such built-in."""
-    return names.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFKD", s).lower() if x.isascii() and x.isalnum()))
+
+    def slugs(names: pd.Series) -> pd.Series:
+        return names.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFKD", s).lower() if x.isascii() and x.isalnum()))
+
+    return F.pandas_udf(slugs, "string")(c)
 
 
 def deleet(c: Column) -> Column:

@@ -17,9 +17,9 @@ def alias_dim(registry: DataFrame, name_col: str = "name") -> DataFrame:
     return rows.groupBy("alias").agg(F.max_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
 
 
-def resolve_exact(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
-    """tokens (token) with id, null where no alias is the token. The alias table is a registry's: hundreds of rows, broadcast by size."""
-    return tokens.join(aliases.select(F.col("alias").alias("_a"), "id"), F.lower("token") == F.col("_a"), "left").drop("_a")
+def resolve_exact(tokens: DataFrame, aliases: DataFrame, out: str = "id") -> DataFrame:
+    """tokens (token) with id (or as out says), null where no alias is the token. The alias table is a registry's: hundreds of rows, broadcast by size."""
+    return tokens.join(aliases.select(F.col("alias").alias("_a"), F.col("id").alias(out)), F.lower("token") == F.col("_a"), "left").drop("_a")
 
 
 def resolve_words(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -92,10 +92,10 @@ def resolve_players(tokens: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     """(tokens with player, display and slug; discovered). tokens: (token, ord, …); registry: (ord, id, name, aliases)."""
     known = alias_dim(registry)
     handles = registry.select(F.col("id").alias("_h"), F.col("name").alias("handle"))
-    exact = resolve_exact(tokens.withColumn("token", F.trim("token")), known).withColumnRenamed("id", "known")
+    exact = resolve_exact(tokens.withColumn("token", F.trim("token")), known, "known")
     names = exact.where("known is null").select("token").distinct()
     # letters beyond ASCII are decomposed once for each distinct name
-    slugs = names.where(~F.col("token").rlike("[^\\x00-\\x7F]")).select("token", X.slug(F.col("token")).alias("slug")).unionByName(names.where(F.col("token").rlike("[^\\x00-\\x7F]")).select("token", X.unicode_slug("token").alias("slug")))
+    slugs = names.where(~F.col("token").rlike("[^\\x00-\\x7F]")).select("token", X.slug(F.col("token")).alias("slug")).unionByName(names.where(F.col("token").rlike("[^\\x00-\\x7F]")).select("token", X.unicode_slug(F.col("token")).alias("slug")))
     slugs = slugs.withColumn("slug", F.coalesce(X.empty_to_null(F.col("slug")), F.lit("player")))
     rest = exact.where("known is null").join(slugs, "token").select(F.col("token").alias("name"), "slug", "ord")
     found = discover(rest, registry.select("id"))

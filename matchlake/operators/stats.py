@@ -6,18 +6,19 @@ allCharacters, allPlayers. Each statistic explodes once and aggregates on the ma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
 
-N = F.count("*").alias("n")
+def _n() -> Column:
+    return F.count("*").alias("n")
 
 
 def character_usage(df: DataFrame, by_era: bool = False) -> DataFrame:
     """Once a record."""
     rows = df.select(X.era_key(F.col("season")).alias("era"), F.explode("allCharacters").alias("character"))
-    return rows.groupBy(*(["era"] if by_era else []), "character").agg(N)
+    return rows.groupBy(*(["era"] if by_era else []), "character").agg(_n())
 
 
 def totals(df: DataFrame) -> DataFrame:
@@ -33,20 +34,20 @@ def teams(df: DataFrame) -> DataFrame:
 
 
 def fuse_usage(df: DataFrame, by_era: bool = False) -> DataFrame:
-    return teams(df).where("fuse is not null").groupBy(*(["era"] if by_era else []), "fuse").agg(N)
+    return teams(df).where("fuse is not null").groupBy(*(["era"] if by_era else []), "fuse").agg(_n())
 
 
 def pair_usage(df: DataFrame) -> DataFrame:
-    return teams(df).where("pair is not null").groupBy("pair").agg(N)
+    return teams(df).where("pair is not null").groupBy("pair").agg(_n())
 
 
 def player_characters(df: DataFrame) -> DataFrame:
     rows = teams(df).select(F.explode("players.id").alias("player"), "characters").select("player", F.explode("characters").alias("character"))
-    return rows.groupBy("player", "character").agg(N)
+    return rows.groupBy("player", "character").agg(_n())
 
 
 def player_pairs(df: DataFrame) -> DataFrame:
-    return teams(df).where("pair is not null").select(F.explode("players.id").alias("player"), "pair").groupBy("player", "pair").agg(N)
+    return teams(df).where("pair is not null").select(F.explode("players.id").alias("player"), "pair").groupBy("player", "pair").agg(_n())
 
 
 def matchups(df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def matchups(df: DataFrame) -> DataFrame:
     a, b = (X.pair_key(F.get("teams", F.lit(k))["characters"]) for k in (0, 1))
     rows = df.where(F.size("teams") == 2).select(a.alias("a"), b.alias("b")).where("a is not null and b is not null")
     both = rows.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("m"))
-    return both.groupBy("m.a", "m.b").agg(N)
+    return both.groupBy("m.a", "m.b").agg(_n())
 
 
 def fuse_share(df: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def top_characters(df: DataFrame, n: int) -> DataFrame:
 
 
 def entity_counts(df: DataFrame) -> DataFrame:
-    return df.select(F.explode("allPlayers").alias("player")).groupBy("player").agg(N)
+    return df.select(F.explode("allPlayers").alias("player")).groupBy("player").agg(_n())
 
 
 def fill_rates(df: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def fill_rates(df: DataFrame) -> DataFrame:
 
 
 def confidence_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("parseConfidence").agg(N)
+    return df.groupBy("parseConfidence").agg(_n())
 
 
 def metadata_coverage(raw: DataFrame, aliases: list[str]) -> DataFrame:
@@ -128,7 +129,7 @@ def coverage(df: DataFrame, floor: float = 0.95) -> DataFrame:
 
 def spread(df: DataFrame, rows: str = "era", columns: str = "channel") -> DataFrame:
     """Counts by row and column with totals ('all')."""
-    return df.cube(rows, columns).agg(N, F.grouping_id().alias("g")).select(F.when(F.col("g").bitwiseAND(2) > 0, "all").otherwise(F.col(rows)).alias(rows), F.when(F.col("g").bitwiseAND(1) > 0, "all").otherwise(F.col(columns)).alias(columns), "n")
+    return df.cube(rows, columns).agg(_n(), F.grouping_id().alias("g")).select(F.when(F.col("g").bitwiseAND(2) > 0, "all").otherwise(F.col(rows)).alias(rows), F.when(F.col("g").bitwiseAND(1) > 0, "all").otherwise(F.col(columns)).alias(columns), "n")
 
 
 def contract_stats(df: DataFrame, characters: DataFrame, players: DataFrame) -> DataFrame:

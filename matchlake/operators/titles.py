@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
 from matchlake.operators import periods, resolve
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed here, once: behind a generator of one row the optimizer does not copy their expressions into each use."""
+    made = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return made.withColumns({n: F.col(f"_once.{n}") for n in columns}).drop("_once")
+
+
 def parse_titles(raw: DataFrame, brand: str) -> DataFrame:
     """raw with fail_stage (team-split, team-extract or null) and segs: array of (players, characters), raw, left first."""
-    core = F.trim(X.strip_suffix(X.strip_prefix(X.norm_ws(F.col("title")), brand)))
-    split = raw.withColumn("_s", X.split_teams(core)).withColumn("_l", X.extract_team(F.col("_s.left"))).withColumn("_r", X.extract_team(F.col("_s.right")))
+    one = settled(raw, _core=F.trim(X.strip_suffix(X.strip_prefix(X.norm_ws(F.col("title")), brand))))
+    two = settled(one, _s=X.split_teams(F.col("_core")))
+    three = settled(two, _l=X.extract_team(F.col("_s.left")), _r=X.extract_team(F.col("_s.right")))
     fail = F.when(F.col("_s").isNull(), "team-split").when(F.col("_l").isNull() | F.col("_r").isNull(), "team-extract")
-    return split.withColumn("fail_stage", fail).withColumn("segs", F.when(fail.isNull(), F.array("_l", "_r"))).drop("_s", "_l", "_r")
+    return settled(three, fail_stage=fail, segs=F.when(fail.isNull(), F.array("_l", "_r"))).drop("_core", "_s", "_l", "_r")
 
 
 def tokens(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(characters, players): (id, side, pos, token, ord) of each token; ord follows the rows' own ord, then place."""
     teams = parsed.where("fail_stage is null").select("id", "ord", F.posexplode("segs").alias("side", "s"))
     made = []
-    for column in (X.split_chars(F.col("s.characters")), X.split_players(X.strip_accolades(F.col("s.players")))):
+    teams = settled(teams, _players=X.strip_accolades(F.col("s.players")))
+    for column in (X.split_chars(F.col("s.characters")), X.split_players(F.col("_players"))):
         rows = teams.select("id", "side", "ord", F.posexplode(column).alias("pos", "token"))
         made.append(rows.withColumn("ord", F.struct("ord", "side", "pos")))
     return made[0], made[1]
@@ -58,23 +66,25 @@ def build_records(raw: DataFrame, characters: DataFrame, players: DataFrame, fus
         reasons.alias("reasons"),
     )
     both = team.select("id", made.alias("t")).groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    out = parsed.drop("segs").join(both, "id", "left").withColumn("ts", F.coalesce("ts", F.expr("filter(array(ts), x -> false)[0]")))
-    rounds = X.round_tags(F.col("title"))
+    out = parsed.drop("segs").join(both, "id", "left")
+    out = settled(out, rounds=X.round_tags(F.col("title")))
+    rounds = F.col("rounds")
     some = F.col("fail_stage").isNull()
     empty = F.array().cast("array<string>")
     first, second = F.get("ts", F.lit(0)), F.get("ts", F.lit(1))
     mirror = F.when(some & X.same_pair(first["characters"], second["characters"]), F.array(F.lit("mirror"))).otherwise(empty)
     most = F.when(some, F.greatest(F.size(first["players"]), F.size(second["players"]))).otherwise(0)
     teams = F.when(some, F.transform("ts", lambda t: F.struct(t["name"].alias("side"), t["players"].alias("players"), t["characters"].alias("characters"), t["fuse"].alias("fuse"))))
-    out = out.withColumns(
-        {
+    out = settled(
+        out,
+        **{
             "teams": F.coalesce(teams, F.array().cast("array<struct<side:string,players:array<struct<id:string,displayName:string>>,characters:array<string>,fuse:string>>")),
             "tags": F.array_sort(F.array_distinct(F.concat(rounds, mirror, F.when(some, F.flatten(F.transform("ts", lambda t: t["notes"]))).otherwise(empty)))),
             "matchType": X.match_type(most, rounds),
             "reasons": F.when(some, F.flatten(F.transform("ts", lambda t: t["reasons"]))).otherwise(F.array(F.concat(F.lit("structural failure ("), F.col("fail_stage"), F.lit(")")))),
             "labeled": X.labeled_season(F.col("description")),
             "patch": X.patch_label(F.col("description")),
-        }
+        },
     )
     out = out.withColumns(
         {
@@ -84,7 +94,7 @@ def build_records(raw: DataFrame, characters: DataFrame, players: DataFrame, fus
             "rawUnparsed": F.when(~some, F.col("title")),
             "fusesUnordered": F.lit(False),
         }
-    ).drop("ts", "fail_stage")
+    ).drop("ts", "fail_stage", "rounds")
     windows = periods.patch_windows(patches, seasons)
     return periods.with_patch(periods.with_grace(out, seasons), windows), discovered
 
