@@ -112,13 +112,13 @@ d AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY ALL),
 r AS (SELECT (coalesce(sum(x), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mu FROM s),
 ms AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM s, r WHERE n > 0),
-ss AS (SELECT suffix, (x + mu * m) / (n + m) AS mu FROM s, r, (SELECT coalesce(greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)), 10000) AS m FROM ms)),
+ss AS (SELECT suffix, (x + mu * m) / (n + m) AS mu FROM s, r, (SELECT CASE WHEN spread IS NULL THEN 2 ELSE greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)) END AS m FROM ms)),
 d2 AS (SELECT d.*, mu FROM d JOIN ss USING (suffix)),
 md AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM d2 WHERE n > 0),
-dd AS (SELECT domain, (x + mu * m) / (n + m) AS mu FROM d2, (SELECT coalesce(greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)), 10000) AS m FROM md)),
+dd AS (SELECT domain, (x + mu * m) / (n + m) AS mu FROM d2, (SELECT CASE WHEN spread IS NULL THEN 2 ELSE greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)) END AS m FROM md)),
 h2 AS (SELECT h.*, mu FROM h JOIN dd USING (domain)),
 mh AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM h2 WHERE n > 0),
-hh AS (SELECT host, (x + mu * m) / (n + m) AS mean, n + m AS w FROM h2, (SELECT coalesce(greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)), 10000) AS m FROM mh)),
+hh AS (SELECT host, (x + mu * m) / (n + m) AS mean, n + m AS w FROM h2, (SELECT CASE WHEN spread IS NULL THEN 2 ELSE greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)) END AS m FROM mh)),
 fits AS (
   SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM (SELECT DISTINCT host, path FROM seen) JOIN (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),

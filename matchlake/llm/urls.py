@@ -22,7 +22,7 @@ from matchlake.llm.common import cut, lower_ascii
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Share of bad pages that a host's lower posterior bound must not exceed; the bound's normal quantile.
 LIMIT, Z = 0.3, 1.645
-#: The whole corpus' prior: so many pages, half of them bad; and the least and largest strength of any prior.
+#: The whole corpus' prior, and any without labels: so many pages, half of them bad; and the least and largest strength of other priors.
 ROOT, STRENGTHS = 2.0, (1.0, 10_000.0)
 
 
@@ -59,7 +59,9 @@ def strength(units: DataFrame, mean: str) -> float:
         )
         .first()
     )
-    if spread is None or (between := spread - noise * share) <= 0:
+    if spread is None:
+        return ROOT
+    if (between := spread - noise * share) <= 0:
         return STRENGTHS[1]
     return max(STRENGTHS[0], min(STRENGTHS[1], (noise - spread) / between))
 
