@@ -86,9 +86,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs in training order: each as often as the mix uses it, range-sorted by position; those that it doesn't use go."""
-    plan = mixed(docs, id_col, text_col, source_col, **how).where("taken > 0")
-    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size")).agg(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array("position", "again"))))).alias("_at"), F.count("*").alias("_n"))
+    plan = mixed(docs, id_col, text_col, source_col, **how)
+    uses = F.array_compact(F.array("position", "again"))
+    # equal keys are repeated rows: each of them gets the uses of one
+    plan = plan.groupBy(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size").alias("_key")).agg(F.array_sort(F.collect_list(uses)).alias("_uses"))
     size = F.size(words(F.col(text_col))).cast("bigint")
-    rows = docs.withColumn("_words", size)
-    same = rows[id_col].eqNullSafe(plan["_id"]) & rows[source_col].eqNullSafe(plan["_source"]) & (rows["_words"] == plan["_size"])
-    return rows.join(plan, same).select(*(rows[c] for c in docs.columns), F.explode("_at").alias("_position")).repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
+    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(text_col))
+    used = rows.join(plan.where(F.exists("_uses", lambda u: F.size(u) > 0)), "_key").withColumn("_own", F.when(F.size("_uses") == 1, F.get("_uses", F.lit(0))).otherwise(F.get("_uses", nth - 1)))
+    return used.select(*docs.columns, F.explode("_own").alias("_position")).repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")

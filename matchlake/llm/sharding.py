@@ -1,8 +1,9 @@
 """Balanced shards by label propagation under capacity quotas.
 
 Documents that share a link (a hub, here the hash of the text) belong together. They start in hashed shards; in each round
-a hub's documents move to the shard that holds most of them, as far as that shard's quota allows. Unlinked documents fill
-the shards up, and what exceeds a quota at the end moves to where there is room, so that counts differ by one at most.
+a hub's documents move to the shard that holds most of them (those of a hub beyond a shard's share, to as many as it
+fills), as far as that shard's quota allows. Unlinked documents fill the shards up, and what exceeds a quota at the end
+moves to where there is room, unlinked ones first, then those of big hubs, so that counts differ by one at most.
 
 Tallies are by (hub, shard), so a hub costs as many rows as there are shards. Hubs with over n / 1024 documents, of which
 there are fewer than 1024, are joined by broadcast; all others have few rows a key. Places within shards come from counts
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from matchlake.llm.common import cut
 
 ROUNDS = 3
-#: Hubs with more than this share of the documents are joined by broadcast and moved document by document.
+#: Hubs with more than this share of the documents are joined by broadcast.
 HOT = 1024
+#: Hubs with more than this share of a shard move document by document, and give way to smaller ones.
+BIG = 8
 #: Pieces that a shard's documents are numbered in.
 PIECES = 2048
 
@@ -58,24 +61,29 @@ def with_hub(rows: DataFrame, hubs: DataFrame, n: int, *columns: str) -> DataFra
 def propagated(linked: DataFrame, n: int, quota: dict[int, int], rounds: int) -> DataFrame:
     """linked (…, hub, place, shard) with the shards after so many rounds."""
     shards = len(quota)
-    for k in range(rounds):
+    for k in range(0 if linked.isEmpty() else rounds):
         tally = linked.groupBy("hub", "shard").agg(F.count("*").alias("here"))
-        wanted = tally.groupBy("hub").agg(F.max_by("shard", F.struct("here", -F.col("shard"))).alias("wish"), F.sum("here").alias("members"))
-        voted = with_hub(linked, wanted, n, "wish", "members")
+        ranked = F.sort_array(F.collect_list(F.struct("here", (-F.col("shard")).alias("shard"))), asc=False)  # a shard each at most
+        wanted = tally.groupBy("hub").agg(F.sum("here").alias("members"), ranked.alias("tops"))
+        # a hub beyond one shard's share aims at as many as it fills, its largest ones
+        wanted = wanted.withColumn("tops", F.transform(F.slice("tops", F.lit(1), F.ceil(F.col("members") * shards / max(1, sum(quota.values()))).cast("int")), lambda t: -t["shard"]))
+        voted = with_hub(linked, wanted, n, "tops", "members")
+        spread = F.get("tops", F.pmod(F.xxhash64("place", F.lit(3)), F.size("tops")).cast("int"))
+        voted = voted.withColumn("wish", F.when(F.array_contains("tops", F.col("shard")), F.col("shard")).otherwise(spread))
         moving = F.col("wish") != F.col("shard")
         held = per_shard(linked, shards)
         asked = dict.fromkeys(range(shards), 0) | {r[0]: r[1] for r in voted.where(moving).groupBy("wish").count().collect()}
         room = {s: min(1.0, max(0, quota[s] - held[s]) / max(1, asked[s])) for s in range(shards)}
-        # whole hubs move, but for those that exceed any shard's room
-        draw = F.when(F.col("members") > n / HOT, chance("place", F.lit(k))).otherwise(chance("hub", F.lit(k)))
+        # whole hubs move, but for big ones
+        draw = F.when(F.col("members") > n / (BIG * shards), chance("place", F.lit(k))).otherwise(chance("hub", F.lit(k)))
         shard = F.when(moving & (draw < lookup(room, F.col("wish"))), F.col("wish")).otherwise(F.col("shard"))
         linked = cut(voted.withColumn("shard", shard).select(*linked.columns))
     return linked
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with slot: their place within their shard, linked ones first."""
-    rows = rows.withColumn("piece", F.when(F.col("linked"), 0).otherwise(PIECES) + F.pmod(F.xxhash64("place", F.lit(2)), F.lit(PIECES)))
+    """rows with slot: their place within their shard, by kind (small hubs', big hubs', unlinked)."""
+    rows = rows.withColumn("piece", F.col("kind") * PIECES + F.pmod(F.xxhash64("place", F.lit(2)), F.lit(PIECES)))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = rows.groupBy("shard", "piece").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy("shard", "piece").orderBy("place")
@@ -106,7 +114,10 @@ def balanced_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     n = rows.count()
     quota = {s: n // shards + (s < n % shards) for s in range(shards)}
     shared = rows.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
-    rows = cut(with_hub(rows, shared, n, "members").withColumn("linked", F.col("members").isNotNull()).drop("members"))
-    linked = propagated(rows.where("linked"), n, quota, rounds)
-    placed = cut(numbered(linked.unionByName(rows.where("not linked"))))
+    kind = F.when(F.col("members").isNull(), 2).when(F.col("members") > n / (BIG * shards), 1).otherwise(0)
+    rows = cut(with_hub(rows, shared, n, "members").withColumn("kind", kind).drop("members"))
+    small = propagated(rows.where("kind = 0"), n, quota, rounds)
+    taken = per_shard(small, shards)
+    big = propagated(rows.where("kind = 1"), n, {s: max(0, quota[s] - taken[s]) for s in quota}, rounds)
+    placed = cut(numbered(small.unionByName(big).unionByName(rows.where("kind = 2"))))
     return filled(placed, quota).select(id_col, "size", "text_crc32", "shard", "slot")
