@@ -133,25 +133,26 @@ def spread(df: DataFrame, rows: str = "era", columns: str = "channel") -> DataFr
 
 
 def contract_stats(df: DataFrame, characters: DataFrame, players: DataFrame) -> DataFrame:
-    """(name, k1, k2, n): all statistics in one long table, as a sink takes them."""
+    """(name, k1, k2, n): all statistics in one long table, as a sink takes them. A record names all counters that it raises, so one scan and one shuffle do."""
+    kind = "struct<name:string,k1:string,k2:string>"
+    key = lambda name, k1=None, k2=None: F.struct(F.lit(name).alias("name"), *((F.lit(None) if k is None else k).cast("string").alias(n) for n, k in (("k1", k1), ("k2", k2)))).cast(kind)
+    some = lambda cond, *keys: F.when(cond, F.array(*keys)).otherwise(F.array().cast(f"array<{kind}>"))
+    era = X.era_key(F.col("season"))
+    fused = lambda t: t["fuse"].isNotNull()
+    each = lambda made: F.flatten(F.transform("teams", made))
+    raised = F.concat(
+        F.array(key("totals.replays"), key("totals.byPatch", era)),
+        some(F.exists("teams", fused), key("totals.withFuse")),
+        F.transform("allCharacters", lambda c: key("characterUsage", c)),
+        F.transform("allCharacters", lambda c: key("byPatchUsage", era, c)),
+        each(lambda t: some(F.size(t["characters"]) == 2, key("pairingUsage", X.pair_key(t["characters"])))),
+        each(lambda t: some(fused(t), key("fuseUsage", t["fuse"]), key("fuseByPatch", era, t["fuse"]))),
+    )
+    counted = df.select(F.explode(raised).alias("k")).groupBy("k.name", "k.k1", "k.k2").agg(_n())
     none = F.lit(None).cast("string")
-    total = totals(df)
-    parts = [
-        total.where("era is null").select(F.lit("totals.replays").alias("name"), none.alias("k1"), none.alias("k2"), F.col("records").alias("n")),
-        total.where("era is null").select(F.lit("totals.withFuse"), none, none, F.col("with_fuse")),
-        total.where("era is not null").select(F.lit("totals.byPatch"), F.col("era"), none, F.col("records")),
-        characters.agg(F.count("*")).select(F.lit("totals.characters"), none, none, F.col("count(1)")),
-        players.agg(F.count("*")).select(F.lit("totals.players"), none, none, F.col("count(1)")),
-        character_usage(df).select(F.lit("characterUsage"), F.col("character"), none, "n"),
-        character_usage(df, True).select(F.lit("byPatchUsage"), "era", "character", "n"),
-        pair_usage(df).select(F.lit("pairingUsage"), "pair", none, "n"),
-        fuse_usage(df).select(F.lit("fuseUsage"), "fuse", none, "n"),
-        fuse_usage(df, True).select(F.lit("fuseByPatch"), "era", "fuse", "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    for name, rows in (("totals.characters", characters), ("totals.players", players)):
+        counted = counted.union(rows.agg(_n()).select(F.lit(name), none, none, "n"))
+    return counted
 
 
 def sample(df: DataFrame, n: int, by: str) -> DataFrame:
