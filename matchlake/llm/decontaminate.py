@@ -89,9 +89,9 @@ def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """docs' columns and `found`: n_words, n_hit, the ids (as strings, sorted) of items that occur, and the spans hit."""
-    spark = docs.sparkSession
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, out: str = "found") -> DataFrame:
+    """docs' columns and `found` (or as out says; such a column of docs is replaced): n_words, n_hit, the ids (as strings, sorted) of items that occur, and the spans hit."""
+    spark, docs = docs.sparkSession, docs.drop(out)
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.encode(item_text, "UTF-8").alias("text")).where("text is not null")
     n_bytes = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n_blocks = n_bytes // BLOCK_BYTES + 1
@@ -99,7 +99,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for k in range(n_blocks):  # a block's items have about BLOCK_BYTES, whatever the benchmark's size
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
         blocks.append(spark.sparkContext.broadcast([tuple(r) for r in own.collect()]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("found", T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]))])
     held: dict = {}
 
     def automata() -> Iterator:
@@ -123,11 +123,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 hit, ids = hits(w, list(automata()))
                 n = int(hit.sum())
                 rows.append({"n_words": len(w), "n_hit": n, "items": sorted(x for x in ids if x is not None), "spans": [{"start": s, "end": e} for s, e in spans(text, hit)] if n else []})
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, type=kind)], names=[*b.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, type=kind)], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those that hold a window of the benchmark."""
-    return contamination(docs, benchmark, **how).where("found.n_hit = 0").drop("found")
+    out = "found"
+    while out in docs.columns:
+        out = f"_{out}"
+    return contamination(docs, benchmark, out=out, **how).where(F.col(out)["n_hit"] == 0).drop(out)

@@ -85,7 +85,8 @@ def test_contamination_by_hand(spark, monkeypatch):
     items = [(1, long), (2, "short Item"), (30, "Élan vital"), (4, None), (5, "--"), (6, long), (None, "nameless one here")]
     texts = [None, "", "...", long.upper(), "a " + " ".join(long.split()[3:15]) + " b", "a short, item! b SHORT item", "ÉLAN vital élan-VITAL", " ".join(long.split()[:9]), "nameless one here", "x " * 20_000 + "short item", "shortitem short itemx"]
     bench = spark.createDataFrame(items, "item_id int, text string")
-    docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id int, text string, n_hit string")
+    docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id int, text string, found string")
+    assert decontaminate.clean(docs, bench).columns == docs.columns
     for block in (32 << 20, 40):  # one automaton, and several
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         for r in decontaminate.contamination(docs, bench).collect():
