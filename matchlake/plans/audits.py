@@ -93,7 +93,7 @@ def hash_near_pairs(spark, sf):
 
 _HANDLES = """, base AS (SELECT DISTINCT p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a FROM part),
 hd AS (
-  SELECT p_name || '~0' AS id, a AS handle, true AS featured FROM base UNION ALL SELECT p_name || '~1', 'RIOT ' || replace(a, ' ', ''), false FROM base
+  SELECT p_name || '~0' AS id, a AS handle, true AS featured FROM base UNION ALL SELECT p_name || '~1', 'TEAM ' || replace(a, ' ', ''), false FROM base
   UNION ALL SELECT p_name || '~2', replace(replace(lower(a), 'e', '3'), ' ', ''), false FROM base UNION ALL SELECT p_name || '~3', replace(a, ' ', '') || '22', false FROM base
   UNION ALL SELECT p_name || '~4', substr(replace(a, ' ', ''), 1, 2) || substr(replace(a, ' ', ''), 4), false FROM base
   UNION ALL SELECT p_name || '~5', a[1] || '. ' || regexp_extract(a, ' (\\S+)$', 1), false FROM base),

@@ -147,7 +147,7 @@ def handles(spark: SparkSession, sf: str) -> DataFrame:
     a = F.initcap("p_name")
     kinds = F.array(
         F.struct(F.lit("0").alias("k"), a.alias("handle")),
-        F.struct(F.lit("1").alias("k"), F.concat(F.lit("RIOT "), F.regexp_replace(a, " ", "")).alias("handle")),
+        F.struct(F.lit("1").alias("k"), F.concat(F.lit("TEAM "), F.regexp_replace(a, " ", "")).alias("handle")),
         F.struct(F.lit("2").alias("k"), F.regexp_replace(F.regexp_replace(F.lower(a), "e", "3"), " ", "").alias("handle")),
         F.struct(F.lit("3").alias("k"), F.concat(F.regexp_replace(a, " ", ""), F.lit("22")).alias("handle")),
         F.struct(F.lit("4").alias("k"), F.concat(F.substring(F.regexp_replace(a, " ", ""), 1, 2), F.substr(F.regexp_replace(a, " ", ""), F.lit(4))).alias("handle")),
