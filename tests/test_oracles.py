@@ -25,6 +25,8 @@ def duck():
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return "-"
+    if isinstance(v, bool) or getattr(getattr(v, "dtype", None), "kind", "") == "b":
+        return str(bool(v))
     return repr(round(float(v), 9)) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
 
 
