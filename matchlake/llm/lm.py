@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from matchlake.llm.common import cut, shuffle_width
 from matchlake.llm.elias_fano import NgramTrie
 
-ORDER = 2
+ORDER = 3
 #: m for contexts of one word, and for longer ones: so much, and so many times the context's count. Chosen on held-out texts.
 MASS = ((5.0, 2.0), (2.0, 1.0))
 #: Documents of these remainders of crc32(id as text) are held out.

@@ -97,3 +97,10 @@ def test_trie():
         wanted = np.isin(((c + np.uint64(dc)) << np.uint64(32)) | (w + np.uint64(dw)), k)
         assert (found == wanted).all()
         assert (k[at[found]] == (((c + np.uint64(dc)) << np.uint64(32)) | (w + np.uint64(dw)))[found]).all()
+
+
+def test_the_default_takes_contexts_of_two_words(spark):
+    rows = [(k, f"a{k % 2} b c{k % 2}") for k in range(60)]
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, _, n, _, _, _, score in brute(rows, 3):
+        assert got[i] == pytest.approx(score, abs=3 * n * lm.STEP)
