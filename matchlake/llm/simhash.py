@@ -169,7 +169,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without near-duplicates: of each component the row whose id names it stays; of repeated rows with that id, one."""
-    found = near_duplicates(docs, id_col, text_col, **how)
+    return keep_named(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that name their component in found (id, component_id), one for an id, and those without an id."""
     chosen = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     alone = docs.where(F.col(id_col).isNull())  # rows without an id name no component
     kept = docs.join(chosen, id_col, "left_semi")
