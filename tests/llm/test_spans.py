@@ -145,3 +145,19 @@ def test_false_and_damaged_members(tmp_path):
         whole = [(at, warc.parsed(raw, True)["record_id"]) for at, raw in warc.records(f, 0, n)]
         parts = [(at, warc.parsed(raw, True)["record_id"]) for k in range(0, n, 50) for at, raw in warc.records(f, k, k + 50)]
     assert whole == parts and [i for _, i in whole] == ["1", "1"]
+
+
+def test_unlabelled_credentials_of_the_least_length_are_scored(spark):
+    import random
+
+    r = random.Random(3)
+    code = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("aeiou") if k % 2 else r.choice("bdlmnrst") for k in range(r.randrange(10, 20)))
+    rows = [(k, f"{word()} {word()} token = {code(14)} {word()}") for k in range(400)] + [(1000 + k, f"{word()} {code(14)} {word()}") for k in range(20)]
+    rows.append((2000, f"token = {code(600)}"))
+    rows += [(3000 + k, ".".join(str(r.randrange(100, 250)) for _ in range(4))) for k in range(60)]
+    out = secret_scan.secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    added = {x.doc_id: [s.value for s in x.spans if s.kind == "format"] for x in out}
+    assert sum(t.split()[1] in added[i] for i, t in rows if 1000 <= i < 2000) >= 18
+    assert sum(map(len, added.values())) <= 25
+    assert not any(added[3000 + k] for k in range(60))
