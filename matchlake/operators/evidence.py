@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import pixels as P
 from matchlake.functions import text as X
+from matchlake.operators.numbering import numbered
 
 #: The gates and bars of the vote.
 NEGATIVE = "__hbar"
@@ -152,8 +153,8 @@ def order_gaps(gaps: DataFrame) -> DataFrame:
 
 def review_rows(gaps: DataFrame) -> DataFrame:
     """(id, row): numbers of reviewable gaps in order."""
-    w = Window.orderBy(era_rank(F.col("era")), "publishedAt", "id")
-    return gaps.where(F.col("bucket").isin("low", "none")).select("id", F.row_number().over(w).alias("row"))
+    open_ = gaps.where(F.col("bucket").isin("low", "none")).select(era_rank(F.col("era")).alias("_era"), "publishedAt", "id")
+    return numbered(open_, "_era", "publishedAt", "id").select("id", (F.col("_n") + 1).cast("int").alias("row"))
 
 
 def filter_gaps(gaps: DataFrame, bucket: str = "all", era: str = "all") -> DataFrame:

@@ -5,10 +5,11 @@ Order is explicit: aliases carry their registry ordinal, tokens their record, si
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
+from matchlake.operators.numbering import numbered_within
 
 
 def alias_dim(registry: DataFrame, name_col: str = "name") -> DataFrame:
@@ -69,12 +70,15 @@ def mint_ids(slugs: DataFrame, taken: DataFrame) -> DataFrame:
 
 def mint_names(names: DataFrame, taken: DataFrame) -> DataFrame:
     """(name, slug, id) of hand-written names (name, slug, ord) without an entry: names of one slug take successive free ids in order."""
-    used = taken.select(F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 1).alias("slug"), F.col("id").alias("_id"))
-    held = names.select("slug").distinct().join(used, "slug", "left").groupBy("slug").agg(F.collect_set("_id").alias("ids"))
-    nth = names.withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy("ord")))
-    most = nth.withColumn("most", F.max("k").over(Window.partitionBy("slug"))).join(held, "slug")
-    forms = F.transform(F.sequence(F.lit(1), F.size("ids") + F.col("most") + 1), lambda n: F.when(n == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), n)))
-    return most.select("name", "slug", F.get(F.array_except(forms, F.col("ids")), F.col("k") - 1).alias("id"))
+    nth = numbered_within(names.where("slug is not null").select("name", "slug", "ord"), "slug", "ord", "name")
+    suffix = F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 2)
+    used = taken.select(F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 1).alias("slug"), F.when(suffix == "", 1).when(suffix.rlike("^([2-9]|[1-9][0-9]{1,17})$"), suffix.cast("bigint")).cast("bigint").alias("t"))
+    used = used.where("t is not null").distinct().join(names.select("slug").distinct(), "slug", "left_semi")
+    # below the j-th taken number t lie t - j free ones: it moves up all names after so many, so that places among both are the numbers
+    moves = numbered_within(used, "slug", "t").select("slug", (F.col("t") - F.col("_k")).alias("v"), F.lit(1).alias("move"), F.col("t").alias("tie"), F.lit(None).cast("string").alias("name"))
+    both = nth.select("slug", F.col("_k").alias("v"), F.lit(0).alias("move"), F.lit(0).cast("bigint").alias("tie"), F.col("name").cast("string").alias("name")).unionByName(moves)
+    placed = numbered_within(both, "slug", "v", "move", "tie").where("move = 0")
+    return placed.select("name", "slug", F.when(F.col("_k") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), F.col("_k"))).alias("id"))
 
 
 def discover(names: DataFrame, registry_ids: DataFrame) -> DataFrame:
