@@ -5,6 +5,9 @@ a beta-binomial prior: the prior's mean is the posterior mean above, its strengt
 that level differ (method of moments). A host is blocked if the lower posterior bound of its share of bad pages exceeds a
 limit, so hosts with little evidence are judged by their domain and suffix, and none is blocked on thin evidence.
 
+For reputation the port is dropped; the suffix is the longest one of the suffix table that the host ends with, else its last
+label; the registered domain has one label more; addresses are domains and suffixes of their own.
+
 Cases: a null url, or one without ://, has empty host and path, fits no rule and is judged as a host of its own; hosts
 without labels have their domain's or suffix's prior; pages with several outcomes count once, as bad if any is; without
 any labels nothing but the rules blocks; repeated rows each get a row; an empty table gives an empty result. Other
@@ -20,6 +23,8 @@ from matchlake.llm.common import cut, lower_ascii
 
 #: (verdict, host, path): each holds for its host and all subdomains, for paths that start with its path; the longest wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Public suffixes of several labels; others are a host's last label.
+SUFFIXES = tuple(f"{k}.{c}" for c, kinds in {"uk": "ac co gov ltd me net nhs org plc sch", "au": "com edu gov id net org", "nz": "ac co govt net org", "za": "ac co gov org", "jp": "ac co ed go ne or", "kr": "ac co go or", "in": "ac co gov net org", "br": "com edu gov net org", "mx": "com edu gob org", "ar": "com edu gob org", "cn": "ac com edu gov net org", "tw": "com edu gov org", "tr": "com edu gov org", "il": "ac co gov org"}.items() for k in kinds.split())
 #: Share of bad pages that a host's lower posterior bound must not exceed; the bound's normal quantile.
 LIMIT, Z = 0.3, 1.645
 #: The whole corpus' prior, and any without labels: so many pages, half of them bad; and the least and largest strength of other priors.
@@ -72,10 +77,20 @@ def shrunk(units: DataFrame, mean: str) -> DataFrame:
     return units.withColumn("weight", F.col("n") + m).withColumn("post", (F.col("x") + F.col(mean) * m) / F.col("weight"))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
-    """hosts (host, n, x) with domain, suffix, the posterior mean and its lower bound."""
+def without_port(host: Column) -> Column:
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def reputation(hosts: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
+    """hosts (host, without a port; n, x) with domain, suffix, the posterior mean and its lower bound. suffixes: those of several labels."""
+    host = F.col("host")
     part = F.split("host", r"\.")
-    named = hosts.withColumn("suffix", F.element_at(part, -1)).withColumn("domain", F.when(F.size(part) > 1, F.concat_ws(".", F.element_at(part, F.when(F.size(part) > 1, -2).otherwise(-1)), "suffix")).otherwise(F.col("host")))
+    tails = F.transform(F.sequence(F.lit(1), F.size(part)), lambda i: F.array_join(F.slice(part, i, F.size(part)), "."))
+    suffix = F.coalesce(F.get(F.filter(tails, lambda t: t.isin(*suffixes)), F.lit(0)), F.element_at(part, -1))
+    alone = host.rlike(r"^[0-9]+(\.[0-9]+){3}$") | host.startswith("[")
+    named = hosts.withColumn("suffix", F.when(alone, host).otherwise(suffix))
+    at = F.size(part) - F.size(F.split("suffix", r"\."))
+    named = named.withColumn("domain", F.when(alone | (at < 1), host).otherwise(F.array_join(F.slice(part, F.greatest(at, F.lit(1)), F.size(part)), ".")))
     named = cut(named)
     by_domain = cut(named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -88,12 +103,12 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return units.select("host", "domain", "suffix", "n", "x", F.col("post").alias("mean"), bound.alias("bound"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, rules: tuple = RULES) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, rules: tuple = RULES, suffixes: tuple = SUFFIXES) -> DataFrame:
     """id, host, path, rule, verdict and the host's posterior mean and bound. outcomes: (id, bad)."""
     seen = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     bad = outcomes.groupBy(id_col).agg(F.max("bad").cast("int").alias("bad"))
-    hosts = seen.join(bad, id_col, "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    known = reputation(hosts).select(F.col("host").alias("_host"), "mean", "bound")
-    out = seen.join(known, F.col("host") == F.col("_host"), "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    hosts = seen.join(bad, id_col, "left").groupBy(without_port(F.col("host")).alias("host")).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
+    known = reputation(hosts, suffixes).select(F.col("host").alias("_host"), "mean", "bound")
+    out = seen.join(known, without_port(F.col("host")) == F.col("_host"), "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") > limit, "block").otherwise("allow"))
     return out.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "mean", "bound")
