@@ -78,25 +78,107 @@ def test_sequences():
     r = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (1, 0), (10, 20), (1000, 2**40), (50_000, 60_000), (1000, 2**62)):
         v = np.sort(r.integers(0, max(top, 1), n).astype(np.uint64))
-        e = EliasFano(Arrays(), v)
-        e.mapped()
+        e = EliasFano(Arrays(), v).mapped()
         asked = np.concatenate([v, r.integers(0, top + 5, 1000).astype(np.uint64)])
-        at, found = e.successor(asked)
-        assert (found == np.isin(asked, v)).all() and (at[found] == np.searchsorted(v, asked[found])).all()
+        at, found = e.successor(asked, np.zeros(len(asked), dtype=int), np.full(len(asked), n))
+        assert (found == np.isin(asked, v)).all() and (at == np.searchsorted(v, asked)).all()
         if n:
             assert (e[np.arange(n)] == v).all()
-
-
-def test_trie():
-    r = np.random.default_rng(2)
-    k = np.unique((r.integers(0, 500, 5000).astype(np.uint64) << np.uint64(32)) | r.integers(0, 300, 5000).astype(np.uint64))
-    c, w = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
-    t = NgramTrie(c, w, np.arange(len(k), dtype=np.uint16))
-    for dc, dw in ((0, 0), (1, 0), (0, 1), (7, 9)):
-        at, found = t.find(c + np.uint64(dc), w + np.uint64(dw))
-        wanted = np.isin(((c + np.uint64(dc)) << np.uint64(32)) | (w + np.uint64(dw)), k)
-        assert (found == wanted).all()
-        assert (k[at[found]] == (((c + np.uint64(dc)) << np.uint64(32)) | (w + np.uint64(dw)))[found]).all()
+            asked = np.concatenate([asked[-300:], r.choice(v, 300)])
+            first = r.integers(0, n + 1, len(asked))
+            behind = np.maximum(first, r.integers(0, n + 1, len(asked)))
+            at, found = e.successor(asked, first, behind)
+            for x, a, b, k, f in zip(asked, first, behind, at, found):
+                want = a + np.searchsorted(v[a:b], x)
+                assert f == (want < b and v[want] == x) and (not f or v[k] == x and a <= k < b)
+
+
+def built(seed=2):
+    """A trie of pairs and triples of words over 60 numbers, and what it was made of."""
+    r = np.random.default_rng(seed)
+    words = np.sort(r.choice(10_000, 60, replace=False).astype(np.uint64))
+    rows = np.unique(r.integers(0, 60, (900, 3)) // np.array([2, 1, 1]), axis=0)
+    last, back, word = rows.T
+    n = r.integers(1, 5, len(rows)).astype(np.uint64)
+
+    def per(*columns):
+        total = Counter()
+        for k, x in zip(zip(*columns), n):
+            total[k] += int(x)
+        return np.array([total[k] for k in zip(*columns)], dtype=np.uint64)
+
+    code = lm.coded(r.uniform(1e-4, 1e-2, 60))
+    totals, counts = [per(last), per(last, back)], [per(last, word), n]
+    return NgramTrie(words, code, [last, back], word, totals, counts, lm.mass, lm.coded, lm.decoded), words, code, rows, totals, counts
+
+
+def looked_up(words, code, rows, totals, counts, last, back, word, floor):
+    """The code of one n-gram, without a trie."""
+    pairs, triples, one, two = {}, {}, {}, {}
+    for (a, b, w), t1, t2, c1, c2 in zip(rows.tolist(), *totals, *counts):
+        below = lm.decoded(code[w : w + 1])[0]
+        m1, m2 = lm.mass(2, float(t1)), lm.mass(3, float(t2))
+        p = (float(c1) + m1 * below) / (float(t1) + m1)
+        pairs[a, w], triples[a, b, w] = p, (float(c2) + m2 * p) / (float(t2) + m2)
+        one[a], two[a, b] = m1 / (float(t1) + m1), m2 / (float(t2) + m2)
+    as_code = lambda p: int(lm.coded(np.array([p]))[0])
+    if (last, back, word) in triples:
+        return as_code(triples[last, back, word])
+    more = as_code(two[last, back]) if (last, back) in two else 0
+    if (last, word) in pairs:
+        return more + as_code(pairs[last, word])
+    more += as_code(one[last]) if last in one else 0
+    return more + (int(code[word]) if word < len(words) else floor)
+
+
+def test_the_trie_backs_off():
+    """All triples of known words and an unknown one, most of them never put in."""
+    trie, words, code, rows, totals, counts = built()
+    asked = np.array([(a, b, w) for a in range(0, 61, 3) for b in range(0, 61, 2) for w in range(0, 61)])
+    numbers = np.append(words, np.uint64(77_777))
+    got = trie.score([numbers[asked[:, 0]], numbers[asked[:, 1]]], numbers[asked[:, 2]], 50_000)
+    assert got.tolist() == [looked_up(words, code, rows, totals, counts, *x, 50_000) for x in asked.tolist()]
+    assert trie.score([words[:0], words[:0]], words[:0], 1).tolist() == []
+
+
+@pytest.mark.parametrize("level", ["nodes", "followers"])
+@pytest.mark.parametrize("order", [0, 1])
+@pytest.mark.parametrize("part", ["values", "starts"])
+def test_scores_hang_on_each_level(level, order, part):
+    """A level or pointer that is spoiled changes what is found."""
+    asked = lambda t, w, rows: t.score([w[rows[:, 0]], w[rows[:, 1]]], w[rows[:, 2]], 50_000)
+    trie, words, _, rows, _, _ = built()
+    before = asked(trie, words, rows)
+    if (level, order, part) == ("nodes", 0, "starts"):
+        return  # one range alone: its end is all that its pointers say
+    sequence = getattr(getattr(trie, level)[order], part)
+    sequence.low = sequence.low.copy()
+    sequence.high = sequence.high.copy()
+    if sequence.low_bits:
+        sequence.low ^= np.uint64(0x5555555555555555)
+    else:
+        sequence.high[:] = np.roll(sequence.high, 1)
+        sequence.high ^= np.uint64(0xFF)
+    assert (asked(trie, words, rows) != before).any()
+
+
+def test_without_the_trie_scores_are_others(spark, monkeypatch):
+    """The queries' codes come out of the trie alone: an empty one leaves single words."""
+
+    class Empty(NgramTrie):
+        def __init__(self, words, code, contexts, word, totals, counts, *model):
+            super().__init__(words, code, [c[:0] for c in contexts], word[:0], [t[:0] for t in totals], [c[:0] for c in counts], *model)
+
+    texts = [f"the w{k % 5} the w{k % 3}" for k in range(30)]
+    chunk = lm.Chunk(lm.packs(*lm.encoded([t.encode() for t in texts])), np.arange(30) % 7 == 2, 1, 3)
+    made, n, v = lm.count_words(0, 1, [x for _, x in chunk.word_requests()])
+    chunk.n, chunk.v = n, v
+    chunk.words_answered({0: made[0]})
+    chunk.grams_answered({k: lm.count_grams([x])[0] for k, x in chunk.gram_requests()})
+    asked = dict(chunk.requests())
+    by = {trie: chunk.scores({s: lm.score_grams(3, [x], 60_000, trie)[0] for s, x in asked.items()}) for trie in (NgramTrie, Empty)}
+    assert by[Empty]["score"] == pytest.approx(by[Empty]["base_score"], abs=5 * lm.STEP)
+    assert (by[NgramTrie]["score"] > by[Empty]["score"] + 1).all()
 
 
 def test_the_default_takes_contexts_of_two_words(spark):
