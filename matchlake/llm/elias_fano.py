@@ -6,28 +6,20 @@ import tempfile
 
 import numpy as np
 
-_HALVES = [(np.uint64(w), np.uint64((1 << w) - 1)) for w in (32, 16, 8)]
-#: The place of the set bit number r of a byte, at 8 * byte + r.
-_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], dtype=np.uint8)
+#: The place of the set bit number r of 16 bits, at 16 * bits + r.
+_SET = np.unpackbits(np.arange(1 << 16, dtype="<u2").view(np.uint8), bitorder="little").reshape(-1, 16)
+_IN_16 = np.argsort(1 - _SET, axis=1, kind="stable").astype(np.uint8).ravel()
 
 
-def select(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """The place of the set bit number r (from 0) of each word."""
-    x, r, at = words.copy(), r.astype(np.uint64), np.zeros(len(words), dtype=np.uint64)
-    for width, mask in _HALVES:
-        below = np.bitwise_count(x & mask).astype(np.uint64)
-        far = r >= below
-        r -= np.where(far, below, 0)
-        by = np.where(far, width, np.uint64(0))
-        x >>= by
-        at += by
-    return at.astype(np.int64) + _IN_BYTE[((x & np.uint64(255)) << np.uint64(3)) | r]
+def select(bits: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The place of the set bit number r (from 0) of each 16 bits."""
+    return _IN_16[(bits.astype(np.int64) << 4) | r].astype(np.int64)
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
-    """0/1 bytes as words of 64 bits, with one word to spare."""
+    """0/1 bytes as words of 16 bits, with one word to spare."""
     out = np.packbits(bits, bitorder="little")
-    return np.concatenate([out, np.zeros(-len(out) % 8 + 8, dtype=np.uint8)]).view(np.uint64)
+    return np.concatenate([out, np.zeros(-len(out) % 2 + 2, dtype=np.uint8)]).view("<u2")
 
 
 def side_by_side(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,13 +68,13 @@ class EliasFano:
         spread = np.zeros(n + self.most + 1, dtype=np.uint8)
         spread[(values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(n)] = 1
         high = packed(spread)
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))[:-1]])
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))[:-1]]).astype(np.int64 if n >> 31 else np.int32)
         low = side_by_side(values & np.uint64((1 << self.low_bits) - 1), self.low_bits)
         self._at, self._store = [store.put(x) for x in (high, ones, low)], store
 
     def mapped(self) -> EliasFano:
         self.high, self.ones, self.low = (np.asarray(self._store.get(k)) for k in self._at)
-        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+        self.zeros = 16 * np.arange(len(self.ones)) - self.ones
         return self
 
     def lows(self, i: np.ndarray) -> np.ndarray:
@@ -96,13 +88,16 @@ class EliasFano:
 
     def select1(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, "right") - 1
-        return 64 * word + select(self.high[word], i - self.ones[word])
+        return 16 * word + select(self.high[word], i - self.ones[word])
 
     def select0(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.zeros, i, "right") - 1
-        return 64 * word + select(~self.high[word], i - self.zeros[word])
+        return 16 * word + select(~self.high[word], i - self.zeros[word])
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if len(i) * 4 > self.n:  # for so many at once, from one end to the other
+            every = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - np.arange(self.n)
+            return ((every.astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(np.arange(self.n)))[i]
         return ((self.select1(i) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
 
     def successor(self, x: np.ndarray, first: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,12 +203,11 @@ class NgramTrie:
             r.mapped()
         self.codes = [(np.asarray(store.get(a)), np.asarray(store.get(b)) if b is not None else None) for a, b in self.levels]
 
-    def score(self, contexts: list[np.ndarray], word: np.ndarray, floor: int) -> np.ndarray:
-        """The codes of n-grams, given as numbers of words and sorted by their contexts; floor: the code of a word that isn't here."""
+    def score(self, numbers: np.ndarray, contexts: list[np.ndarray], word: np.ndarray, floor: int) -> np.ndarray:
+        """The codes of n-grams of words (as places in numbers), sorted by their contexts; floor: the code of a word that isn't here."""
         codes = np.full(len(word), floor, dtype=np.int64)
-        at, of = distinct(word)
-        rank, known, _ = self.words.find(np.zeros(len(at), dtype=np.int64), word[at])
-        rank, known = rank[of], known[of]
+        at_root, here, _ = self.words.find(np.zeros(len(numbers), dtype=np.int64), numbers)
+        rank, known = at_root[word], here[word]
         codes[known] = self.codes[0][0][rank[known]]
         node, alive = np.zeros(len(word), dtype=np.int64), np.ones(len(word), dtype=bool)
         path = np.zeros(len(word), dtype=np.int64)
@@ -221,8 +215,7 @@ class NgramTrie:
             new = runs(path, c)
             path = np.cumsum(new) - 1
             head = np.flatnonzero(new)  # each context is looked up once
-            at, met, _ = self.words.find(np.zeros(len(head), dtype=np.int64), c[head])
-            met &= alive[head]
+            at, met = at_root[c[head]], here[c[head]] & alive[head]
             up = np.flatnonzero(met)
             down, found, _ = nodes.find(node[head[up]], at[up])
             met[up] = found

@@ -46,7 +46,7 @@ MASS = ((5.0, 2.0), (2.0, 1.0))
 FOLDS, HELD_OUT = 7, 2
 CHUNK_BYTES = 12 << 20
 #: Rows that a shard gets on average at most, and occurrences from which a word counts as hot.
-PER_SHARD, HOT = 1_000_000, 1_000_000
+PER_SHARD, HOT = 700_000, 300_000
 #: A code is -log10 of a probability in steps of 1 / 4096, below 16.
 STEP = 1 / 4096
 #: Numbers of what precedes a text and of what ends it, as hashes of words.
@@ -152,6 +152,8 @@ class Chunk:
         p = (total.astype(np.float64) + 1) / (self.n + self.v + 1)
         self.base, self.code, self.known = np.log10(p), coded(p), total > 0
         self.number, self.total = np.append(number, np.uint64(PAD)), np.append(total, total[np.flatnonzero(self.hashes == END)])
+        if len(number) and number.max() < 1 << 32:
+            self.number = self.number.astype(np.uint32)
         self.hot = self.total > HOT
         self.before = [self.tokens]  # each token, the word before it, the one before that, ...
         for _ in range(self.order - 1):
@@ -238,7 +240,7 @@ class Chunk:
             for k in range(2, self.order):
                 back = self.number[self.before[k][at]]
                 total = np.where(starts[at], self.total[-1], self.gram_total[k - 2][np.maximum(at - 1, 0)])  # of the k words before
-                columns += [np.diff(back, prepend=np.uint64(0)), np.where(self.hot[last], total, np.uint64(0))]
+                columns += [np.diff(back, prepend=back.dtype.type(0)), np.where(self.hot[last], total, np.uint64(0))]
             if self.order > 2:
                 columns.append(np.where(self.hot[last] & (self.gram_total[0][at] > HOT), self.gram_total[0][at], np.uint64(0)))
             yield s, packs(*columns)
@@ -281,7 +283,8 @@ def summed(asked: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 def count_words(shard: int, shards: int, asked: list[bytes]) -> tuple[list[bytes], int, int]:
     """For each request the numbers and totals of its words; and the shard's training tokens and distinct training words."""
     each, hashes, total = summed(asked)
-    number = np.arange(len(hashes), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard + 1)
+    number = np.empty(len(hashes), dtype=np.uint64)  # small for frequent words, so that their bytes pack well
+    number[np.argsort(total)[::-1]] = np.arange(len(hashes), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard + 1)
     return [packs(number[of], total[of]) for of in each], int(total.sum()), int((total > 0).sum())
 
 
@@ -296,7 +299,7 @@ def score_grams(order: int, asked: list[bytes], floor: int, trie=NgramTrie) -> l
     got, sizes = [], []
     for x in asked:
         last, total, n, word, code, seen, *rest = unpacks(x)
-        backs = [np.repeat(last, n), *(np.cumsum(c, dtype=np.uint64) for c in rest[0 : 2 * (order - 2) : 2])]
+        backs = [np.repeat(last, n), *(np.cumsum(c, dtype=c.dtype) for c in rest[0 : 2 * (order - 2) : 2])]
         got.append((word, code, seen, np.repeat(total, n), *backs, *rest[1 : 2 * (order - 2) : 2], *rest[2 * (order - 2) :]))
         sizes.append(len(word))
     word, code, seen, total, *rest = (np.concatenate(x) for x in zip(*got))
@@ -332,7 +335,7 @@ def score_grams(order: int, asked: list[bytes], floor: int, trie=NgramTrie) -> l
             np.add.at(here, same, n)
             counts.append(np.maximum(here[same], pair[0][rows]) if k == 1 else here[same])
     model = trie(words, own_code, contexts, last, totals, counts, mass, coded, decoded)
-    codes = model.score([words[b] for b in asked_backs], words[asked_word], floor)
+    codes = model.score(words, asked_backs, asked_word, floor)
     out = np.empty(len(by), dtype=np.uint32)
     out[by] = codes.astype(np.uint32)[np.cumsum(new) - 1]
     return [packs(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x) for x in np.split(out, np.cumsum(sizes)[:-1])]

@@ -93,20 +93,26 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def segments(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """The atoms' borders, and (first atom, behind the last, features) of each segment that may be an entity."""
+def segments(text: str, start: int, end: int, given: list[tuple[str, int, int]] = ()) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+    """The atoms' borders, and (first atom, behind the last, features) of each segment that may be an entity and touches no given span."""
     atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
     borders = [a for a, _ in atoms] + [end]
     kinds = ["d" if "0" <= text[a] <= "9" else "w" if text[a].isascii() and text[a].isalpha() else text[a] for a, _ in atoms]
-    out = []
+    by_start = sorted((s, e) for _, s, e in given)
+    out, x, within = [], 0, 0
     for i, k in enumerate(kinds):
-        if k not in "dw+(":
+        while x < len(by_start) and by_start[x][0] <= borders[i]:
+            within, x = max(within, by_start[x][1]), x + 1
+        if k not in "dw+(" or borders[i] < within:
             continue
+        limit = by_start[x][0] if x < len(by_start) else end
         digits = letters = ats = dots = 0
         shape = ""
         left = text[borders[i] - 1] if borders[i] else ""
         left = "^" if not left or left.isspace() else "x" if left.isalnum() else left
         for j in range(i, min(len(kinds), i + MOST_ATOMS)):
+            if borders[j + 1] > limit:
+                break
             c, n = kinds[j], borders[j + 1] - borders[j]
             if c == "d":
                 digits += n
@@ -196,8 +202,7 @@ def trained(examples: list[tuple[str, list[tuple[str, int, int]]]]) -> dict:
 
 def best(text: str, start: int, end: int, w: dict, given: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
     """The segments of the best segmentation of a region that touch no given span, with their probability."""
-    borders, segs = segments(text, start, end)
-    segs = [x for x in segs if not any(s < borders[x[1]] and e > borders[x[0]] for _, s, e in given)]
+    borders, segs = segments(text, start, end, given)
     scored = scores(segs, w)
     n = len(borders) - 1
     ends = defaultdict(list)
@@ -245,9 +250,9 @@ def personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     while k < len(by_start) and by_start[k][2] <= start:
                         k += 1
                     own = []
-                    for s in by_start[k:]:
-                        if s[1] >= end:
-                            break
+                    x = k
+                    while x < len(by_start) and by_start[x][1] < end:
+                        s, x = by_start[x], x + 1
                         own.append({"kind": s[0], "start": s[1] - lo, "end": s[2] - lo})
                     rows.append({"start": lo, "text": text[lo:hi], "spans": own})
                 near.append(rows)

@@ -87,8 +87,8 @@ def test_contamination_by_hand(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id int, text string")
     docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id int, text string, found string")
     assert decontaminate.clean(docs, bench).columns == docs.columns
-    for block in (32 << 20, 40):  # one automaton, and several
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    for states in (4_000_000, 700):  # one automaton, and over six
+        monkeypatch.setattr(decontaminate, "BLOCK_STATES", states)
         for r in decontaminate.contamination(docs, bench).collect():
             n, h, ids = contaminated(texts[r.doc_id], items)
             assert (r.found.n_words, r.found.n_hit, r.found.items) == (n, h, [i for i in ids if i != "None"]), texts[r.doc_id]
@@ -100,6 +100,30 @@ def test_contamination_by_hand(spark, monkeypatch):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_an_automaton_is_built_once_a_block(monkeypatch):
+    """Whatever the rows, a worker builds the automaton of a block once, and holds one at a time."""
+
+    class Items:
+        def __init__(self, k):
+            self.value = f"block {k}", [(k, b"word%d one two" % k)]
+
+    built = []
+    make = decontaminate.automaton
+    monkeypatch.setattr(decontaminate, "automaton", lambda items, size: built.append(items) or make(items, size))
+    for k in range(6):
+        own = Items(k)
+        for _ in range(50):
+            runs, ids = decontaminate.hits([b"x", b"word%d" % k, b"one", b"two"], decontaminate.Kept.of(own, 10))
+            assert runs == [(1, 4)] and ids == {k}
+    assert len(built) == 6
+
+
+def test_states_are_bounded_by_the_estimate():
+    words = " ".join(f"w{k % 977}x{k % 13}" for k in range(4000))
+    a = decontaminate.automaton([(1, words.encode())], 10)
+    assert a.get_stats()["nodes_count"] <= (len(words) + 16) * 10
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None), "no scheme": ("", "", None), "http://A.Example.COM/en/7?q=/x": ("a.example.com", "/en/7", "example.com/en/7"), "https://x.com/en/8": ("x.com", "/en/8", "com/en/"),

@@ -112,8 +112,8 @@ def built(seed=2):
     return NgramTrie(words, code, [last, back], word, totals, counts, lm.mass, lm.coded, lm.decoded), words, code, rows, totals, counts
 
 
-def looked_up(words, code, rows, totals, counts, last, back, word, floor):
-    """The code of one n-gram, without a trie."""
+def by_hand(words, code, rows, totals, counts, floor):
+    """What gives the code of one n-gram, without a trie."""
     pairs, triples, one, two = {}, {}, {}, {}
     for (a, b, w), t1, t2, c1, c2 in zip(rows.tolist(), *totals, *counts):
         below = lm.decoded(code[w : w + 1])[0]
@@ -122,13 +122,17 @@ def looked_up(words, code, rows, totals, counts, last, back, word, floor):
         pairs[a, w], triples[a, b, w] = p, (float(c2) + m2 * p) / (float(t2) + m2)
         one[a], two[a, b] = m1 / (float(t1) + m1), m2 / (float(t2) + m2)
     as_code = lambda p: int(lm.coded(np.array([p]))[0])
-    if (last, back, word) in triples:
-        return as_code(triples[last, back, word])
-    more = as_code(two[last, back]) if (last, back) in two else 0
-    if (last, word) in pairs:
-        return more + as_code(pairs[last, word])
-    more += as_code(one[last]) if last in one else 0
-    return more + (int(code[word]) if word < len(words) else floor)
+
+    def looked_up(last, back, word):
+        if (last, back, word) in triples:
+            return as_code(triples[last, back, word])
+        more = as_code(two[last, back]) if (last, back) in two else 0
+        if (last, word) in pairs:
+            return more + as_code(pairs[last, word])
+        more += as_code(one[last]) if last in one else 0
+        return more + (int(code[word]) if word < len(words) else floor)
+
+    return looked_up
 
 
 def test_the_trie_backs_off():
@@ -136,9 +140,10 @@ def test_the_trie_backs_off():
     trie, words, code, rows, totals, counts = built()
     asked = np.array([(a, b, w) for a in range(0, 61, 3) for b in range(0, 61, 2) for w in range(0, 61)])
     numbers = np.append(words, np.uint64(77_777))
-    got = trie.score([numbers[asked[:, 0]], numbers[asked[:, 1]]], numbers[asked[:, 2]], 50_000)
-    assert got.tolist() == [looked_up(words, code, rows, totals, counts, *x, 50_000) for x in asked.tolist()]
-    assert trie.score([words[:0], words[:0]], words[:0], 1).tolist() == []
+    got = trie.score(numbers, [asked[:, 0], asked[:, 1]], asked[:, 2], 50_000)
+    looked_up = by_hand(words, code, rows, totals, counts, 50_000)
+    assert got.tolist() == [looked_up(*x) for x in asked.tolist()]
+    assert trie.score(words[:0], [words[:0].astype(int)] * 2, words[:0].astype(int), 1).tolist() == []
 
 
 @pytest.mark.parametrize("level", ["nodes", "followers"])
@@ -146,19 +151,20 @@ def test_the_trie_backs_off():
 @pytest.mark.parametrize("part", ["values", "starts"])
 def test_scores_hang_on_each_level(level, order, part):
     """A level or pointer that is spoiled changes what is found."""
-    asked = lambda t, w, rows: t.score([w[rows[:, 0]], w[rows[:, 1]]], w[rows[:, 2]], 50_000)
+    asked = lambda t, w, rows: t.score(w, [rows[:, 0], rows[:, 1]], rows[:, 2], 50_000)
     trie, words, _, rows, _, _ = built()
     before = asked(trie, words, rows)
     if (level, order, part) == ("nodes", 0, "starts"):
         return  # one range alone: its end is all that its pointers say
     sequence = getattr(getattr(trie, level)[order], part)
-    sequence.low = sequence.low.copy()
-    sequence.high = sequence.high.copy()
     if sequence.low_bits:
-        sequence.low ^= np.uint64(0x5555555555555555)
-    else:
-        sequence.high[:] = np.roll(sequence.high, 1)
-        sequence.high ^= np.uint64(0xFF)
+        sequence.low = sequence.low ^ np.uint64(0x5555555555555555)
+    else:  # as many bits, in another order
+        bits = np.unpackbits(sequence.high.view(np.uint8), bitorder="little")
+        bits[: sequence.n] = bits[: sequence.n][::-1]
+        sequence.high = np.packbits(bits, bitorder="little").view("<u2")
+        sequence.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(sequence.high).astype(np.int64))[:-1]])
+        sequence.zeros = 16 * np.arange(len(sequence.ones)) - sequence.ones
     assert (asked(trie, words, rows) != before).any()
 
 
