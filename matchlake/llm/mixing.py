@@ -1,10 +1,11 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a weight and a share of the words to take; no source gives more than twice its size, and what that leaves
-over is dealt out anew by weight (water-filling, in closed form over prefix sums). A source's documents are laid end to
-end in hashed order, repeatedly if the target asks for more than once, and the mix takes the words below the target. A
-source's weight changes over the training, linearly in time; the integral of that schedule is inverted to give each
-document the moment at which the source's demand reaches it, and documents are range-sorted by that moment.
+over is dealt out anew by weight (water-filling: the level rises until no further source is full). A source's documents are
+laid end to end in hashed order, repeatedly if the target asks for more than once, and the mix takes the words below the
+target. A source's weight changes over the training, linearly in time. The integral of its schedule is its demand up to a
+time; inverted, it gives each document the time at which its source's demand reaches it, and the demand of all sources up
+to that time is its position: the word of the training that it begins at. Documents are range-sorted by position.
 
 Cases: a null text has size 0 and is never taken; a null source is the last source; equal rows lie side by side and
 differ in what is taken only where the target ends; an empty table gives an empty result. Other columns are ignored.
@@ -12,10 +13,13 @@ differ in what is taken only where the target ends; an empty table gives an empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import cut, words
+from matchlake.operators.numbering import numbered
 
 #: Weights of the sources in order, repeated; and by how much each weight rises (or falls) from the training's start to its end, relative to its mean.
 WEIGHTS, SLOPES = (3, 1, 2), (0.0, 1.0, -1.0)
@@ -30,17 +34,18 @@ def cyclic(values: tuple, rank: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(no_source, source, source_size, slope, target) from sizes by source: one row each, so windows over all of them are small."""
-    by_name = Window.orderBy("no_source", "source")
-    ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", cyclic(weights, F.col("rank")))
-    everywhere = Window.partitionBy()
-    by_room = Window.orderBy(F.col("source_size") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    capped, used = F.coalesce(F.sum(epochs * F.col("source_size")).over(by_room), F.lit(0)), F.coalesce(F.sum("weight").over(by_room), F.lit(0))
-    # with all smaller sources at their cap, the rest shares what is left; the true level is the highest of these
-    level = (share * F.sum("source_size").over(everywhere) - capped) / (F.sum("weight").over(everywhere) - used)
-    leveled = ranked.withColumn("level", level).withColumn("level", F.max("level").over(everywhere))
-    target = F.least((epochs * F.col("source_size")).cast("double"), F.col("level") * F.col("weight"))
-    return leveled.select("no_source", "source", "source_size", cyclic(SLOPES, F.col("rank")).alias("slope"), target.alias("target"))
+    """(no_source, source, source_size, slope, target) from sizes by source."""
+    ranked = numbered(sizes, "no_source", "source").withColumn("weight", cyclic(weights, F.col("_n")))
+    ranked = cut(ranked.select("no_source", "source", "source_size", "weight", cyclic(SLOPES, F.col("_n")).alias("slope")))
+    total, level, full = ranked.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:  # sources that are full at this level give twice their size, and the rest shares what is left; the level only rises
+        is_full = F.lit(epochs) * F.col("source_size") <= F.lit(level) * F.col("weight")
+        capped, n, heft = ranked.agg(F.sum(F.when(is_full, epochs * F.col("source_size"))), F.count(F.when(is_full, 1)), F.sum(F.when(~is_full, F.col("weight")))).first()
+        if n == full or not heft:
+            break
+        level, full = (share * total - (capped or 0)) / heft, n
+    target = F.least((epochs * F.col("source_size")).cast("double"), F.lit(level) * F.col("weight"))
+    return ranked.select("no_source", "source", "source_size", "slope", target.alias("target"))
 
 
 def moment(slope: Column, share: Column) -> Column:
@@ -49,49 +54,58 @@ def moment(slope: Column, share: Column) -> Column:
     return F.when(a == 0, share).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * share) - (1 - a)) / (2 * F.when(a != 0, a)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """id, source, size, source_size, target, taken, position (of its first words, null if none are taken) and again (of its second use), sorted by position."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+def demand(plan: DataFrame) -> Callable[[Column], Column]:
+    """The words that all sources together have given at a time: two numbers to the driver."""
+    whole, bend = plan.agg(F.sum(F.round("target").cast("bigint")), F.sum(F.round("target").cast("bigint") * (F.col("slope") / 2))).first()
+    return lambda t: F.lit(float(whole or 0)) * t + F.lit(float(bend or 0)) * (t * t - t)
+
+
+def laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, rows: bool, **how) -> DataFrame:
+    """id, no_source, source, size, source_size, target, taken, at (positions of each use) of each row; and _row, all its columns, if asked for."""
+    text_key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_key).cast("binary"))
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
         F.size(words(F.col(text_col))).cast("bigint").alias("size"),
         key.alias("key"),
+        F.substring(key, 1, PIECE_DIGITS).alias("piece"),
+        *([F.struct(*(docs[c] for c in docs.columns)).alias("_row")] if rows else []),
     )
-    sized = cut(sized.withColumn("piece", F.substring("key", 1, PIECE_DIGITS)))
-    pieces = sized.groupBy("no_source", "source", "piece").agg(F.sum("size").alias("piece_size"))
-    plan = targets(pieces.groupBy("no_source", "source").agg(F.sum("piece_size").alias("source_size")), **how)
+    if not rows:
+        sized = cut(sized)
+    pieces = cut(sized.groupBy("no_source", "source", "piece").agg(F.sum("size").alias("piece_size")))
+    plan = cut(targets(pieces.groupBy("no_source", "source").agg(F.sum("piece_size").alias("source_size")), **how))
+    given = demand(plan)
     before = Window.partitionBy("no_source", "source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.withColumn("piece_start", F.coalesce(F.sum("piece_size").over(before), F.lit(0))).join(plan, ["no_source", "source"]).drop("piece_size")
-    within = Window.partitionBy("no_source", "source", "piece").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("no_source", "source", "piece").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     # the within-piece sums are the hottest source's rows over 4096 pieces; the join keeps that partitioning
-    laid = sized.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(pieces, ["no_source", "source", "piece"])
+    placed = sized.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(pieces, ["no_source", "source", "piece"])
     start = F.col("piece_start") + F.col("start")
     budget = F.round("target").cast("bigint")
     use = [F.greatest(F.lit(0), F.least(F.col("size"), budget - start - k * F.col("source_size"))) for k in range(EPOCHS)]
-    at = [F.when(u > 0, moment(F.col("slope"), F.least(F.lit(1.0), (start + k * F.col("source_size")) / F.col("target")))) for k, u in enumerate(use)]
-    out = laid.select(
+    at = [F.when(u > 0, given(moment(F.col("slope"), F.least(F.lit(1.0), (start + k * F.col("source_size")) / F.col("target"))))) for k, u in enumerate(use)]
+    columns = ("id", "no_source", "source", "size", "source_size", "target", *(["_row"] if rows else []))
+    return placed.select(*columns, sum(use[1:], use[0]).cast("bigint").alias("taken"), F.array(*at).alias("at"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """id, size, source_size, target, taken, position (the word of the training that its first words come as, null if none are taken), again (that of its second use) and source, sorted by position."""
+    out = laid(docs, id_col, text_col, source_col, False, **how).select(
         F.col("id").alias(id_col),
-        F.when(~F.col("no_source"), F.col("source")).alias(source_col),
         "size",
         "source_size",
         "target",
-        sum(use[1:], use[0]).cast("bigint").alias("taken"),
-        at[0].alias("position"),
-        at[1].alias("again"),
+        "taken",
+        *(F.floor(F.get("at", F.lit(k))).alias(c) for k, c in enumerate(("position", "again"))),
+        F.when(~F.col("no_source"), F.col("source")).alias(source_col),
     )
     return out.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs in training order: each as often as the mix uses it, range-sorted by position; those that it doesn't use go."""
-    plan = mixed(docs, id_col, text_col, source_col, **how)
-    uses = F.array_compact(F.array("position", "again"))
-    # equal keys are repeated rows: each of them gets the uses of one
-    plan = plan.groupBy(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size").alias("_key")).agg(F.array_sort(F.collect_list(uses)).alias("_uses"))
-    size = F.size(words(F.col(text_col))).cast("bigint")
-    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(text_col))
-    used = rows.join(plan.where(F.exists("_uses", lambda u: F.size(u) > 0)), "_key").withColumn("_own", F.when(F.size("_uses") == 1, F.get("_uses", F.lit(0))).otherwise(F.get("_uses", nth - 1)))
-    return used.select(*docs.columns, F.explode("_own").alias("_position")).repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
+    used = laid(docs, id_col, text_col, source_col, True, **how).select("_row", "id", F.explode(F.array_compact("at")).alias("_at"))
+    return used.repartitionByRange("_at", "id").sortWithinPartitions("_at", "id").select("_row.*")

@@ -1,5 +1,7 @@
 """SQL for the corpus queries that SQL can express."""
 
+from matchlake.llm.urls import SUFFIXES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -14,7 +16,7 @@ keyed AS (SELECT rid, i, array_to_string(w[i + 1:i + 8], ' ') AS k FROM win),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM keyed) WHERE n > 1),
 covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
 base AS (
-  SELECT d.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  SELECT d.rid, doc_id, lang, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
          len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper
@@ -26,34 +28,26 @@ scored AS (
          CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share,
          CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS upper_share
   FROM base),
-grid AS (
-  SELECT 'symbol_share' AS rule, unnest([0.05, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3, 0.5])::DOUBLE AS x
-  UNION ALL SELECT 'dup_line_share', unnest([0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE
-  UNION ALL SELECT 'repeat_share', unnest([0.1, 0.15, 0.2, 0.25])::DOUBLE
-  UNION ALL SELECT 'upper_share', unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) >= 1),
-held AS (SELECT * FROM scored SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
-tried AS (
-  SELECT h.lang, rule, x, count(*) AS n,
-         count(*) FILTER (CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share
-                               WHEN 'repeat_share' THEN repeat_share ELSE upper_share END > x) AS k
-  FROM held h, grid GROUP BY ALL),
+stepped AS (
+  SELECT *, least(len(list_filter([0.5, 0.3, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]::DOUBLE[], lambda x: x >= symbol_share)),
+                  len(list_filter([0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2]::DOUBLE[], lambda x: x >= dup_line_share)),
+                  len(list_filter([0.29, 0.28, 0.27, 0.26, 0.25, 0.225, 0.2, 0.15, 0.1]::DOUBLE[], lambda x: x >= repeat_share)),
+                  len(list_filter([0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]::DOUBLE[], lambda x: x >= upper_share)))::INT AS step
+  FROM scored),
+worst AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+texts AS (SELECT lang, t, min(step) AS step FROM stepped JOIN worst USING (doc_id) WHERE NOT base_failed GROUP BY lang, t HAVING min(q) >= 1),
+sizes AS (SELECT l.lang, count(t.t) AS n FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN texts t ON t.lang IS NOT DISTINCT FROM l.lang GROUP BY l.lang),
+named AS (SELECT lang, CASE WHEN n >= 200 THEN {{'lang': lang}} END AS pool FROM sizes),
+pools AS (SELECT pool, count(t.t) AS n, list(t.step) FILTER (t.step IS NOT NULL) AS steps FROM named LEFT JOIN texts t ON t.lang IS NOT DISTINCT FROM named.lang GROUP BY pool),
+tried AS (SELECT pool, n, k, len(list_filter(coalesce(steps, []), lambda x: x <= k)) AS lost FROM pools, range(9) r(k)),
 tested AS (
-  SELECT *, CASE WHEN k >= n * (0.05 / 4) THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-           exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05 / 4) + (n - j) * ln(1 - 0.05 / 4)))) END AS p
+  SELECT pool, n, k, CASE WHEN lost >= n * 0.05 THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1), lambda j:
+           exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(1 - 0.05)))) END <= 0.05 / (SELECT count(*) FROM pools) AS ok
   FROM tried),
-cut AS (
-  SELECT lang, rule, min(x) AS x FROM tested
-  WHERE p <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM documents)) * (SELECT count(*) FROM grid)) GROUP BY ALL),
-wide AS (
-  SELECT l.lang, max(x) FILTER (rule = 'symbol_share') AS symbol_share_cutoff, max(x) FILTER (rule = 'dup_line_share') AS dup_line_share_cutoff,
-         max(x) FILTER (rule = 'repeat_share') AS repeat_share_cutoff, max(x) FILTER (rule = 'upper_share') AS upper_share_cutoff
-  FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN cut c ON c.lang IS NOT DISTINCT FROM l.lang GROUP BY l.lang)
-SELECT s.doc_id, s.lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_share, dup_line_share,
-       repeat_share, upper_share, symbol_share_cutoff, dup_line_share_cutoff, repeat_share_cutoff, upper_share_cutoff,
-       NOT base_failed AND NOT (coalesce(symbol_share > symbol_share_cutoff, false) OR coalesce(dup_line_share > dup_line_share_cutoff, false)
-         OR coalesce(repeat_share > repeat_share_cutoff, false) OR coalesce(upper_share > upper_share_cutoff, false)) AS kept
-FROM scored s LEFT JOIN wide ON wide.lang IS NOT DISTINCT FROM s.lang
+last AS (SELECT pool, any_value(n) AS holdout, coalesce(min(k) FILTER (NOT ok), 9)::INT - 1 AS last_step FROM tested GROUP BY pool)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step > last_step AS kept, s.lang,
+       symbol_share, dup_line_share, repeat_share, upper_share, step, holdout::BIGINT AS holdout, last_step
+FROM stepped s JOIN named ON named.lang IS NOT DISTINCT FROM s.lang JOIN last ON last.pool IS NOT DISTINCT FROM named.pool
 """
 
 OP5 = rf"""
@@ -76,7 +70,7 @@ FROM docs LEFT JOIN marked USING (rid) LEFT JOIN named USING (rid)
 
 OP7 = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS k FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM src),
 weighed AS (SELECT *, [3, 1, 2][r % 3 + 1] AS weight, [0.0, 1.0, -1.0][r % 3 + 1]::DOUBLE / 2 AS a FROM ranked),
@@ -88,26 +82,35 @@ lev AS (SELECT *, max((1.5::DOUBLE * total - capped) / (heft - used)) OVER () AS
 goal AS (SELECT source, source_size, a, least(2.0::DOUBLE * source_size, level * weight) AS target FROM lev),
 laid AS (
   SELECT s.*, source_size, a, target, round(target)::BIGINT AS budget,
-         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN goal g ON g.source IS NOT DISTINCT FROM s.source),
 used AS (SELECT *, greatest(0, least(size, budget - start)) AS u0, greatest(0, least(size, budget - start - source_size)) AS u1,
-         least(1.0::DOUBLE, start / target) AS c0, least(1.0::DOUBLE, (start + source_size) / target) AS c1 FROM laid)
+         least(1.0::DOUBLE, start / target) AS c0, least(1.0::DOUBLE, (start + source_size) / target) AS c1 FROM laid),
+whole AS (SELECT sum(round(target)::BIGINT)::DOUBLE AS words, sum(round(target)::BIGINT * a)::DOUBLE AS bend FROM goal),
+timed AS (
+  SELECT *, CASE WHEN u0 > 0 THEN CASE WHEN a = 0 THEN c0 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c0) - (1 - a)) / (2 * a) END END AS t0,
+         CASE WHEN u1 > 0 THEN CASE WHEN a = 0 THEN c1 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c1) - (1 - a)) / (2 * a) END END AS t1 FROM used)
 SELECT doc_id, source, size, source_size, target, (u0 + u1)::BIGINT AS taken,
-       round(CASE WHEN u0 > 0 THEN CASE WHEN a = 0 THEN c0 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c0) - (1 - a)) / (2 * a) END END, 6) + 0.0::DOUBLE AS position,
-       round(CASE WHEN u1 > 0 THEN CASE WHEN a = 0 THEN c1 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * c1) - (1 - a)) / (2 * a) END END, 6) + 0.0::DOUBLE AS again
-FROM used
+       floor(words * t0 + bend * (t0 * t0 - t0))::BIGINT AS position, floor(words * t1 + bend * (t1 * t1 - t1))::BIGINT AS again
+FROM timed, whole
 """
 
 OP8 = rf"""
-WITH cutted AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE cutted AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 seen AS (
   SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cutted),
 bad AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+bare AS (SELECT regexp_replace(host, ':[0-9]*$', '') AS host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS x FROM seen LEFT JOIN bad USING (page_id) GROUP BY 1),
+part AS (
+  SELECT *, string_split(host, '.') AS p, regexp_matches(host, '^[0-9]+([.][0-9]+){{3}}$') OR starts_with(host, '[') AS alone,
+         list_filter(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+                     lambda t: list_contains([{", ".join(repr(x) for x in SUFFIXES)}], t)) AS known
+  FROM bare),
+ended AS (SELECT *, CASE WHEN alone THEN host WHEN len(known) > 0 THEN known[1] ELSE p[-1] END AS suffix FROM part),
 h AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS x, string_split(host, '.')[-1] AS suffix,
-         CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain
-  FROM seen LEFT JOIN bad USING (page_id) GROUP BY host),
+  SELECT host, n, x, suffix, CASE WHEN alone OR len(p) <= len(string_split(suffix, '.')) THEN host
+         ELSE array_to_string(p[len(p) - len(string_split(suffix, '.')):], '.') END AS domain FROM ended),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d GROUP BY ALL),
 r AS (SELECT (coalesce(sum(x), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mu FROM s),
@@ -118,16 +121,28 @@ md AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - m
 dd AS (SELECT domain, (x + mu * m) / (n + m) AS mu FROM d2, (SELECT CASE WHEN spread IS NULL THEN 2 ELSE greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)) END AS m FROM md)),
 h2 AS (SELECT h.*, mu FROM h JOIN dd USING (domain)),
 mh AS (SELECT sum(n * (x / n - mu) ** 2) / sum(n) AS spread, sum(n * mu * (1 - mu)) / sum(n) AS noise, count(*) / sum(n)::DOUBLE AS share FROM h2 WHERE n > 0),
-hh AS (SELECT host, (x + mu * m) / (n + m) AS mean, n + m AS w FROM h2, (SELECT CASE WHEN spread IS NULL THEN 2 ELSE greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)) END AS m FROM mh)),
+hh AS (SELECT host, x + mu * m AS a, n - x + (1 - mu) * m AS b, (x + mu * m) / (n + m) AS mean FROM h2, (SELECT CASE WHEN spread IS NULL THEN 2 ELSE greatest(1, least(10000, CASE WHEN spread - noise * share > 0 THEN (noise - spread) / (spread - noise * share) ELSE 10000 END)) END AS m FROM mh)),
+base AS (SELECT least(0.999::DOUBLE, 2 * mu) AS top FROM r),
+-- the regularised incomplete beta function by its continued fraction, step by step, from the side where it converges fast
+side AS (SELECT host, top < (a + 1) / (a + b + 2) AS lower, CASE WHEN top < (a + 1) / (a + b + 2) THEN a ELSE b END AS a, CASE WHEN top < (a + 1) / (a + b + 2) THEN b ELSE a END AS b,
+                CASE WHEN top < (a + 1) / (a + b + 2) THEN top ELSE 1 - top END AS z FROM hh, base),
+cf(host, k, c, d, f) AS (
+  SELECT host, 0, 1.0::DOUBLE, 1 / (1 - (a + b) * z / (a + 1)), 1 / (1 - (a + b) * z / (a + 1)) FROM side
+  UNION ALL
+  SELECT host, k, 1 + odd / c1, 1 / (1 + odd * d1), f * d1 * c1 * (1 + odd / c1) / (1 + odd * d1)
+  FROM (SELECT host, k, a, b, z, f, 1 + even / c AS c1, 1 / (1 + even * d) AS d1, -(a + k) * (a + b + k) * z / ((a + 2 * k) * (a + 2 * k + 1)) AS odd
+        FROM (SELECT s.*, c, d, f, cf.k + 1 AS k, (cf.k + 1) * (b - cf.k - 1) * z / ((a + 2 * cf.k + 1) * (a + 2 * cf.k + 2)) AS even FROM cf JOIN side s USING (host) WHERE cf.k < 400))),
+tail AS (
+  SELECT host, CASE WHEN lower THEN t ELSE 1 - t END AS below
+  FROM (SELECT s.host, lower, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(z) + b * ln(1 - z)) * f / a AS t FROM side s JOIN cf ON cf.host = s.host AND k = 400)),
 fits AS (
   SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM (SELECT DISTINCT host, path FROM seen) JOIN (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
        ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS t(verdict, h, p)
     ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p), LATERAL (SELECT h || p AS rule) GROUP BY host, path)
-SELECT page_id, seen.host, seen.path, rule,
-       coalesce(verdict, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)) > 0.3 THEN 'block' ELSE 'allow' END) AS verdict,
-       round(mean, 6) AS mean, round(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (w + 1)), 6) AS bound
-FROM seen JOIN hh ON hh.host = seen.host LEFT JOIN fits ON fits.host = seen.host AND fits.path = seen.path
+SELECT page_id, seen.host, seen.path, rule, coalesce(verdict, CASE WHEN below < 0.05 THEN 'block' ELSE 'allow' END) AS verdict,
+       round(mean, 6) AS mean, round(below, 6) AS below, round(top, 6) AS "limit"
+FROM base, seen JOIN hh ON hh.host = regexp_replace(seen.host, ':[0-9]*$', '') JOIN tail ON tail.host = hh.host LEFT JOIN fits ON fits.host = seen.host AND fits.path = seen.path
 """
 
 OP4 = """

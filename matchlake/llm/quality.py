@@ -1,14 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule scores a text; a text whose score lies above the rule's cutoff is rejected. Cutoffs are taken from a fixed grid,
-for each stratum on its own: a labelled holdout tells how many good texts a cutoff would reject, and the cutoff is
-admitted if the exact binomial test rejects, at level delta over the number of all tests (Bonferroni), that its false
-rejection rate is above the rule's share of the risk. So with probability 1 - delta no stratum loses more than `risk` of
-its good texts. The smallest admitted cutoff is used; a rule without one rejects nothing there.
-
-Cases: a null text has no words and fails the base rule; a stratum without enough labels keeps what passes the base rule;
-a null stratum is a stratum of its own; of contradicting labels of one id the worst counts; labels without a text don't
-count; repeated rows each get a row; an empty table gives an empty result. Extra columns stay.
+Each rule scores a text; a text whose score lies above the rule's cutoff is rejected. The rules' cutoffs are tightened
+together, step by step; a labelled holdout of distinct texts tells how many good ones each step would reject. For each
+stratum on its own, steps are tried from the loosest on: one is admitted if the exact binomial test rejects, at level delta
+over the number of strata (Bonferroni), that its false rejection rate is above the risk, and the first that isn't ends the
+sequence (so the steps before it need no further correction). The last admitted step is used. So with probability
+1 - delta no stratum loses more than `risk` of those of its good texts that pass the base rule.
+
+Strata with fewer than POOL_BELOW good texts are tried together, as one stratum; the promise then holds for them as a whole.
+
+Cases: a null text has no words and fails the base rule; with too few labels for any step, a stratum keeps what passes the
+base rule; a null stratum is a stratum of its own; of contradicting labels of one id or text the worst counts; labels
+without a text don't count; copies count once in the holdout; repeated rows each get a row; an empty table gives an empty
+result. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ SYMBOLS = "[#*$%&|<>]"
 #: Words of a window, for repeats.
 WINDOW = 8
 MIN_WORDS, MAX_REPEATS = 20, 30
-#: Rules and the cutoffs that may be chosen.
-GRIDS = {
-    "symbol_share": (0.05, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3, 0.5),
-    "dup_line_share": (0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
-    "repeat_share": (0.1, 0.15, 0.2, 0.25),
-    "upper_share": (0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
+#: Rules and their cutoffs at each step, the loosest first.
+STEPS = {
+    "symbol_share": (0.5, 0.3, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05),
+    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
+    "repeat_share": (0.29, 0.28, 0.27, 0.26, 0.25, 0.225, 0.2, 0.15, 0.1),
+    "upper_share": (0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
 }
+N_STEPS = 9
 RISK, DELTA = 0.05, 0.05
+#: Good texts of a stratum that is tried on its own.
+POOL_BELOW = 200
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -60,7 +67,7 @@ def repeated_words(w: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the rules' scores; without the text."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the rules' scores, and the first step that rejects; without the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     made = docs.withColumns({"_w": words(F.col(text_col)), "_lines": lines})
@@ -85,7 +92,9 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "upper_share": share("_upper", "word_chars"),
         }
     )
-    return made.drop(text_col, "_w", "_lines", "_n_lines", "_upper")
+    passed = lambda rule, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda x: x >= F.col(rule)))
+    step = F.least(*(passed(rule, grid) for rule, grid in STEPS.items()))
+    return made.withColumn("step", step).drop(text_col, "_w", "_lines", "_n_lines", "_upper")
 
 
 def log_gamma(x: Column) -> Column:
@@ -109,30 +118,30 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.exp(at_k) * lower).otherwise(1.0)
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, id_col: str, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, <rule>_cutoff...): for each stratum the smallest admitted cutoff of each rule, null where none is."""
-    good = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_q")).where("_q >= 1").select(id_col)
-    held = scored.where("not base_failed").join(good, id_col, "left_semi")
-    counts = [F.count("*").alias("_n")]
-    for rule, grid in GRIDS.items():
-        counts.append(F.array(*(F.sum((F.col(rule) > x).cast("bigint")) for x in grid)).alias(rule))
-    table = held.groupBy(F.col(stratum).alias("_stratum")).agg(*counts)
-    n_strata = scored.select(stratum).distinct().count()
-    level = delta / max(1, n_strata * sum(map(len, GRIDS.values())))
-    admitted = {}
-    for rule, grid in GRIDS.items():
-        pairs = F.arrays_zip(F.array(*map(F.lit, grid)).alias("x"), F.col(rule).alias("k"))
-        ok = F.filter(pairs, lambda c: binomial_tail(c["k"], F.col("_n"), risk / len(GRIDS)) <= level)
-        admitted[f"{rule}_cutoff"] = F.array_min(F.transform(ok, lambda c: c["x"]))
-    return table.select("_stratum", *(c.alias(k) for k, c in admitted.items()))
+def limits(scored: DataFrame, labels: DataFrame, id_col: str, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(_stratum, holdout, last_step): for each stratum the good texts that it, or its pool, was tried on, and the last admitted step, -1 if there is none."""
+    worst = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_q"))
+    texts = scored.where("not base_failed").join(worst, id_col).groupBy(F.col(stratum).alias("_stratum"), "text_hash").agg(F.min("_q").alias("_q"), F.min("step").alias("step"))
+    lost = F.array(*(F.sum((F.col("step") <= k).cast("bigint")) for k in range(N_STEPS)))
+    tried = texts.where("_q >= 1").groupBy("_stratum").agg(F.count("*").alias("n"), lost.alias("lost"))
+    every = scored.select(F.col(stratum).alias("_stratum")).distinct()
+    own = every.join(tried, every["_stratum"].eqNullSafe(tried["_stratum"]), "left").select(every["_stratum"], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lost", F.array_repeat(F.lit(0).cast("bigint"), N_STEPS)).alias("lost"))
+    own = cut(own.withColumn("_alone", F.when(F.col("n") >= POOL_BELOW, F.struct("_stratum"))))
+    pools = own.groupBy("_alone").agg(F.sum("n").alias("holdout"), F.array(*(F.sum(F.get("lost", F.lit(k))) for k in range(N_STEPS))).alias("lost"))
+    level = delta / max(1, pools.count())
+    admitted = F.transform("lost", lambda k: binomial_tail(k, F.col("holdout"), risk) <= level)
+    last = F.when(F.array_contains(admitted, F.lit(False)), F.array_position(admitted, F.lit(False)) - 2).otherwise(N_STEPS - 1)
+    pools = pools.select(F.col("_alone").alias("_pool"), "holdout", last.cast("int").alias("last_step"))
+    return own.join(pools, F.col("_alone").eqNullSafe(F.col("_pool"))).select("_stratum", "holdout", "last_step")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **how) -> DataFrame:
-    """id, stratum, text_hash, the features, their stratum's cutoffs, and kept: not base_failed, and no score above its cutoff."""
+    """id, the features, kept (not base_failed, and rejected by no step up to its stratum's last), stratum, text_hash, the rules' scores, step, and what limits gives its stratum."""
     scored = cut(features(docs.select(id_col, text_col, stratum).withColumn("text_hash", F.xxhash64(text_col)), text_col))
-    limits = cutoffs(scored, labels, id_col, stratum, **how)
-    rejected = F.greatest(*(F.coalesce((F.col(rule) > F.col(f"{rule}_cutoff")), F.lit(False)) for rule in GRIDS))
-    return scored.join(limits, scored[stratum].eqNullSafe(limits["_stratum"]), "left").drop("_stratum").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    found = limits(scored, labels, id_col, stratum, **how)
+    kept = ~F.col("base_failed") & (F.col("step") > F.col("last_step"))
+    out = scored.join(found, scored[stratum].eqNullSafe(found["_stratum"])).withColumn("kept", kept)
+    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", stratum, "text_hash", *STEPS, "step", "holdout", "last_step")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **how) -> DataFrame:

@@ -57,17 +57,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.balanced_shards(table(spark, sf_dir, "documents"))
-    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("position", "again")})
+    return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a page's outcome is the quality label under its number
     outcomes = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
-    return urls.judged(table(spark, sf_dir, "pages"), outcomes).withColumns({c: F.round(c, 6) for c in ("mean", "bound")})
+    return urls.judged(table(spark, sf_dir, "pages"), outcomes).withColumns({c: F.round(c, 6) for c in ("mean", "below", "limit")})
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

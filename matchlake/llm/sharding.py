@@ -18,10 +18,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import cut
+from matchlake.operators.numbering import numbered_within
 
 ROUNDS = 3
 #: Hubs with more than this share of the documents are joined by broadcast.
@@ -106,10 +108,22 @@ def filled(rows: DataFrame, quota: dict[int, int]) -> DataFrame:
     return rows.withColumn("_at", at).withColumn("shard", F.col("_at.shard")).withColumn("slot", F.col("_at.slot").cast("bigint")).drop("_at")
 
 
-def balanced_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """id, size, text_crc32, shard and slot of each row: counts of shards differ by one at most, and equal texts lie together as far as these quotas allow."""
+def read_order(docs: DataFrame) -> Column | None:
+    """Where a row stands in the files that docs are read from, which were written in order; None if docs are no files."""
+    order = F.struct("_metadata.file_name", "_metadata.row_index")
+    try:
+        docs.select(order)
+    except AnalysisException:
+        return None
+    return order
+
+
+def balanced_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, order: Column | None = None) -> DataFrame:
+    """id, size, text_crc32, shard and slot of each row: counts of shards differ by one at most, and equal texts lie together as far as these quotas allow.
+    With an order, the slots of each shard follow it."""
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col), (F.length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("hub"))
+    turn = [] if order is None else [order.alias("turn")]
+    rows = docs.select(F.col(id_col), *turn, (F.length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("hub"))
     rows = cut(rows.withColumn("place", F.xxhash64(id_col, "hub")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")))
     n = rows.count()
     quota = {s: n // shards + (s < n % shards) for s in range(shards)}
@@ -120,4 +134,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     taken = per_shard(small, shards)
     big = propagated(rows.where("kind = 1"), n, {s: max(0, quota[s] - taken[s]) for s in quota}, rounds)
     placed = cut(numbered(small.unionByName(big).unionByName(rows.where("kind = 2"))))
-    return filled(placed, quota).select(id_col, "size", "text_crc32", "shard", "slot")
+    out = filled(placed, quota)
+    if turn:
+        out = numbered_within(out.drop("slot"), "shard", "turn", "place").withColumn("slot", F.col("_k") - 1)
+    return out.select(id_col, "size", "text_crc32", "shard", "slot")

@@ -2,8 +2,10 @@
 
 Labelled page outcomes are counted by host, registered domain and suffix. Each level is shrunk towards the one above it by
 a beta-binomial prior: the prior's mean is the posterior mean above, its strength is estimated from how much the units of
-that level differ (method of moments). A host is blocked if the lower posterior bound of its share of bad pages exceeds a
-limit, so hosts with little evidence are judged by their domain and suffix, and none is blocked on thin evidence.
+that level differ (method of moments). A host is blocked if its share of bad pages lies above the limit, TIMES as much as
+that of all labelled pages, with posterior probability 1 - DOUBT, by the exact beta distribution; so hosts with little
+evidence are judged by their domain and suffix, and none is blocked on thin evidence. Where labels don't differ by host,
+priors are strong and no host is blocked.
 
 For reputation the port is dropped; the suffix is the longest one of the suffix table that the host ends with, else its last
 label; the registered domain has one label more; addresses are domains and suffixes of their own.
@@ -20,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import cut, lower_ascii
+from matchlake.llm.quality import let, log_gamma
 
 #: (verdict, host, path): each holds for its host and all subdomains, for paths that start with its path; the longest wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Public suffixes of several labels; others are a host's last label.
 SUFFIXES = tuple(f"{k}.{c}" for c, kinds in {"uk": "ac co gov ltd me net nhs org plc sch", "au": "com edu gov id net org", "nz": "ac co govt net org", "za": "ac co gov org", "jp": "ac co ed go ne or", "kr": "ac co go or", "in": "ac co gov net org", "br": "com edu gov net org", "mx": "com edu gob org", "ar": "com edu gob org", "cn": "ac com edu gov net org", "tw": "com edu gov org", "tr": "com edu gov org", "il": "ac co gov org"}.items() for k in kinds.split())
-#: Share of bad pages that a host's lower posterior bound must not exceed; the bound's normal quantile.
-LIMIT, Z = 0.3, 1.645
+#: The limit as a multiple of all labelled pages' share of bad ones; the posterior probability of less that a block may have.
+TIMES, DOUBT = 2.0, 0.05
+#: Steps of the continued fraction of the beta distribution: enough for priors of 10,000 pages.
+FRACTION = 400
 #: The whole corpus' prior, and any without labels: so many pages, half of them bad; and the least and largest strength of other priors.
 ROOT, STRENGTHS = 2.0, (1.0, 10_000.0)
 
@@ -81,8 +86,35 @@ def without_port(host: Column) -> Column:
     return F.regexp_replace(host, ":[0-9]*$", "")
 
 
-def reputation(hosts: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
-    """hosts (host, without a port; n, x) with domain, suffix, the posterior mean and its lower bound. suffixes: those of several labels."""
+def log_gamma_above_0(x: Column) -> Column:
+    return log_gamma(x + 1) - F.log(x)
+
+
+def beta_below(a: Column, b: Column, top: Column) -> Column:
+    """The probability of a beta distribution below top, by its continued fraction, from the side where this converges fast."""
+
+    def fraction(s: Column) -> Column:
+        a, b, z = s["a"], s["b"], s["z"]
+
+        def step(f: Column, k: Column) -> Column:
+            even = k * (b - k) * z / ((a + 2 * k - 1) * (a + 2 * k))
+            odd = -(a + k) * (a + b + k) * z / ((a + 2 * k) * (a + 2 * k + 1))
+            c, d = 1 + even / f["c"], 1 / (1 + even * f["d"])
+            return F.struct((1 + odd / c).alias("c"), (1 / (1 + odd * d)).alias("d"), (f["f"] * d * c * (1 + odd / c) / (1 + odd * d)).alias("f"))
+
+        first = 1 / (1 - (a + b) * z / (a + 1))
+        f = F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION)), F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("f")), step, lambda f: f["f"])
+        front = log_gamma_above_0(a + b) - log_gamma_above_0(a) - log_gamma_above_0(b) + a * F.log(z) + b * F.log(1 - z)
+        return F.exp(front) * f / a
+
+    lower = top < (a + 1) / (a + b + 2)
+    sides = F.struct(F.when(lower, a).otherwise(b).alias("a"), F.when(lower, b).otherwise(a).alias("b"), F.when(lower, top).otherwise(1 - top).alias("z"))
+    tail = let(sides, fraction)
+    return F.when(lower, tail).otherwise(1 - tail)
+
+
+def reputation(hosts: DataFrame, suffixes: tuple = SUFFIXES, times: float = TIMES) -> DataFrame:
+    """hosts (host, without a port; n, x) with domain, suffix, the posterior mean, the limit, and the posterior probability below it. suffixes: those of several labels."""
     host = F.col("host")
     part = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(part)), lambda i: F.array_join(F.slice(part, i, F.size(part)), "."))
@@ -99,16 +131,17 @@ def reputation(hosts: DataFrame, suffixes: tuple = SUFFIXES) -> DataFrame:
     suffixes = shrunk(by_suffix.withColumn("root_mean", F.lit(root)), "root_mean").select("suffix", F.col("post").alias("suffix_mean"))
     domains = shrunk(by_domain.join(suffixes, "suffix"), "suffix_mean").select("domain", F.col("post").alias("domain_mean"))
     units = shrunk(named.join(domains, "domain"), "domain_mean")
-    bound = F.col("post") - Z * F.sqrt(F.col("post") * (1 - F.col("post")) / (F.col("weight") + 1))
-    return units.select("host", "domain", "suffix", "n", "x", F.col("post").alias("mean"), bound.alias("bound"))
+    a, limit = F.col("post") * F.col("weight"), min(0.999, times * root)
+    below = beta_below(a, F.col("weight") - a, F.lit(limit))
+    return units.select("host", "domain", "suffix", "n", "x", F.col("post").alias("mean"), F.lit(limit).alias("limit"), below.alias("below"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, rules: tuple = RULES, suffixes: tuple = SUFFIXES) -> DataFrame:
-    """id, host, path, rule, verdict and the host's posterior mean and bound. outcomes: (id, bad)."""
+def judged(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", times: float = TIMES, rules: tuple = RULES, suffixes: tuple = SUFFIXES) -> DataFrame:
+    """id, host, path, rule, verdict, the host's posterior mean, the probability that its share is below the limit, and the limit. outcomes: (id, bad)."""
     seen = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     bad = outcomes.groupBy(id_col).agg(F.max("bad").cast("int").alias("bad"))
     hosts = seen.join(bad, id_col, "left").groupBy(without_port(F.col("host")).alias("host")).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    known = reputation(hosts, suffixes).select(F.col("host").alias("_host"), "mean", "bound")
+    known = reputation(hosts, suffixes, times).select(F.col("host").alias("_host"), "mean", "below", "limit")
     out = seen.join(known, without_port(F.col("host")) == F.col("_host"), "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") > limit, "block").otherwise("allow"))
-    return out.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "mean", "bound")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("below") < DOUBT, "block").otherwise("allow"))
+    return out.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "mean", "below", "limit")

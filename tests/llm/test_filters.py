@@ -66,6 +66,21 @@ def test_few_labels_reject_nothing_more(spark):
     assert quality.judged(docs.limit(0), spark.createDataFrame([], "doc_id int, quality int")).count() == 0
 
 
+def test_copies_prove_nothing_and_small_strata_are_pooled(spark):
+    text = lambda k, tail="": " ".join(f"w{k}x{j}" for j in range(25)) + tail
+    junk = " ".join(f"w{j}###" for j in range(30))
+    copies = [(k, text(0), "en") for k in range(300)]
+    few = [(1000 + 100 * s + k, text(1000 + 100 * s + k), f"l{s}") for s in range(5) for k in range(50)]
+    bad = [(5000, junk, "en"), (5001, junk, "l1"), (5002, junk, None)]
+    rows = [*copies, *few, *bad]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in copies + few] + [(7, 1), (7, 1)], "doc_id int, quality int")
+    out = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id int, text string, lang string"), labels).collect()}
+    assert out[0].holdout == 251 and out[1000].holdout == 251  # 300 copies are one text, and all strata are small
+    assert [out[i].kept for i in (0, 1000, 5000, 5001, 5002)] == [True, True, False, False, False]
+    alone = quality.judged(spark.createDataFrame(copies + bad[:1], "doc_id int, text string, lang string"), labels).collect()
+    assert all(r.kept and r.holdout == 1 and r.last_step == -1 for r in alone)
+
+
 def contaminated(text, items, n=10):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, ids = norm(text), set(), set()

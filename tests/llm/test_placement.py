@@ -37,11 +37,12 @@ def test_mix(spark):
     texts = [(k, " ".join("w" * 1 for _ in range(k % 40)), "hot" if k % 3 else f"s{k % 7}") for k in range(900)] + [(5000, None, "s0"), (5001, "", None), (5002, "a b", None), (5002, "a b", None)]
     df = spark.createDataFrame([(*t, "x") for t in texts], "doc_id int, text string, source string, size string")
     out = mixing.mixed(df).collect()
+    words = sum(round(t) for t in {r.source: r.target for r in out}.values())
     assert len(out) == len(texts)
     by = defaultdict(list)
     for r in out:
         assert 0 <= r.taken <= 2 * r.size
-        assert (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1)
+        assert (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= words)
         by[r.source].append(r)
     for own in by.values():
         assert sum(r.size for r in own) == own[0].source_size
@@ -63,6 +64,34 @@ def test_moment_inverts_the_schedule(spark):
             assert t + slope / 2 * (t * t - t) == pytest.approx(share, abs=1e-9)
 
 
+def test_shares_follow_the_schedule(spark):
+    """In each tenth of the training words come from the sources as their schedules say at that time."""
+    texts = [(k, " ".join(["w"] * (1 + k % 9)), f"s{k % 3}") for k in range(9000)]
+    out = mixing.mixed(spark.createDataFrame(texts, "doc_id int, text string, source string")).collect()
+    target = {r.source: r.target for r in out}
+    slope = dict(zip(sorted(target), mixing.SLOPES))
+    whole = sum(target.values())
+    given = lambda t: {s: target[s] * (t + slope[s] / 2 * (t * t - t)) for s in target}
+    got = defaultdict(Counter)
+    for r in out:
+        first = min(r.size, r.taken)
+        for at, n in ((r.position, first), (r.again, r.taken - first)):
+            if at is not None:
+                got[min(9, int(10 * at / whole))][r.source] += n
+    time = [0.0]
+    for k in range(1, 11):  # when a tenth more has been given, by bisection
+        a, b = time[-1], 1.0
+        for _ in range(60):
+            mid = (a + b) / 2
+            a, b = (mid, b) if sum(given(mid).values()) < k * whole / 10 else (a, mid)
+        time.append(b)
+    for k in range(10):
+        for s in target:
+            want = given(time[k + 1])[s] - given(time[k])[s]
+            assert abs(got[k][s] - want) <= 30, (k, s)
+    assert max(got[9][s] - got[0][s] for s in target) > whole / 100
+
+
 @pytest.mark.parametrize("n, hot", [(0, 0), (5, 0), (700, 0), (700, 300), (3000, 1100)])
 def test_shards(spark, n, hot):
     rows = [(k, "hot" if k < hot else f"t{k // 3}" if k % 2 else f"alone{k}", "x") for k in range(n)]
