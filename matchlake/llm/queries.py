@@ -31,7 +31,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "format")
     counts = [_count("spans", k) for k in secret_scan.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts[:-1], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), counts[-1], "n_scored", F.round("top_score", 6).alias("top_score"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
