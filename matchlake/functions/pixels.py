@@ -37,5 +37,16 @@ def gradient_hash(grid: Column, width: int, height: int) -> Column:
     return F.aggregate(steps, F.lit(0).cast("bigint"), lambda h, k: F.shiftleft(h, 1).bitwiseOR((F.get(grid, k) < F.get(grid, k + 1)).cast("bigint")))
 
 
+def wide_hash(grid: Column, width: int, height: int) -> Column:
+    """The bits of gradient_hash for grids of more than 64 pairs, as an array of longs; the first is highest, and the last may have fewer bits."""
+    steps = [(y * width + x) for y in range(height) for x in range(width - 1)]
+    part = lambda own: F.aggregate(F.array(*map(F.lit, own)), F.lit(0).cast("bigint"), lambda h, k: F.shiftleft(h, 1).bitwiseOR((F.get(grid, k) < F.get(grid, k + 1)).cast("bigint")))
+    return F.array(*(part(steps[a : a + 64]) for a in range(0, len(steps), 64)))
+
+
+def wide_hamming(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda s, x: s + x)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

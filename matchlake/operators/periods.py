@@ -72,6 +72,13 @@ def expand_tokens(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(g), "token", "left").select(F.coalesce("version", "token").alias("version")).distinct()
 
 
+def retire_tokens(tokens: DataFrame, retired: DataFrame) -> DataFrame:
+    """(version, ord) of tokens (token, ord) in their order, each once: a retired token (token, versions) gives its versions in its place."""
+    rows = tokens.join(F.broadcast(retired.select("token", "versions")), "token", "left")
+    each = rows.select("ord", F.posexplode(F.coalesce("versions", F.array("token"))).alias("pos", "version"))
+    return each.groupBy("version").agg(F.min(F.struct("ord", "pos")).alias("ord"))
+
+
 def boundary_violations(seasons: DataFrame, patches: DataFrame) -> DataFrame:
     """(version, rule): days that are none, versions that look like eras, repeats, hotfixes with a row of their own, starts out of order or of season, and seasons that don't open with a patch."""
     w = patch_windows(patches, seasons)

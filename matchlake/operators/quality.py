@@ -24,6 +24,13 @@ def contract_violations(replays: DataFrame, df: DataFrame, windows: DataFrame) -
     return out
 
 
+def count_parity(df: DataFrame, replays: DataFrame, stats: DataFrame) -> DataFrame:
+    """(name, found, wanted) where the replays or the statistics' total (name, k1, k2, n) aren't as many as the records."""
+    wanted = df.agg(F.count("*").alias("wanted"))
+    found = replays.agg(F.lit("replays").alias("name"), F.count("*").alias("found")).unionByName(stats.where("name = 'totals.replays'").select("name", F.col("n").alias("found")))
+    return found.join(F.broadcast(wanted), F.lit(True)).where("found <> wanted")  # one row of counts against two
+
+
 def to_replay(df: DataFrame) -> DataFrame:
     """The contract's rows: id, sides, date, patch, source, title, views, thumb; durationSec, fuses and fusesUnordered null where they are left out."""
     none = F.array().cast("array<string>")

@@ -81,6 +81,29 @@ def mint_names(names: DataFrame, taken: DataFrame) -> DataFrame:
     return placed.select("name", "slug", F.when(F.col("_k") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), F.col("_k"))).alias("id"))
 
 
+def resolve_manual(manual: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manual with each player's id and display name in place of the name; new entries). An alias of the registry (ord, id, name, aliases) names its
+    entry; any other name is exact, takes a free id, and is registered as featured. Distinct names are resolved once; blank ones go."""
+    at = manual.select("id", F.posexplode_outer("teams").alias("side", "t")).select("id", "side", "t", F.posexplode_outer("t.players").alias("pos", "name"))
+    at = at.withColumn("name", F.trim("name")).withColumn("key", F.lower("name"))
+    names = at.where("key <> ''").groupBy("key").agg(F.min_by("name", F.struct("id", "side", "pos")).alias("name"), F.min(F.struct("id", "side", "pos")).alias("ord"))
+    known = alias_dim(registry).select(F.col("alias").alias("key"), F.col("id").alias("_id"))
+    found = names.join(known, "key", "left").join(registry.select(F.col("id").alias("_id"), F.col("name").alias("_name")), "_id", "left")
+    slug = F.coalesce(X.empty_to_null(X.unicode_slug(F.col("name"))), F.lit("player"))
+    fresh = found.where("_id is null").select("key", "name", slug.alias("slug"), "ord")
+    minted = mint_names(fresh.select(F.col("key").alias("name"), "slug", "ord"), registry.select("id")).select(F.col("name").alias("key"), F.col("id").alias("_id"))
+    new = fresh.join(minted, "key").select("key", F.col("_id").alias("id"), "name")
+    entry = found.where("_id is not null").select("key", F.col("_id").alias("player"), F.col("_name").alias("displayName")).unionByName(new.select("key", F.col("id").alias("player"), F.col("name").alias("displayName")))
+    named = at.join(entry, "key", "left").groupBy("id", "side").agg(
+        F.first("t").alias("t"), F.array_sort(F.collect_list(F.when(F.col("player").isNotNull(), F.struct("pos", F.col("player").alias("id"), "displayName")))).alias("p")
+    )
+    players = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["displayName"].alias("displayName")))
+    side = F.when(F.col("side") == 0, "left").otherwise("right")
+    team = F.when(F.col("t").isNotNull(), F.struct("side", F.struct(side.alias("side"), players.alias("players"), F.col("t.characters").alias("characters"), F.col("t.fuse").alias("fuse")).alias("team")))
+    teams = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(team)), lambda x: x["team"]).alias("teams"))
+    return manual.drop("teams").join(teams, "id", "left"), new.select("id", "name", F.lit(True).alias("featured"), F.array("key").alias("aliases"))
+
+
 def discover(names: DataFrame, registry_ids: DataFrame) -> DataFrame:
     """(slug, id, handle, aliases, n) of unresolved names (name, slug, ord): the handle is the most frequent spelling, of equals the first seen."""
     by_name = names.groupBy("slug", "name").agg(F.count("*").alias("n"), F.min("ord").alias("first"))

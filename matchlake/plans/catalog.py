@@ -164,11 +164,12 @@ def relabelled_players(spark, sf):
     return r.select("id", F.explode("teams").alias("t")).select("id", "t.side", F.array_join("t.players.displayName", ",").alias("names"))
 
 
-@query(""", used AS (SELECT DISTINCT unnest(list_concat(lp, rp)) AS id FROM recs WHERE n % 400 = 0)
-SELECT s_name AS id FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_name FROM supplier JOIN used ON used.id = s_name WHERE s_suppkey % 2 = 1""")
+@query(""", used AS (SELECT DISTINCT unnest(list_concat(lp, rp)) AS id FROM recs)
+SELECT r_name AS id FROM region UNION ALL SELECT id FROM (SELECT s_name AS id FROM supplier UNION ALL SELECT c_name FROM customer) JOIN used USING (id)""")
 def pruned_registry(spark, sf):
-    s = V.table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("id"))
-    return resolve.prune_unreferenced(s.where("s_suppkey % 2 = 0").select("id"), s.where("s_suppkey % 2 = 1").select("id"), V.records(spark, sf).where(_n() % 400 == 0))
+    """Of entries made of suppliers and customers those stay that a record names, and all of the seed."""
+    made = V.table(spark, sf, "supplier").select(F.col("s_name").alias("id")).union(V.table(spark, sf, "customer").select("c_name"))
+    return resolve.prune_unreferenced(V.table(spark, sf, "region").select(F.col("r_name").alias("id")), made, V.records(spark, sf))
 
 
 @query("""SELECT c_name AS name, slug, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS id FROM (
@@ -199,8 +200,8 @@ def detection_merge(spark, sf):
 
 
 def _manual(spark, sf):
-    """Hand-written rows out of every hundredth customer: season given, given as null, or not given."""
-    c = V.table(spark, sf, "customer").where("c_custkey % 10 = 0")
+    """Hand-written rows out of the customers: season given, given as null, or not given."""
+    c = V.table(spark, sf, "customer")
     k = F.col("c_custkey")
     team = lambda p: F.struct(F.array(F.col("c_name")).alias("players"), p.alias("characters"), F.lit(None).cast("string").alias("fuse"))
     pair = F.array(F.lit("vi"), F.lit("jinx"))
@@ -224,11 +225,39 @@ def _manual(spark, sf):
     )
 
 
-_MANUAL = """, mn AS (SELECT 'm' || c_custkey AS id, c_custkey AS k, strftime('1995-06-01'::DATE + (c_custkey % 2000)::INT, '%Y-%m-%d') AS day FROM customer WHERE c_custkey % 10 = 0),
+_MANUAL = """, mn AS (SELECT 'm' || c_custkey AS id, c_custkey AS k, strftime('1995-06-01'::DATE + (c_custkey % 2000)::INT, '%Y-%m-%d') AS day FROM customer),
 md AS (SELECT mn.*, CASE WHEN k % 20 = 0 THEN CASE WHEN k % 40 = 0 THEN 1 END ELSE se.season END AS season, CASE WHEN k % 30 <> 0 THEN w.version END AS version,
 CASE WHEN k % 60 = 0 THEN 'grand-finals' ELSE 'grand-finals,mirror' END AS tags FROM mn LEFT JOIN seasons se ON day >= se.s AND (se.e IS NULL OR day < se.e) LEFT JOIN windows w ON day >= w.start AND (w.wend IS NULL OR day < w.wend))"""
 
 
+_RESOLVED = """, mr AS (SELECT 'm' || c_custkey AS id, CASE WHEN s_suppkey IS NOT NULL THEN 'p' || s_suppkey ELSE lower(replace(c_name, '#', '')) END AS player, coalesce(s_name, c_name) AS display FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)"""
+
+
+def _hand_registry(spark, sf):
+    """Suppliers, each with the customer's name of its number as an alias."""
+    k = F.col("s_suppkey")
+    return V.table(spark, sf, "supplier").select(k.alias("ord"), F.concat(F.lit("p"), k).alias("id"), F.col("s_name").alias("name"), F.array(F.lower(F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")))).alias("aliases"))
+
+
+def _resolved(spark, sf):
+    return resolve.resolve_manual(_manual(spark, sf), _hand_registry(spark, sf))
+
+
+@query(_RESOLVED + " SELECT id, player, display FROM mr")
+def manual_resolved(spark, sf):
+    """Hand-written names by alias, and new ones with ids of their own."""
+    rows, _ = _resolved(spark, sf)
+    first = F.get(F.get("teams", F.lit(0))["players"], F.lit(0))
+    return rows.select("id", first["id"].alias("player"), first["displayName"].alias("display"))
+
+
+@query(_RESOLVED + " SELECT player AS id, display AS name, true AS featured, lower(display) AS aliases FROM mr WHERE NOT starts_with(player, 'p')")
+def manual_registered(spark, sf):
+    """New hand-written names are registered as featured."""
+    _, new = _resolved(spark, sf)
+    return new.select("id", "name", "featured", F.array_join("aliases", ",").alias("aliases"))
+
+
 @query(_MANUAL + """ SELECT id, season, version AS "patchVersion", coalesce(CASE WHEN k % 20 = 0 THEN 'Evo' END, NULL) AS "channelName", CASE WHEN k % 30 = 0 THEN 60 ELSE 0 END AS "durationSec", 0::BIGINT AS "viewCount",
 CASE WHEN k % 70 = 0 THEN 'odd' ELSE 'tournament' END AS "matchType", tags FROM md""")
 def manual_defaults(spark, sf):
@@ -242,17 +271,18 @@ def manual_union(spark, sf):
     return merge.union_manual(V.records(spark, sf).select("id", "channel", "season"), m.select("id", "channel", "season"))
 
 
-@query(_MANUAL + """, al AS (SELECT id, CASE WHEN n % 50 = 1 THEN 1 WHEN n % 50 = 2 THEN NULL ELSE season END AS season, version FROM recs WHERE n % 50 <> 3 UNION ALL SELECT id, season, version FROM md)
-SELECT al.id, al.season, CASE WHEN w.season IS NOT DISTINCT FROM al.season THEN al.version END AS "patchVersion" FROM al LEFT JOIN windows w ON w.version = al.version""")
+@query(_MANUAL + _RESOLVED + """, al AS (SELECT id, CASE WHEN n % 50 = 1 THEN 1 WHEN n % 50 = 2 THEN NULL ELSE season END AS season, version, array_to_string(lp, ',') AS players FROM recs WHERE n % 50 <> 3 UNION ALL SELECT md.id, season, version, player FROM md JOIN mr ON mr.id = md.id)
+SELECT al.id, al.season, CASE WHEN w.season IS NOT DISTINCT FROM al.season THEN al.version END AS "patchVersion", players AS left_players FROM al LEFT JOIN windows w ON w.version = al.version""")
 def layered(spark, sf):
     r = V.records(spark, sf)
     w = V.windows(spark, sf)
     names = ["id", "channel", "season", "patchVersion", "viewCount", "fusesUnordered", "teams"]
-    m = merge.manual_records(_manual(spark, sf), V.seasons(spark), w).drop("teams")
-    return merge.layered(r.select(*names), V.detections(r), V.overrides(r), m, w).select("id", "season", "patchVersion")
+    m = merge.manual_records(_resolved(spark, sf)[0], V.seasons(spark), w)
+    out = merge.layered(r.select(*names), V.detections(r), V.overrides(r), m, w)
+    return out.select("id", "season", "patchVersion", F.array_join(F.get("teams", F.lit(0))["players"]["id"], ",").alias("left_players"))
 
 
-@query(""", mn AS (SELECT 'm' || c_custkey AS id, c_custkey AS k FROM customer WHERE c_custkey % 10 = 0)
+@query(""", mn AS (SELECT 'm' || c_custkey AS id, c_custkey AS k FROM customer)
 SELECT id, 'missing-tournament' AS rule FROM mn WHERE k % 20 <> 0 UNION ALL SELECT id, 'bad-match-type' FROM mn WHERE k % 70 = 0
 UNION ALL SELECT id, 'id-in-dumps' FROM mn WHERE k % 90 = 0 UNION ALL SELECT id, 'unknown-character' FROM mn UNION ALL SELECT id, 'duplicate-id' FROM mn WHERE k % 110 = 0
 UNION ALL SELECT id, 'missing-tournament' FROM mn WHERE k % 110 = 0 AND k % 20 <> 0 UNION ALL SELECT id, 'bad-match-type' FROM mn WHERE k % 110 = 0 AND k % 70 = 0 UNION ALL SELECT id, 'id-in-dumps' FROM mn WHERE k % 110 = 0 AND k % 90 = 0""")
@@ -264,7 +294,7 @@ def manual_violations(spark, sf):
     return merge.manual_violations(twice, m.where(k % 90 == 0).select("id"), known, known)
 
 
-@query(""" SELECT 'm' || c_custkey AS id FROM customer WHERE c_custkey % 10 = 0 AND (c_custkey % 50 = 0 OR c_custkey % 60 = 0)""")
+@query(""" SELECT 'm' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0 OR c_custkey % 60 = 0""")
 def manual_needs_work(spark, sf):
     return facets.needs_characters(_manual(spark, sf)).select("id")
 
@@ -295,6 +325,16 @@ def contract_violations(spark, sf):
     return quality.contract_violations(replays, r.withColumn("season", F.when(_n() % 83 == 0, 0).otherwise(F.col("season"))), V.windows(spark, sf))
 
 
+@query("""SELECT 'replays' AS name, count(*) FILTER (n % 97 <> 0) AS found, count(*) AS wanted FROM recs
+UNION ALL SELECT 'totals.replays', count(*) FILTER (n % 97 <> 0), count(*) FROM recs""")
+def contract_parity(spark, sf):
+    """Replays and totals made of less than all records."""
+    r = V.records(spark, sf)
+    some = r.where(_n() % 97 != 0)
+    made = stats.contract_stats(some, V.table(spark, sf, "part").select("p_brand").distinct(), V.table(spark, sf, "supplier"))
+    return quality.count_parity(r, quality.to_replay(some), made)
+
+
 @query("SELECT id FROM recs WHERE day >= '1998-01-01' AND day < '1999-01-01' AND version IS DISTINCT FROM '1998.2'")
 def window_violations(spark, sf):
     return quality.window_violations(V.records(spark, sf), "1998-01-01", "1999-01-01", 1, "1998.2").select("id")
@@ -360,12 +400,12 @@ def orientation_upsert(spark, sf):
 
 
 @query("""SELECT 'm' || c_custkey AS id, CASE WHEN c_custkey % 30 = 0 AND c_custkey % 80 <> 0 THEN 'jinx' ELSE 'vi,jinx' END AS left_characters, CASE WHEN c_custkey % 30 = 0 AND c_custkey % 80 <> 0 AND c_custkey % 60 = 0 THEN 'F' END AS fuse,
-CASE WHEN c_custkey % 50 = 0 AND NOT (c_custkey % 30 = 0 AND c_custkey % 80 <> 0) THEN 'check' END AS todo FROM customer WHERE c_custkey % 10 = 0""")
+CASE WHEN c_custkey % 50 = 0 AND NOT (c_custkey % 30 = 0 AND c_custkey % 80 <> 0) THEN 'check' END AS todo FROM customer""")
 def manual_edits(spark, sf):
     return _edits(spark, sf)[0].select("id", F.array_join(F.get("teams", F.lit(0))["characters"], ",").alias("left_characters"), F.get("teams", F.lit(0))["fuse"].alias("fuse"), "todo")
 
 
-@query("""SELECT 'm' || c_custkey AS id, 'unknown-character' AS note FROM customer WHERE c_custkey % 30 = 0 AND c_custkey % 80 = 0 AND c_custkey % 10 = 0
+@query("""SELECT 'm' || c_custkey AS id, 'unknown-character' AS note FROM customer WHERE c_custkey % 30 = 0 AND c_custkey % 80 = 0
 UNION ALL SELECT 'm' || c_custkey, unnest(['left-odd', 'right-empty']) FROM customer WHERE c_custkey % 30 = 0 AND c_custkey % 80 <> 0""")
 def manual_edit_notes(spark, sf):
     return _edits(spark, sf)[1]
@@ -433,9 +473,9 @@ def keyword_scan(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", X.scan_alias(F.col("p_name"), [("zzz", "z"), ("red", "r")]).alias("alias_id"))
 
 
-@query("""SELECT DISTINCT substr(regexp_extract(text, '^([^\\x00-\\x20]+)', 1), 1, 40) AS name, regexp_replace(lower(strip_accents(substr(regexp_extract(text, '^([^\\x00-\\x20]+)', 1), 1, 40))), '[^a-z0-9]+', '', 'g') AS slug FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT DISTINCT regexp_extract(text, '^([^\\x00-\\x20]+)', 1) AS name, regexp_replace(lower(strip_accents(regexp_extract(text, '^([^\\x00-\\x20]+)', 1))), '[^a-z0-9]+', '', 'g') AS slug FROM documents WHERE text IS NOT NULL""")
 def slugs_unicode(spark, sf):
-    names = V.table(spark, sf, "documents").where("text is not null").select(F.substring(F.regexp_extract("text", r"^([^\x00-\x20]+)", 1), 1, 40).alias("name")).distinct()
+    names = V.table(spark, sf, "documents").where("text is not null").select(F.regexp_extract("text", r"^([^\x00-\x20]+)", 1).alias("name")).distinct()
     return names.select("name", X.unicode_slug(F.col("name")).alias("slug"))
 
 

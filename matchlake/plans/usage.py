@@ -110,6 +110,16 @@ def facet_tokens(spark, sf):
     return periods.expand_tokens(spark.createDataFrame([("S0",), ("1999.2",)], "token string"), groups)
 
 
+@query("""SELECT version, list_position(['S0', '1999'], min_by(t, p)) AS ord FROM (
+SELECT 'S0' AS t, 0 AS p, 'S0' AS version UNION ALL SELECT '1999', 1, version FROM windows WHERE starts_with(version, '1999.') UNION ALL SELECT '1999.2', 2, '1999.2') GROUP BY version""")
+def facet_tokens_retired(spark, sf):
+    """A token that is no more stands for a year's patches; one of these that is named again counts once."""
+    w = V.windows(spark, sf).where("version like '1999.%'")
+    retired = w.groupBy(F.lit("1999").alias("token")).agg(F.array_sort(F.collect_list("version")).alias("versions"))
+    tokens = spark.createDataFrame([("S0", 1), ("1999", 2), ("1999.2", 3)], "token string, ord int")
+    return periods.retire_tokens(tokens, retired).select("version", "ord.ord")
+
+
 @query("SELECT id FROM recs WHERE lf IN (SELECT min(p_type) FROM part) OR rf IN (SELECT min(p_type) FROM part)")
 def facet_fuse(spark, sf):
     first = V.table(spark, sf, "part").agg(F.min("p_type")).first()[0]
