@@ -84,11 +84,36 @@ def template_nearest(spark, sf):
     return evidence.template_distance(h, h.orderBy("id").limit(5).withColumnRenamed("id", "name"))
 
 
-@query("SELECT x.id AS a, y.id AS b, bit_count(xor(x.dhash, y.dhash))::INT AS ham FROM grid x JOIN grid y ON x.id < y.id AND x.dhash >> 42 = y.dhash >> 42")
+@query(""", rep AS (SELECT dhash, min(id) AS id FROM grid GROUP BY dhash) SELECT x.id AS a, y.id AS b, bit_count(xor(x.dhash, y.dhash))::INT AS ham FROM rep x JOIN rep y ON x.id < y.id AND bit_count(xor(x.dhash, y.dhash)) <= 12
+UNION ALL SELECT rep.id, grid.id, 0 FROM grid JOIN rep USING (dhash) WHERE grid.id <> rep.id""")
 def hash_near_pairs(spark, sf):
-    h = V.copy_hashes(spark, sf).withColumn("block", F.shiftright("dhash", 42))
-    a, b = (h.select("block", F.col("id").alias(k), F.col("dhash").alias(f"h{k}")) for k in "ab")
-    return a.join(b, "block").where("a < b").select("a", "b", P.hamming(F.col("ha"), F.col("hb")).alias("ham"))
+    return dupes.near_hashes(V.copy_hashes(spark, sf))
+
+
+_WIDE = """, cell AS (SELECT vec_id, list_transform(range(0, 264), lambda k: embedding[(k * 7) % 64 + 1] * (1 + k % 5)) AS g FROM embeddings),
+wide AS (SELECT vec_id, list_transform(range(0, 4), lambda p: list_reduce(list_prepend(0::HUGEINT, list_transform(range(0, 64), lambda j:
+  (g[((p * 64 + j) // 32) * 33 + (p * 64 + j) % 32 + 1] < g[((p * 64 + j) // 32) * 33 + (p * 64 + j) % 32 + 2])::HUGEINT)), lambda h, b: h * 2 + b)) AS u FROM cell)"""
+
+
+def _wide(spark, sf):
+    e = V.table(spark, sf, "embeddings")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(263)), lambda k: F.get("embedding", k * 7 % 64) * (1 + k % 5))
+    return e.select("vec_id", grid.alias("g")).select("vec_id", P.wide_hash(F.col("g"), 33, 8).alias("h"))
+
+
+@query(_WIDE + " SELECT vec_id, array_to_string(list_transform(u, lambda x: (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::VARCHAR), ',') AS hash FROM wide")
+def wide_grid_hash(spark, sf):
+    """256 bits of a grid of 33 by 8, of each vector's values laid out repeatedly."""
+    return _wide(spark, sf).select("vec_id", F.array_join(F.col("h").cast("array<string>"), ",").alias("hash"))
+
+
+@query(_WIDE + """, t AS (SELECT vec_id AS t, u AS tu FROM wide ORDER BY vec_id LIMIT 1)
+SELECT vec_id, list_sum(list_transform(range(1, 5), lambda k: bit_count(xor(u[k]::HUGEINT, tu[k]::HUGEINT))))::INT AS dist FROM wide, t""")
+def wide_template_distance(spark, sf):
+    """How far each wide hash is from that of the first vector."""
+    h = _wide(spark, sf)
+    first = h.orderBy("vec_id").limit(1).select(F.col("h").alias("t"))
+    return h.join(F.broadcast(first), F.lit(True)).select("vec_id", P.wide_hamming(F.col("h"), F.col("t")).alias("dist"))
 
 
 _HANDLES = """, base AS (SELECT DISTINCT p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a FROM part),

@@ -1,6 +1,6 @@
 """The proxy views in SQL, for the queries' oracles."""
 
-BASE = """
+BASE = r"""
 seasons(season, s, e) AS (VALUES (0, '1996-01-01', '1998-01-01'), (1, '1998-01-01', NULL)),
 ord AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
 patches AS (SELECT year(o_orderdate) || '.' || quarter(o_orderdate) AS version, min(day) AS start FROM ord WHERE day >= '1996-01-01' GROUP BY 1),
@@ -26,7 +26,8 @@ sides AS (
 pairs AS (SELECT *, CASE WHEN len(chars) = 2 THEN array_to_string(chars, '|') END AS pair FROM sides),
 det AS (SELECT id, rf AS l, lf AS r, CASE st WHEN 'F' THEN 'ok' WHEN 'O' THEN 'ok-unordered' ELSE 'low' END AS status FROM recs WHERE n % 7 <> 0),
 copies AS (
-  SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, lang || '|' || substr(text, 1, 24) AS sig, n_chars::INT AS dur,
+  SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, array_to_string(list_sort([coalesce(lang, 'none') || '|w' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) // 10,
+           'l' || (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) || '|v' || (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[aeiou]+', '', 'g'))) // 25]), ' ~ ') AS sig, n_chars::INT AS dur,
          (regexp_extract(source, '([0-9]+)', 1)::INT % 3)::VARCHAR AS channel, lpad((doc_id * 7919 % 1000)::VARCHAR, 4, '0') AS pub,
          doc_id % 41 = 0 AS ov, doc_id % 3 = 0 AS fu FROM documents),
 grid AS (SELECT lpad(vec_id::VARCHAR, 12, '0') AS id,

@@ -119,12 +119,19 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as recordings: the signature is language and beginning, the duration the length."""
+    """Documents as recordings: the sides are named by language, words, lines and vowels of the whole text, the duration is the length."""
+    from matchlake.operators import dupes
+
     d = table(spark, sf, "documents")
     n = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    words = F.floor(F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))) / 10)
+    vowels = F.floor((F.length(text) - F.length(F.regexp_replace(text, "[aeiou]+", ""))) / 25)
+    side = lambda player, character: F.struct(F.array(F.struct(F.lit("none").alias("id"), player.alias("displayName"))).alias("players"), F.array(character).alias("characters"))
+    teams = F.array(side(F.coalesce("lang", F.lit("none")), F.concat(F.lit("w"), words)), side(F.concat(F.lit("l"), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))), F.concat(F.lit("v"), vowels)))
     return d.select(
         F.lpad(n.cast("string"), 12, "0").alias("id"),
-        F.concat(F.col("lang"), F.lit("|"), F.substring("text", 1, 24)).alias("sig"),
+        dupes.signature(teams).alias("sig"),
         F.col("n_chars").cast("int").alias("durationSec"),
         (F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 3).cast("string").alias("channel"),
         F.lpad((n * 7919 % 1000).cast("string"), 4, "0").alias("publishedAt"),
