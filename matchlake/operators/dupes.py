@@ -7,7 +7,6 @@ splits, and the result itself has a row for each pair, as the audit asks.
 
 from __future__ import annotations
 
-import tempfile
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import pixels as P
 from matchlake.functions import text as X
+from matchlake.operators.checkpoints import cut
 
 WINDOW_SEC = 90
 TIERS = ("A", "B", "C")
@@ -22,14 +22,6 @@ TIERS = ("A", "B", "C")
 WEIGHTS = {"slug": 5, "leet": 4, "sponsor": 3, "initials": 3, "typo": 2, "affix": 1}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df kept in the shared checkpoint folder that the session names (a temporary one only if it names none)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def signature(teams: Column) -> Column:
     """Players and characters of both sides, whatever their order; null unless both sides have both."""
     side = lambda t: F.concat_ws("|", F.array_join(F.array_sort(F.transform(t["players"], lambda p: F.coalesce(X.empty_to_null(X.slug(p["displayName"])), p["id"]))), ","), F.array_join(F.array_sort(t["characters"]), ","))

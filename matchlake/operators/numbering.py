@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.operators.dupes import cut
+from matchlake.operators.checkpoints import cut
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:

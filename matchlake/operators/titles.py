@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
 from matchlake.operators import periods, resolve
+from matchlake.operators.checkpoints import cut
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -37,8 +38,8 @@ def tokens(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build_records(raw: DataFrame, characters: DataFrame, players: DataFrame, fuses: list[tuple[str, str]], seasons: DataFrame, patches: DataFrame, brand: str) -> tuple[DataFrame, DataFrame]:
     """(records with reasons, discovered players). raw: ord, id, channel, title, description, publishedAt, thumbnail, durationSec, viewCount."""
-    parsed = parse_titles(raw, brand)
-    chars, names = tokens(parsed)
+    parsed = cut(parse_titles(raw, brand))  # four branches follow
+    chars, names = map(cut, tokens(parsed))
     names = names.withColumn("ord", F.col("ord.ord") * 10_000 + F.col("ord.side") * 1_000 + F.col("pos"))
     c = resolve.resolve_characters(chars.drop("ord"), resolve.alias_dim(characters))
     p, discovered = resolve.resolve_players(names, players)
