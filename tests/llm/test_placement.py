@@ -1,13 +1,17 @@
 """Mixing, sharding, the pipeline, and the queries' SQL."""
 
+import hashlib
 import math
 import os
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from matchlake.llm import mixing, queries, sharding
+from matchlake.llm import mixing, quality, queries, sharding
+from tests.llm.test_filters import base, contaminated
 from tests.test_oracles import TABLES, rows
 
 SF = "/root/testdata/sf0.001"
@@ -133,31 +137,150 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def passes(rows, labels):
+    """The rows that the quality rules keep, counted by hand. rows: (id, text, lang)."""
+    scored = {}
+    for i, text, lang in rows:
+        n, chars, symbols, dup, again = base(text)
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        upper = sum("A" <= c <= "Z" for c in text or "")
+        share = {"symbol_share": symbols / chars if chars else 0, "dup_line_share": dup / len(lines) if lines else 0, "repeat_share": again / n if n else 0, "upper_share": upper / chars if chars else 0}
+        step = min(sum(x >= share[r] for x in grid) for r, grid in quality.STEPS.items())
+        scored[i] = (n < 20 or 100 * again > 30 * n, step, lang, text)
+    worst = {}
+    for i, q in labels:
+        if q is not None:
+            worst[i] = min(q, worst.get(i, 1))
+    texts = {}
+    for i, q in worst.items():
+        if i in scored and not scored[i][0]:
+            key = scored[i][2:]
+            texts[key] = (min(q, texts.get(key, (1, 0))[0]), scored[i][1])
+    steps = defaultdict(list)
+    for (lang, _), (q, step) in texts.items():
+        if q >= 1:
+            steps[lang].append(step)
+    pool = {lang: lang if len(steps[lang]) >= quality.POOL_BELOW else ("pool",) for lang in {x[2] for x in scored.values()}}
+    held = defaultdict(list)
+    for lang, name in pool.items():
+        held[name] += steps[lang]
+    last = {}
+    for name, own in held.items():
+        n, at = len(own), -1
+        for k in range(quality.N_STEPS):
+            lost = sum(x <= k for x in own)
+            if lost >= n * 0.05 or sum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(lost + 1)) > 0.05 / len(held):
+                break
+            at = k
+        last[name] = at
+    return {i for i, (failed, step, lang, _) in scored.items() if not failed and step > last[pool[lang]]}
+
+
+def training_order(rows):
+    """(position, id) of each use of each row, by hand. rows: (id, text, source)."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    whole = Counter()
+    for i, _, s in rows:
+        whole[s] += size[i]
+    names = sorted(whole, key=lambda k: (k is None, (k or "").encode()))
+    weight, slope = ({s: v[k % 3] for k, s in enumerate(names)} for v in ((3, 1, 2), (0.0, 1.0, -1.0)))
+    full = set()
+    while True:
+        open_ = [s for s in names if s not in full]
+        level = (1.5 * sum(whole.values()) - sum(2 * whole[s] for s in full)) / sum(weight[s] for s in open_) if open_ else math.inf
+        more = {s for s in open_ if 2 * whole[s] <= level * weight[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 2.0 * whole[s] if s in full else level * weight[s] for s in names}
+    given = lambda t: sum(round(target[s]) * (t + slope[s] / 2 * (t * t - t)) for s in names)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    out = []
+    for s in names:
+        at = 0
+        for i, _, _ in sorted((r for r in rows if r[2] == s), key=lambda r: md5(f"{r[0]} {md5(r[1] or '')}")):
+            for k in range(2):
+                start = at + k * whole[s]
+                if size[i] and start < round(target[s]):
+                    c, a = min(1.0, start / target[s]), slope[s] / 2
+                    t = c if a == 0 else (math.sqrt((1 - a) ** 2 + 4 * a * c) - (1 - a)) / (2 * a)
+                    out.append((given(t), i))
+            at += size[i]
+    return sorted(out)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_pipeline(spark):
+    """All five stages by hand; of the last, that shards are even and that their slots follow the training order."""
     import corpus_pipeline
-    from matchlake.llm import decontaminate, quality, simhash
-    from tests.llm.test_filters import base, contaminated
-    from tests.llm.test_simhash import classes, fingerprint
+    from tests.llm.test_near_text import labels as near
 
     table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
-    docs = table("documents").collect()
-    limits = quality.judged(table("documents"), table("labels")).where("kept").select("doc_id").toPandas().doc_id
-    good = [r for r in docs if r.doc_id in set(limits)]
-    for r in good:
-        n, _, _, _, again = base(r.text)
-        assert n >= 20 and 100 * again <= 30 * n
-    found = classes([r.doc_id for r in good], [fingerprint(r.text) for r in good], 4)
-    single = [r for r in good if found[r.doc_id] == r.doc_id]
+    docs = {r.doc_id: r for r in table("documents").collect()}
+    kept = passes([(r.doc_id, r.text, r.lang) for r in docs.values()], [(r.doc_id, r.quality) for r in table("labels").collect()])
+    assert 0 < len(kept) < len(docs)
+    same, pairs = near([(i, docs[i].text) for i in kept])
+    single = {i for i in kept if same[i] == i}
+    assert pairs and len(single) < len(kept)
     items = [tuple(r) for r in table("benchmark").collect()]
-    clean = [r for r in single if not contaminated(r.text, items)[1]]
-    frame = spark.createDataFrame(clean, table("documents").schema)
-    mixed = mixing.mixed(frame).toPandas()
-    want = Counter()
-    for r in mixed.itertuples():
-        want[r.doc_id] += (r.position == r.position) + (r.again == r.again)
+    clean = {i for i in single if not contaminated(docs[i].text, items)[1]}
+    order = training_order([(i, docs[i].text, docs[i].source) for i in clean])
     out = corpus_pipeline.run(spark, SF).collect()
-    assert Counter(r.doc_id for r in out) == +want
-    held = Counter(r.shard for r in out)
+    assert Counter(r.doc_id for r in out) == Counter(i for _, i in order)
+    held = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.slot):
+        held[r.shard].append(r)
+    counts = [len(held[s]) for s in range(16)]
+    assert max(counts) - min(counts) <= 1
+    places = defaultdict(list)
+    for k, (_, i) in enumerate(order):
+        places[i].append(k)
+    for s in range(16):
+        assert [r.slot for r in held[s]] == list(range(counts[s]))
+        at = -1
+        for r in held[s]:  # each row may be any use of its document that is still ahead
+            at = next(k for k in places[r.doc_id] if k > at)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_tables(spark, stage):
+    """Null ids and texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    name, f = corpus_pipeline.STAGES[stage]
+    clash = ("text_hash", "found", "_id", "_many", "shard", "size", "kept", "position", "_row", "place")
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, "en", "a"), (1, long, "en", "a"), (2, None, None, None), (None, long + " x", "en", "a"), (None, None, "de", None), (3, "", "en", "b"), (4, " ".join(f"v{k}" for k in range(50)), None, "b"), (None, " ".join(f"u{k}" for k in range(50)), "fr", None)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint" + "".join(f", {c} string" for c in clash)
+    df = spark.createDataFrame([(*r, len(r[1] or ""), *clash) for r in rows], schema)
+    out = f(spark, df, SF)
+    if name != "sharding":
+        assert out.columns == df.columns
+    got = out.collect()
+    ids = Counter(r.doc_id for r in got)
+    if name == "quality_rules":
+        assert len(got) == 5 and ids == {1: 2, None: 2, 4: 1}
+    if name == "near_dedup":  # the first text and that of one more word are alike; so are null and empty ones
+        assert ids == {1: 1, 2: 1, 4: 1, None: 1}
+    if name in ("decontamination", "sharding"):
+        assert len(got) == len(rows)
+    if name == "mixing":
+        assert ids[2] == ids[3] == 0 and ids[1] >= 2
+    empty = f(spark, df.limit(0), SF)
+    assert empty.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_shards_of_documents(spark):
+    """The query's columns, counted by hand."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = queries.op6_sharding(spark, SF)
+    assert out.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r.text or "").encode()
+        assert (got[r.doc_id]["size"], got[r.doc_id].text_crc32, got[r.doc_id].law, got[r.doc_id].grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    held = Counter(r.shard for r in got.values())
     assert max(held[s] for s in range(16)) - min(held[s] for s in range(16)) <= 1
-    assert decontaminate and simhash
+    assert sorted((r.shard, r.slot) for r in got.values()) == [(s, k) for s in range(16) for k in range(held[s])]

@@ -1,13 +1,16 @@
 """Secrets, personal data, and WARC records."""
 
 import gzip
+import hashlib
+import os
 import random
 import re
+import time
 
 import pytest
 from pyarrow import fs
 
-from matchlake.llm import pii, secret_scan, warc
+from matchlake.llm import pii, queries, secret_scan, warc
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -161,3 +164,96 @@ def test_unlabelled_credentials_of_the_least_length_are_scored(spark):
     assert sum(t.split()[1] in added[i] for i, t in rows if 1000 <= i < 2000) >= 18
     assert sum(map(len, added.values())) <= 25
     assert not any(added[3000 + k] for k in range(60))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_secrets_of_documents(spark):
+    """The query's columns by the plain patterns, and the added spans by the model alone."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = queries.op3_secret_scans(spark, SF)
+    assert out.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        t = r.text or ""
+        want = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        want += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        want += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        want.sort(key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+        x = got[r.doc_id]
+        assert x.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == kind for k, *_ in want) for kind in ("assign", "access", "hex"))
+        spans = [tuple(s.split(":")) for s in x.spans.split(",") if s]
+        assert [s for s in spans if s[0] != "format"] == [(k, str(a), str(b)) for k, a, b in want]
+        assert sum(s[0] == "format" for s in spans) == x.n_format
+        rest = secret_scan.candidates(t, secret_scan.base_spans(t))
+        assert x.n_scored == len(want) + len(rest) and (x.top_score is None) == (x.n_scored == 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_personal_data_of_documents(spark):
+    """The query's columns by the plain patterns; what the model adds touches none of these."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = queries.op9_pii(spark, SF)
+    assert out.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        t = r.text or ""
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = re.sub("[ -]", "", m[0])
+            want += [("card", *m.span())] if 13 <= len(d) <= 19 and luhn(d) else []
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        x = got[r.doc_id]
+        assert x.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(k == kind for k, *_ in want) for kind in pii.KINDS)
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in x.spans.split(",") if s)]
+        more = [s for s in spans if s not in want]
+        assert set(want) <= set(spans) and spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert not any(a < e and b > s for _, a, b in more for _, s, e in want)
+
+
+def test_the_best_segmentation_of_a_region():
+    """Decoding against all ways to cut a few atoms, with a given span in the way."""
+    r = random.Random(6)
+    text = "12 a@b.c +1 5"
+    given = [("ip", 0, 2)]
+    borders, segs = pii.segments(text, 0, len(text), given)
+    assert all(borders[i] >= 2 for i, _, _ in segs) and any(borders[i] == 3 for i, _, _ in segs)
+    everywhere = pii.segments(text, 0, len(text))[1]
+    assert segs == [s for s in everywhere if borders[s[0]] >= 2]
+    w = {f: [r.uniform(-1, 1.5) for _ in pii.KINDS] for *_, fs in everywhere for f in fs}
+    scored = pii.scores(segs, w)
+    best = {len(borders) - 1: 0.0}
+    for i in range(len(borders) - 2, -1, -1):
+        best[i] = max([best[i + 1], *(s + best[j] for a, j, _, s in scored if a == i)])
+    found = pii.best(text, 0, len(text), w, given)
+    total = {(borders[i], borders[j], k): s for i, j, k, s in scored}
+    assert sum(total[s, e, pii.KINDS.index(k)] for k, s, e, _ in found) <= best[0] + 1e-9
+    assert all(p >= pii.SURE for *_, p in found)
+
+
+def test_a_long_line_of_matches_takes_linear_time():
+    r = random.Random(7)
+    w = {"bias": [0.1] * 4, "dots=3": [0.0, 1.0, 0.0, 0.0]}
+    text = " ".join(".".join(str(r.randrange(1, 255)) for _ in range(4)) for _ in range(4000))
+    start = time.process_time()
+    assert pii.best(text, 0, len(text), w, pii.base_spans(text)) == []
+    assert time.process_time() - start < 1
+
+
+def test_cutoffs_keep_to_both_sides():
+    cut, recall = secret_scan.cutoff([0.1] * 999 + [0.4], [1.0] * 90 + [0.2] * 10)
+    assert cut >= 0.4 and recall == 0.9  # ordinary tokens come first
+    cut, recall = secret_scan.cutoff([-1.0] * 100, [k / 100 for k in range(1, 101)])
+    assert 0 < cut < 0.07 and recall >= secret_scan.RECALL
+    assert secret_scan.cutoff([], []) == (0.0, None)
