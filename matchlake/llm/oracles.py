@@ -152,7 +152,7 @@ best AS (SELECT hex, max(page_id) AS best FROM h GROUP BY hex)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
-       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> best THEN best END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
 FROM h JOIN best USING (hex)
 """

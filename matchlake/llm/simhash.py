@@ -6,7 +6,7 @@ verified and linked. The shuffle is on the variant: its top bits name the bucket
 bucket that any of its variants falls into, where the variants of that bucket are enumerated. This sends the same
 variants as one row each would, in a fiftieth of the bytes.
 
-Cases: a null or empty text has no words and fingerprint zero, which is linked like any other; fewer words than a
+Cases: ids are integers; fingerprints that rows without an id alone have link none, and are in component null; a null or empty text has no words and fingerprint zero, which is linked like any other; fewer words than a
 shingle make one shingle; equal fingerprints collapse before the search, so copies cost one entry; repeated rows keep
 their rows and share a component; an empty table gives an empty result. Extra columns of the input are ignored.
 """
@@ -29,8 +29,8 @@ from matchlake.llm.common import cut
 BUCKET_BITS, PER_BUCKET = 12, 400
 #: Fingerprints of one bucket beyond which its variants are dealt out to several tasks.
 SPLIT_AT = 1500
-#: 2^20 buckets at most, so the table of crowded buckets stays below 2^20 rows.
-MAX_BUCKET_BITS = 20
+#: Buckets have so many bits at most: enough for 4e11 fingerprints. Up to 2^20 buckets the table of crowded ones is small enough to be broadcast.
+MAX_BUCKET_BITS, BROADCAST_BITS = 30, 20
 
 
 def fingerprint_of(text: bytes | None, shingle: int, seed: int = 42) -> int:
@@ -112,16 +112,17 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     n = fps.count()
     bits = min(MAX_BUCKET_BITS, max(BUCKET_BITS, ceil(log2(max(n, 1) / PER_BUCKET))))
     prefix = F.shiftrightunsigned("fp", 64 - bits)
-    crowded = fps.groupBy(prefix.alias("bucket")).count().where(F.col("count") > SPLIT_AT).select("bucket", F.ceil(F.col("count") / SPLIT_AT).cast("int").alias("parts"))
+    crowded = fps.groupBy(prefix.alias("bucket")).count().where(F.col("count") > SPLIT_AT).select("bucket", F.least(F.ceil(F.col("count") / SPLIT_AT), F.lit(65535)).cast("int").alias("parts"))
     sent = fps.withColumn("mask", F.explode(F.array(*(F.lit(int(m)).cast("bigint") for m in masks(bits, radius))))).withColumn("bucket", prefix.bitwiseXOR(F.col("mask")))
-    sent = sent.join(F.broadcast(crowded), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # a row for each crowded bucket: 2^20 at most
+    crowded = F.broadcast(crowded) if bits <= BROADCAST_BITS else crowded  # a row for each crowded bucket
+    sent = sent.join(crowded, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.select((F.shiftleft(F.col("bucket").cast("bigint"), 40) + F.shiftleft(F.col("parts").cast("bigint"), 20) + F.col("part")).alias("task"), "fp", "node")
+    sent = sent.select((F.shiftleft(F.col("bucket").cast("bigint"), 32) + F.shiftleft(F.col("parts").cast("bigint"), 16) + F.col("part")).alias("task"), "fp", "node")
     suffix_bits = 64 - bits
 
     def link(key: tuple, t: pa.Table) -> pa.Table:
         task = key[0].as_py()
-        bucket, parts, part = task >> 40, task >> 20 & 0xFFFFF, task & 0xFFFFF
+        bucket, parts, part = task >> 32, task >> 16 & 0xFFFF, task & 0xFFFF
         fp, node = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
         distance = np.bitwise_count((fp >> np.uint64(suffix_bits)) ^ np.uint64(bucket))
         a, b = bucket_links(fp, distance, radius, suffix_bits, part, parts)

@@ -7,7 +7,8 @@ read once, whatever the ranges.
 
 Cases: a null payload is empty; null and control characters in a url are escaped; magic bytes within compressed data are
 no start, as they don't inflate to a record's header; a damaged or cut-off member is passed over; repeated rows are written
-as records of their own; no pages make no archive and an empty result. Other columns are ignored. A task holds one record
+as records of their own, all of them responses if theirs is the largest id; a null id is the smallest, and pages that
+all have none are responses; no pages make no archive and an empty result. Other columns are ignored. A task holds one record
 at a time, whatever its length. Writers of lost tasks leave files that no listing names, and so no reader sees.
 """
 
@@ -64,7 +65,7 @@ def roles(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST_BY
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     narrow = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_digest"), F.length(payload).alias("_n")).where(F.col("_n") >= least)
     best = narrow.groupBy("_digest").agg(F.max("_id").alias("_best"))
-    chosen = narrow.distinct().join(best, "_digest").where("_id <> _best")
+    chosen = narrow.distinct().join(best, "_digest").where("_best is not null and not (_id <=> _best)")
     same = pages[id_col].eqNullSafe(chosen["_id"]) & (F.sha1(payload) == chosen["_digest"])
     return pages.join(chosen.select("_id", "_digest", "_best"), same, "left").select(*(pages[c] for c in pages.columns), F.col("_best").isNotNull().alias("revisit"), F.col("_best").alias("refers_to"))
 
