@@ -148,8 +148,8 @@ def entity_pairs(registry: DataFrame, kinds: tuple[str, ...] = tuple(WEIGHTS)) -
     made = {
         "slug": lambda: _same(rows, "slug", "slug"),
         "leet": lambda: _same(rows, "leet", "leet"),
-        "sponsor": lambda: shared_words(rows).where("kind = 'sponsor'"),
-        "initials": lambda: shared_words(rows).where("kind = 'initials'"),
+        "sponsor": lambda: sponsors(rows),
+        "initials": lambda: initials(rows),
         "typo": lambda: typos(rows),
         "affix": lambda: affixes(rows),
     }
@@ -160,19 +160,26 @@ def entity_pairs(registry: DataFrame, kinds: tuple[str, ...] = tuple(WEIGHTS)) -
     return out
 
 
-def shared_words(rows: DataFrame) -> DataFrame:
-    """Pairs with a word of three letters in common, of which one is the other plus a tag, or has its first word as an initial."""
-    w = rows.select("id", "slug", "words", F.explode(F.array_distinct(F.filter("words", lambda x: F.length(x) >= 3))).alias("word"))
-    a, b = (w.select("word", F.struct("id", "slug", "words").alias(x)) for x in "ab")
-    pairs = a.join(b, "word").where("a.id < b.id").select("a", "b").distinct()
-    a_long = F.length("a.slug") >= F.length("b.slug")
-    long, short = F.when(a_long, F.col("a")).otherwise(F.col("b")), F.when(a_long, F.col("b")).otherwise(F.col("a"))
-    pairs = pairs.withColumn("l", long).withColumn("s", short)
-    sponsor = (F.size("l.words") > F.size("s.words")) & F.array_contains("l.words", F.col("s.slug"))
-    head, initial = F.get("l.words", F.lit(0)), F.get("s.words", F.lit(0))
-    tail = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
-    initials = (F.size("l.words") > 1) & (F.size("l.words") == F.size("s.words")) & (F.length(initial) == 1) & (F.length(head) > 1) & head.startswith(initial) & (tail(F.col("l.words")) == tail(F.col("s.words")))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.when(sponsor, "sponsor").when(initials, "initials").alias("kind")).where("kind is not null")
+def _long_words(words: Column) -> Column:
+    return F.filter(words, lambda x: F.length(x) >= 3)
+
+
+def sponsors(rows: DataFrame) -> DataFrame:
+    """A handle and the same with words of its own before or behind, if they share a word of three letters: joined on the short one's slug as a word of the long one."""
+    long = rows.select(F.col("id").alias("long"), F.col("words").alias("lw"), F.explode(F.array_distinct("words")).alias("slug"))
+    short = rows.where("slug <> ''").select(F.col("id").alias("short"), F.col("words").alias("sw"), "slug")
+    found = long.join(short, "slug").where((F.size("lw") > F.size("sw")) & F.arrays_overlap(_long_words(F.col("lw")), _long_words(F.col("sw"))))
+    return found.select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"), F.lit("sponsor").alias("kind")).distinct()
+
+
+def initials(rows: DataFrame) -> DataFrame:
+    """Handles that differ in their first words, of which one is the other's initial: joined on that letter and the other words, one of which has three letters."""
+    head = F.get("words", F.lit(0))
+    keyed = rows.where((F.size("words") > 1) & (F.length(head) > 0)).select("id", F.length(head).alias("n"), F.substring(head, 1, 1).alias("letter"), F.slice("words", F.lit(2), F.size("words") - 1).alias("tail"))
+    keyed = keyed.where(F.size(_long_words(F.col("tail"))) > 0)
+    long = keyed.where("n > 1").select(F.col("id").alias("long"), "letter", "tail")
+    found = long.join(keyed.where("n = 1").select(F.col("id").alias("short"), "letter", "tail"), ["letter", "tail"])
+    return found.select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"), F.lit("initials").alias("kind"))
 
 
 def typos(rows: DataFrame, least: int = 5) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
-from matchlake.operators import merge, periods, quality, query as facets, resolve, stats, titles, upsert
+from matchlake.operators import checkpoints, merge, periods, quality, query as facets, resolve, stats, titles, upsert
 from matchlake.plans import proxies as V
 from matchlake.plans.registry import query
 from matchlake.sources import io
@@ -458,6 +460,27 @@ def hydrated(spark, sf):
     return io.hydrate(ids, meta)
 
 
+def _folder(spark):
+    return f"{checkpoints.shared_dir(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+
+
+@query("""SELECT id, season, version AS "patchVersion", views AS "viewCount", lf, rf, false AS "fusesUnordered" FROM recs""")
+def kept_records(spark, sf):
+    """Records written for the next run, and what that reads."""
+    made, folder = V.flat(V.records(spark, sf)), _folder(spark)
+    io.write_records(made, folder)
+    return io.read_or_empty(spark, folder, made.schema)
+
+
+@query("""SELECT id, day AS date, views, CASE WHEN dur > 0 THEN dur END AS "durationSec", array_to_string(rc, ',') AS right_characters FROM recs""")
+def emitted_replays(spark, sf):
+    """The contract in JSON lines, and what a reader gets of it."""
+    folder = _folder(spark)
+    io.emit(quality.to_replay(V.records(spark, sf)), folder)
+    rows = io.read_required(spark, folder, "id string, date string, views bigint, durationSec int, sides array<struct<characters:array<string>>>")
+    return rows.select("id", "date", "views", "durationSec", F.array_join(F.get("sides", F.lit(1))["characters"], ",").alias("right_characters"))
+
+
 @query("""SELECT DISTINCT lower(p_type) AS key, p_type AS name, contains(p_type, 'A') AS active, lower(p_type) AS aliases FROM part""")
 def registry_keyed(spark, sf):
     """An id-keyed object, built from the types and parsed back."""

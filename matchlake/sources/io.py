@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from matchlake.functions import text as X
 
@@ -15,9 +16,9 @@ FUSE = "id string, name string, aliases array<string>, active boolean, accent st
 
 
 def _array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The objects of a JSON array with their place; a malformed file fails."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_colons(schema)}>>", {"mode": "FAILFAST"}).alias("rows"))
-    return text.select(F.posexplode("rows").alias("ord", "r")).select("ord", "r.*")
+    """The objects of a JSON array, parsed one by one as the file is read, with their order in it; a malformed file fails."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return rows.select(F.monotonically_increasing_id().alias("ord"), "*")
 
 
 def _colons(schema: str) -> str:
@@ -33,7 +34,7 @@ def read_raw(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Dumps of several channels (channel to path), in that order: channel, ord within all, and the record."""
     out = None
     for k, (channel, path) in enumerate(paths.items()):
-        part = _array(spark, path, RAW).withColumn("channel", F.lit(channel)).withColumn("ord", F.col("ord") + F.lit(k).cast("bigint") * (1 << 32))
+        part = _array(spark, path, RAW).withColumn("channel", F.lit(channel)).withColumn("ord", F.col("ord") + F.lit(k).cast("bigint") * (1 << 48))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -65,20 +66,20 @@ def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_keyed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An id-keyed object as rows, in the object's order; keys that start with // are comments."""
+    """An id-keyed object as rows, in the object's order; keys that start with // are comments. Such an object is one JSON value, so it is a task's: for registries written by hand."""
     raw = spark.read.text(path, wholetext=True)
     value = F.from_json("value", f"map<string,struct<{_colons(schema)}>>", {"mode": "FAILFAST"})
     return raw.select(F.posexplode(value).alias("ord", "key", "v")).where(~F.col("key").startswith("//")).select("ord", "key", "v.*")
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """(id, patch): each entry's keys with their values in JSON, a JSON null as a null value, so presence stays known."""
+    """(id, patch): each entry's keys with their values in JSON, a JSON null as a null value, so presence stays known. One JSON value, as read_keyed_json."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
     rows = raw.select(F.explode("m").alias("id", "body")).where(~F.col("id").startswith("//"))
     return rows.select("id", F.from_json("body", "map<string,string>").alias("patch"))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """An optional source in Parquet: no rows if it isn't there."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
@@ -96,9 +97,6 @@ def write_records(df: DataFrame, path: str, partition_by: str | None = None) ->
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
-write_registry = write_dupes = write_gaps = write_records
-
-
 def emit(replays: DataFrame, path: str) -> None:
     """The contract in JSON lines; null keys are left out."""
     replays.select(F.to_json(F.struct(*replays.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("overwrite").text(path)

@@ -102,3 +102,36 @@ def test_attempts_once_a_day(spark):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")
     twice = upsert.log_attempts(upsert.log_attempts(log, ids, "2026-01-02"), ids, "2026-01-02")
     assert {r.id: r.days for r in twice.collect()} == {"a": ["2026-01-01", "2026-01-02"], "b": ["2026-01-02"]}
+
+
+def test_gaps_in_order(spark):
+    rows = [("c", "s1", "2020-01-01"), ("b", "beta", "2021-01-01"), ("a", "s0", "2020-05-01"), ("d", "s0", "2020-04-01"), ("e", "odd", "2019-01-01"), ("f", "s1", "2020-01-01")]
+    got = evidence.order_gaps(spark.createDataFrame(rows, "id string, era string, publishedAt string")).collect()
+    assert [r.id for r in got] == ["b", "d", "a", "c", "f", "e"]
+
+
+def test_hand_written_names(spark):
+    """Aliases name their entries; other names are exact, take free ids, and are registered once."""
+    team = "teams array<struct<players:array<string>,characters:array<string>,fuse:string>>"
+    rows = [("m1", [([" Ann ", "Bo"], ["x"], None), (["New One"], [], "F")]), ("m2", [(["new one"], ["x"], None), (["New-One", ""], None, None)]), ("m3", None), ("m4", [])]
+    registry = spark.createDataFrame([(1, "ann-id", "Ann A", ["ann"]), (2, "newone", "Other", ["other"])], "ord int, id string, name string, aliases array<string>")
+    out, new = resolve.resolve_manual(spark.createDataFrame(rows, f"id string, {team}"), registry)
+    got = {r.id: [[(p.id, p.displayName) for p in t.players] for t in r.teams or []] for r in out.collect()}
+    assert got["m1"] == [[("ann-id", "Ann A"), ("bo", "Bo")], [("newone-2", "New One")]]
+    assert got["m2"] == [[("newone-2", "New One")], [("newone-3", "New-One")]] and got["m3"] == got["m4"] == []
+    assert sorted((r.id, r.name, r.featured, r.aliases[0]) for r in new.collect()) == [("bo", "Bo", True, "bo"), ("newone-2", "New One", True, "new one"), ("newone-3", "New-One", True, "new-one")]
+
+
+def test_near_hashes(spark):
+    import random
+
+    r = random.Random(1)
+    base = r.getrandbits(56)
+    hashes = {f"h{k:02d}": base ^ sum(1 << b for b in r.sample(range(56), k)) for k in range(16)} | {"copy": base, "far": r.getrandbits(56)}
+    got = {(x.a, x.b): x.ham for x in dupes.near_hashes(spark.createDataFrame(list(hashes.items()), "id string, dhash bigint")).collect()}
+    least = {}
+    for i in sorted(hashes):
+        least.setdefault(hashes[i], i)
+    reps = sorted(least.values())
+    want = {(a, b): bin(hashes[a] ^ hashes[b]).count("1") for a in reps for b in reps if a < b and bin(hashes[a] ^ hashes[b]).count("1") <= 12}
+    assert got == want | {("copy", "h00"): 0}
