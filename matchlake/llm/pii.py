@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +35,8 @@ _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
 _HINT, _BLANK = re.compile(r"[0-9@]"), re.compile(r"\s")
 #: Atoms of a segment; regions of each kind, and of none, that the model is trained on, those of smallest hash, and characters of each.
 MOST_ATOMS, SAMPLE, SAMPLE_CHARS = 20, 150, 200
+#: Atoms of a region whose segments are held at a time.
+BLOCK = 2000
 EPOCHS, RATE, PENALTY = 8, 0.3, 1e-3
 #: Marginal probability from which a segment is added.
 SURE = 0.95
@@ -93,52 +95,58 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def segments(text: str, start: int, end: int, given: list[tuple[str, int, int]] = ()) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """The atoms' borders, and (first atom, behind the last, features) of each segment that may be an entity and touches no given span."""
-    atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
-    borders = [a for a, _ in atoms] + [end]
-    kinds = ["d" if "0" <= text[a] <= "9" else "w" if text[a].isascii() and text[a].isalpha() else text[a] for a, _ in atoms]
-    by_start = sorted((s, e) for _, s, e in given)
-    out, x, within = [], 0, 0
-    for i, k in enumerate(kinds):
-        while x < len(by_start) and by_start[x][0] <= borders[i]:
-            within, x = max(within, by_start[x][1]), x + 1
-        if k not in "dw+(" or borders[i] < within:
-            continue
-        limit = by_start[x][0] if x < len(by_start) else end
-        digits = letters = ats = dots = 0
-        shape = ""
-        left = text[borders[i] - 1] if borders[i] else ""
-        left = "^" if not left or left.isspace() else "x" if left.isalnum() else left
-        for j in range(i, min(len(kinds), i + MOST_ATOMS)):
-            if borders[j + 1] > limit:
-                break
-            c, n = kinds[j], borders[j + 1] - borders[j]
-            if c == "d":
-                digits += n
-                shape += f"d{min(n, 20)}"
-            elif c == "w":
-                letters += n
-                shape += "w"
-            elif c in "@.+-() _%:/":
-                ats += c == "@"
-                dots += c == "."
-                shape += c
-            else:
-                break
-            if c not in "dw" or not (digits or ats):
+class Region:
+    """The atoms of a stretch of text, and the segments of these that may be entities and touch no given span."""
+
+    def __init__(self, text: str, start: int, end: int, given: list[tuple[str, int, int]] = ()):
+        atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
+        self.text, self.end, self.borders = text, end, [a for a, _ in atoms] + [end]
+        self.kinds = ["d" if "0" <= text[a] <= "9" else "w" if text[a].isascii() and text[a].isalpha() else text[a] for a, _ in atoms]
+        self.given = sorted((s, e) for _, s, e in given)
+
+    def segments(self, first: int = 0, behind: int | None = None) -> Iterator[tuple[int, int, list[str]]]:
+        """(first atom, behind the last, features) of segments that begin in these atoms, in the order of their beginnings."""
+        text, borders, kinds, given = self.text, self.borders, self.kinds, self.given
+        x, within = 0, 0
+        for i in range(first, min(len(kinds), behind if behind is not None else len(kinds))):
+            k = kinds[i]
+            while x < len(given) and given[x][0] <= borders[i]:
+                within, x = max(within, given[x][1]), x + 1
+            if k not in "dw+(" or borders[i] < within:
                 continue
-            right = text[borders[j + 1]] if borders[j + 1] < len(text) else ""
-            right = "$" if not right or right.isspace() else "x" if right.isalnum() else right
-            span = text[borders[i] : borders[j + 1]]
-            f = ["bias", f"left={left}", f"right={right}", f"digits={min(digits, 20)}", f"letters={bool(letters)}", f"atoms={min(j - i, 12)}", f"dots={min(dots, 4)}", f"at={ats}", f"first={k}"]
-            f.append("shape=" + (re.sub(r"[dw0-9]+[dw0-9._%+-]*@.*", "@", shape) if ats else shape))
-            if 13 <= digits <= 19 and not letters:
-                f.append(f"luhn={luhn(''.join(x for x in span if x.isdigit()))}")
-            if dots == 3 and digits + 3 == len(span):
-                f.append(f"octets={all(map(small, span.split('.')))}")
-            out.append((i, j + 1, f))
-    return borders, out
+            limit = given[x][0] if x < len(given) else self.end
+            digits = letters = ats = dots = 0
+            shape = ""
+            left = text[borders[i] - 1] if borders[i] else ""
+            left = "^" if not left or left.isspace() else "x" if left.isalnum() else left
+            for j in range(i, min(len(kinds), i + MOST_ATOMS)):
+                if borders[j + 1] > limit:
+                    break
+                c, n = kinds[j], borders[j + 1] - borders[j]
+                if c == "d":
+                    digits += n
+                    shape += f"d{min(n, 20)}"
+                elif c == "w":
+                    letters += n
+                    shape += "w"
+                elif c in "@.+-() _%:/":
+                    ats += c == "@"
+                    dots += c == "."
+                    shape += c
+                else:
+                    break
+                if c not in "dw" or not (digits or ats):
+                    continue
+                right = text[borders[j + 1]] if borders[j + 1] < len(text) else ""
+                right = "$" if not right or right.isspace() else "x" if right.isalnum() else right
+                span = text[borders[i] : borders[j + 1]]
+                f = ["bias", f"left={left}", f"right={right}", f"digits={min(digits, 20)}", f"letters={bool(letters)}", f"atoms={min(j - i, 12)}", f"dots={min(dots, 4)}", f"at={ats}", f"first={k}"]
+                f.append("shape=" + (re.sub(r"[dw0-9]+[dw0-9._%+-]*@.*", "@", shape) if ats else shape))
+                if 13 <= digits <= 19 and not letters:
+                    f.append(f"luhn={luhn(''.join(x for x in span if x.isdigit()))}")
+                if dots == 3 and digits + 3 == len(span):
+                    f.append(f"octets={all(map(small, span.split('.')))}")
+                yield i, j + 1, f
 
 
 def added(a: float, b: float) -> float:
@@ -147,7 +155,7 @@ def added(a: float, b: float) -> float:
     return hi + math.log1p(math.exp(lo - hi)) if lo > -1e300 else hi
 
 
-def scores(segs: list, w: dict) -> list[tuple[int, int, int, float]]:
+def scores(segs: Iterable, w: dict) -> list[tuple[int, int, int, float]]:
     """(first atom, behind the last, kind, score) of each segment and kind."""
     zero = (0.0,) * len(KINDS)
     out = []
@@ -181,7 +189,8 @@ def trained(examples: list[tuple[str, list[tuple[str, int, int]]]]) -> dict:
     seen: dict[str, list[float]] = {}
     cases = []
     for text, spans in examples:
-        borders, segs = segments(text, 0, len(text))
+        region = Region(text, 0, len(text))
+        borders, segs = region.borders, list(region.segments())
         gold = {(s, e, KINDS.index(k)) for k, s, e in spans}
         cases.append((len(borders) - 1, segs, [[(borders[i], borders[j], k) in gold for k in range(len(KINDS))] for i, j, _ in segs]))
     for _ in range(EPOCHS):
@@ -201,31 +210,53 @@ def trained(examples: list[tuple[str, list[tuple[str, int, int]]]]) -> dict:
 
 
 def best(text: str, start: int, end: int, w: dict, given: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-    """The segments of the best segmentation of a region that touch no given span, with their probability."""
-    borders, segs = segments(text, start, end, given)
-    scored = scores(segs, w)
-    n = len(borders) - 1
-    ends = defaultdict(list)
-    for x, (i, j, _, s) in enumerate(scored):
-        if s > 0:
-            ends[j].append((i, s, x))
-    top, how = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        top[j] = top[j - 1]
-        for i, s, x in ends[j]:
-            if top[i] + s > top[j]:
-                top[j], how[j] = top[i] + s, x
+    """The segments of the best segmentation of a region that touch no given span, with their probability. Segments are made BLOCK atoms at a time, so that a region of any length takes a few numbers an atom."""
+    region = Region(text, start, end, given)
+    borders, n = region.borders, len(region.kinds)
+    before, top, how, at = [-math.inf] * (n + 1), [-1.0] * (n + 1), [None] * (n + 1), 0
+    before[0] = top[0] = 0.0
+
+    def settle(i: int) -> None:
+        """All that ends up to atom i is known: leaving an atom out of any segment is one way more to get there."""
+        nonlocal at
+        while at < i:
+            at += 1
+            before[at] = added(before[at], before[at - 1])
+            if top[at] <= top[at - 1]:
+                top[at], how[at] = top[at - 1], None
+
+    parts = [(a, a + BLOCK) for a in range(0, n, BLOCK)]
+    made = None
+    for part in parts:
+        made = scores(region.segments(*part), w)
+        for i, j, k, s in made:
+            settle(i)
+            before[j] = added(before[j], before[i] + s)
+            if s > 0 and top[i] + s > top[j]:
+                top[j], how[j] = top[i] + s, (i, k, s)
+    settle(n)
     if top[n] <= 0:
         return []
-    p, _ = marginals(n, scored)
+    behind, i = [0.0] * (n + 1), n
+    for part in reversed(parts):
+        made = made if part == parts[-1] else scores(region.segments(*part), w)
+        for first, j, _, s in reversed(made):
+            while i > first:
+                i -= 1
+                behind[i] = behind[i + 1]
+            behind[i] = added(behind[i], behind[j] + s)
+    while i > 0:
+        i -= 1
+        behind[i] = behind[i + 1]
     out, j = [], n
     while j > 0:
         if how[j] is None:
             j -= 1
         else:
-            i, e, k, _ = scored[how[j]]
-            if p[how[j]] >= SURE:
-                out.append((KINDS[k], borders[i], borders[e], p[how[j]]))
+            i, k, s = how[j]
+            p = math.exp(min(0.0, before[i] + s + behind[j] - before[n]))
+            if p >= SURE:
+                out.append((KINDS[k], borders[i], borders[j], p))
             j = i
     return out[::-1]
 

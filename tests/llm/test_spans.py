@@ -227,9 +227,10 @@ def test_the_best_segmentation_of_a_region():
     r = random.Random(6)
     text = "12 a@b.c +1 5"
     given = [("ip", 0, 2)]
-    borders, segs = pii.segments(text, 0, len(text), given)
+    region = pii.Region(text, 0, len(text), given)
+    borders, segs = region.borders, list(region.segments())
     assert all(borders[i] >= 2 for i, _, _ in segs) and any(borders[i] == 3 for i, _, _ in segs)
-    everywhere = pii.segments(text, 0, len(text))[1]
+    everywhere = list(pii.Region(text, 0, len(text)).segments())
     assert segs == [s for s in everywhere if borders[s[0]] >= 2]
     w = {f: [r.uniform(-1, 1.5) for _ in pii.KINDS] for *_, fs in everywhere for f in fs}
     scored = pii.scores(segs, w)
@@ -242,6 +243,26 @@ def test_the_best_segmentation_of_a_region():
     assert all(p >= pii.SURE for *_, p in found)
 
 
+def test_blocks_of_a_region_give_what_it_gives_at_once(monkeypatch):
+    """Segments and their probabilities, against the sums over all segments at once."""
+    r = random.Random(8)
+    text = " ".join(r.choice(["+1 (555) 123-4567", "10.2.3.4", "a.b@c.org", "77", "4111 1111 1111 1111", "x9"]) for _ in range(60))
+    given = [s for s in pii.base_spans(text) if r.random() < 0.4]
+    region = pii.Region(text, 0, len(text), given)
+    segs = list(region.segments())
+    w = {f: [r.uniform(-0.6, 0.9) for _ in pii.KINDS] for *_, fs in segs for f in fs}
+    monkeypatch.setattr(pii, "SURE", 0.0)
+    whole = pii.best(text, 0, len(text), w, given)
+    scored = pii.scores(segs, w)
+    p, _ = pii.marginals(len(region.kinds), scored)
+    each = {(region.borders[i], region.borders[j], pii.KINDS[k]): x for (i, j, k, _), x in zip(scored, p)}
+    assert whole and all(x == pytest.approx(each[s, e, k]) for k, s, e, x in whole)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        again = pii.best(text, 0, len(text), w, given)
+        assert [s[:3] for s in again] == [s[:3] for s in whole] and [s[3] for s in again] == pytest.approx([s[3] for s in whole])
+
+
 def test_a_long_line_of_matches_takes_linear_time():
     r = random.Random(7)
     w = {"bias": [0.1] * 4, "dots=3": [0.0, 1.0, 0.0, 0.0]}
