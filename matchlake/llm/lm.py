@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import count
 from zlib import crc32
 
@@ -32,11 +31,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.common import cut, shuffle_width
+from matchlake.llm.common import cut, settings, shuffle_width
 from matchlake.llm.elias_fano import NgramTrie, distinct, runs
 
 ORDER = 3
@@ -371,20 +370,6 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Settings of the session (dots as two underscores) that hold within, and are put back."""
-    named = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k) for k in named}
-    for k, v in named.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def placed(df: DataFrame, width: int) -> DataFrame:
     """df dealt out by chunk and kept. Without adaptive planning Spark keeps track of how the kept rows are dealt out, so that later joins by chunk move the answers alone."""
     with settings(df.sparkSession, spark__sql__adaptive__enabled="false"):
