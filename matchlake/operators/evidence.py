@@ -48,6 +48,19 @@ def template_distance(hashes: DataFrame, templates: DataFrame) -> DataFrame:
     return hashes.join(t).select("id", best.alias("b")).select("id", "b.name", "b.dist")
 
 
+def plate_score(crops: DataFrame, wanted: DataFrame, templates: DataFrame) -> DataFrame:
+    """(id, side, score) of sides (id, side, names): how far the two rows of its crops (id, side, frame, y, row, dhash) are at least from the templates
+    (name, side, dhash; a registry's few rows) of its one or two names, in either order; null unless every name has a template, and a crop both rows."""
+    named = wanted.select("id", "side", F.posexplode("names").alias("pos", "name")).join(F.broadcast(templates.select("name", "side", F.col("dhash").alias("t"))), ["name", "side"], "left")
+    goal = named.groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("ts"), F.count("t").alias("known"))
+    goal = goal.select("id", "side", F.when((F.col("known") == F.size("ts")) & (F.size("ts") <= 2), F.col("ts.t")).alias("ts"))
+    both = crops.groupBy("id", "side", "frame", "y").agg(F.max(F.when(F.col("row") == 0, F.col("dhash"))).alias("a"), F.max(F.when(F.col("row") == 1, F.col("dhash"))).alias("b"))
+    far = lambda c, k: P.hamming(F.col(c), F.get("ts", F.lit(k)))
+    score = F.when(F.size("ts") == 1, F.least(far("a", 0), far("b", 0)).cast("double")).otherwise(F.least((far("a", 0) + far("b", 1)) / 2, (far("a", 1) + far("b", 0)) / 2))
+    found = both.where("a is not null and b is not null").join(goal.where("ts is not null"), ["id", "side"]).groupBy("id", "side").agg(F.min(score).alias("score"))
+    return wanted.select("id", "side").join(found, ["id", "side"], "left")
+
+
 def vote_side(readings: DataFrame) -> DataFrame:
     """(video, side, fuse, dist, margin, struct, sat_frac): gate crops, pick each one's class, the best of each frame, and let frames vote."""
     crop = Window.partitionBy("video", "side", "frame", "dy")
@@ -183,6 +196,11 @@ def review_queue(gaps: DataFrame, df: DataFrame, overrides: DataFrame) -> DataFr
     return j.select("id", "bucket", "era", "title", pick("_ol", "_l").alias("left"), pick("_or", "_r").alias("right"), (F.coalesce("_o", F.lit(False)) & (F.col("_ol").isNotNull() | F.col("_or").isNotNull())).alias("saved"))
 
 
+def join_gaps(gaps: DataFrame, df: DataFrame) -> DataFrame:
+    """gaps with the columns of their records; gaps without a record go."""
+    return gaps.join(df.select("id", *(c for c in df.columns if c not in gaps.columns)), "id")
+
+
 def orient_queue(queue: DataFrame, overrides: DataFrame) -> DataFrame:
     """queue (id, fuse) with the owner so far: the first team of an override (id, fuses) with that fuse, else null."""
     o = overrides.select("id", "fuses")
@@ -219,6 +237,11 @@ def histogram(df: DataFrame, col: str, width: int = 4) -> DataFrame:
     return df.groupBy((F.floor(F.col(col) / width) * width).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def distance_range(df: DataFrame, by: str, col: str = "dist") -> DataFrame:
+    """(by, least, mean, most) of a distance."""
+    return df.groupBy(by).agg(F.min(col).alias("least"), F.avg(col).alias("mean"), F.max(col).alias("most"))
+
+
 def status_tally(df: DataFrame, col: str = "status") -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n"))
 

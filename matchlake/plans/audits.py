@@ -203,6 +203,28 @@ def vote_winner(spark, sf):
     return _votes(spark, sf).withColumn("sat_frac", F.round("sat_frac", 6))
 
 
+@query(_READ + " SELECT fuse, min(dist) AS least, round(avg(dist), 6) AS mean, max(dist) AS most FROM vs GROUP BY fuse")
+def vote_distances(spark, sf):
+    return evidence.distance_range(_votes(spark, sf), "fuse").withColumn("mean", F.round("mean", 6))
+
+
+@query(""", v AS (SELECT id::BIGINT AS k, dhash FROM grid), crop AS (SELECT k // 8 AS id, CASE WHEN k // 4 % 2 = 0 THEN 'left' ELSE 'right' END AS side, k // 2 % 2 AS y, max(dhash) FILTER (k % 2 = 0) AS a, max(dhash) FILTER (k % 2 = 1) AS b FROM v GROUP BY ALL),
+tp AS (SELECT 't' || (k // 2) AS name, CASE WHEN k % 2 = 0 THEN 'left' ELSE 'right' END AS side, dhash AS t FROM v WHERE k < 8),
+wn AS (SELECT DISTINCT id, side, CASE id % 3 WHEN 0 THEN ['t0'] WHEN 1 THEN ['t1', 't2'] ELSE ['t1', 'none'] END AS names FROM crop),
+g AS (SELECT wn.id, wn.side, len(names) AS n, x.t AS t0, y.t AS t1 FROM wn LEFT JOIN tp x ON x.side = wn.side AND x.name = names[1] LEFT JOIN tp y ON y.side = wn.side AND y.name = names[2]),
+sc AS (SELECT g.id, g.side, CASE WHEN n = 1 THEN least(bit_count(xor(a, t0)), bit_count(xor(b, t0)))::DOUBLE WHEN t1 IS NOT NULL THEN
+  least((bit_count(xor(a, t0))::INT + bit_count(xor(b, t1))) / 2, (bit_count(xor(a, t1))::INT + bit_count(xor(b, t0))) / 2) END AS s FROM g LEFT JOIN crop c ON c.id = g.id AND c.side = g.side AND a IS NOT NULL AND b IS NOT NULL)
+SELECT id, side, min(s) AS score FROM sc GROUP BY ALL""")
+def plate_scores(spark, sf):
+    """Hashes as crops of two rows each, against templates of one or two names, one of which may be unknown."""
+    h = V.copy_hashes(spark, sf).withColumn("k", F.col("id").cast("bigint"))
+    side = lambda k: F.when(k == 0, "left").otherwise("right")
+    crops = h.select(F.floor(F.col("k") / 8).alias("id"), side(F.floor(F.col("k") / 4) % 2).alias("side"), F.lit(0).alias("frame"), (F.floor(F.col("k") / 2) % 2).alias("y"), (F.col("k") % 2).alias("row"), "dhash")
+    templates = h.where("k < 8").select(F.concat(F.lit("t"), F.floor(F.col("k") / 2)).alias("name"), side(F.col("k") % 2).alias("side"), "dhash")
+    names = F.when(F.col("id") % 3 == 0, F.array(F.lit("t0"))).when(F.col("id") % 3 == 1, F.array(F.lit("t1"), F.lit("t2"))).otherwise(F.array(F.lit("t1"), F.lit("none")))
+    return evidence.plate_score(crops, crops.select("id", "side").distinct().withColumn("names", names), templates)
+
+
 @query(_READ + " SELECT id, l AS \"left\", r AS \"right\", status FROM dets")
 def status(spark, sf):
     return evidence.detection_status(_votes(spark, sf), _orient(spark, sf))
@@ -260,6 +282,12 @@ def gap_buckets_by_run(spark, sf):
     return g.select("id", "bucket", F.array_join(F.array_remove("flags", "premiere"), ",").alias("flags"))
 
 
+@query(_GAPS + """ SELECT gp.id, bucket, views AS "viewCount", season FROM gp JOIN recs ON recs.id = gp.id WHERE recs.n % 4 <> 0""")
+def joined_gaps(spark, sf):
+    r = V.records(spark, sf)
+    return evidence.join_gaps(_gaps(spark, sf), r.where(F.col("id").cast("bigint") % 4 != 0)).select("id", "bucket", "viewCount", "season")
+
+
 @query(_GAPS + " SELECT id FROM gp WHERE bucket = 'low' AND era = 's1'")
 def gap_filter(spark, sf):
     return evidence.filter_gaps(_gaps(spark, sf), "low", "s1").select("id")
