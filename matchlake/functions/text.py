@@ -18,6 +18,17 @@ LEADING_RANK = rf"(?i)^\s*{MARK}?\s*rank\s*\d+(?:\s*(?:&|vs\.?)\s*(?:rank\s*)?\d
 TRAILING_RANK = r"(?i)\s+(?:#\s*)?\d+\s+rank\s*$"
 PLAYER_SEPARATOR = r"\s*&\s*|\s*\+\s*|\s+-\s*|\s*-\s+"
 SHAPE = rf"(?i)^[^{MARK}]*(?:{MARK}\s*)?[^{MARK}]*?\([^)]*\)\s+vs\s+[^{MARK}]*?\([^)]*\)\s*(?:{MARK}[^{MARK}]*)?$"
+CHARACTER_SEPARATOR = r"\s*[/-]\s*"
+#: Of the segment that names the brand, and of what follows the match; {brand} is put in.
+FIRST_SEGMENT = rf"(?i)^[^{MARK}]*?{_B}{{brand}}{_E}[^{MARK}]*{MARK}\s*"
+LAST_SEGMENT = rf"\s*{MARK}[^{MARK}]*$"
+#: How descriptions, durations and pictures are written.
+SEASON_LABELS = (r"(?i)\(Season\s*(\d+)\)", r"(?i)Season\s*(\d+)")
+PATCH_LABEL = r"(?i)Patch\s*:\s*([^\n\r]+)"
+WRITTEN_DAY = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]+)\s+(\d{4})"
+DURATION = r"PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
+RESOLUTIONS = ("maxres", "standard", "high", "medium", "default")
+PICTURE = ("https://i.ytimg.com/vi/", "/hqdefault.jpg")
 #: Tags of tournament rounds, in the order in which they are tried.
 ROUNDS = (
     (r"grand\s*finals?", "grand-finals"),
@@ -44,11 +55,11 @@ def norm_ws(c: Column) -> Column:
 
 def strip_prefix(c: Column, brand: str) -> Column:
     """Without a first segment that names the brand, if no mark stands before its end."""
-    return F.regexp_replace(c, rf"(?i)^[^{MARK}]*?{_B}{brand}{_E}[^{MARK}]*{MARK}\s*", "")
+    return F.regexp_replace(c, FIRST_SEGMENT.replace("{brand}", brand), "")
 
 
 def strip_suffix(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\s*{MARK}[^{MARK}]*$", "")
+    return F.regexp_replace(c, LAST_SEGMENT, "")
 
 
 def split_teams(c: Column) -> Column:
@@ -77,7 +88,7 @@ def _tokens(c: Column, separator: str) -> Column:
 
 
 def split_chars(c: Column) -> Column:
-    return _tokens(c, r"\s*[/-]\s*")
+    return _tokens(c, CHARACTER_SEPARATOR)
 
 
 def split_players(c: Column) -> Column:
@@ -116,14 +127,14 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def labeled_season(c: Column) -> Column:
     """The number behind "Season", in brackets first."""
-    found = F.coalesce(*(empty_to_null(F.regexp_extract(c, p, 1)) for p in (r"(?i)\(Season\s*(\d+)\)", r"(?i)Season\s*(\d+)")))
+    found = F.coalesce(*(empty_to_null(F.regexp_extract(c, p, 1)) for p in SEASON_LABELS))
     return found.cast("int")
 
 
 def patch_label(c: Column) -> Column:
     """What follows "Patch:" on its line, as a day if it is one (days beyond the month roll over)."""
-    label = F.trim(empty_to_null(F.regexp_extract(c, r"(?i)Patch\s*:\s*([^\n\r]+)", 1)))
-    day = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]+)\s+(\d{4})"
+    label = F.trim(empty_to_null(F.regexp_extract(c, PATCH_LABEL, 1)))
+    day = WRITTEN_DAY
     name = F.lower(F.regexp_extract(label, day, 2))
     names = [(n, k + 1) for k, n in [*enumerate(LONG_MONTHS), *enumerate(MONTHS)]] + [("sept", 9)]
     month = F.element_at(F.create_map(*(F.lit(x) for n, k in dict(names).items() for x in (n, k))), F.when(name != "", name).otherwise("-"))
@@ -155,7 +166,7 @@ def match_type(most_players: Column, rounds: Column) -> Column:
 
 def iso_duration(c: Column) -> Column:
     """Seconds of PT#H#M#S; 0 if there are none."""
-    part = lambda k: F.coalesce(empty_to_null(F.regexp_extract(c, r"PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?", k)).cast("int"), F.lit(0))
+    part = lambda k: F.coalesce(empty_to_null(F.regexp_extract(c, DURATION, k)).cast("int"), F.lit(0))
     return part(1) * 3600 + part(2) * 60 + part(3)
 
 
@@ -180,7 +191,12 @@ def add_days(day: Column, n: int) -> Column:
     return F.date_format(F.date_add(day.cast("date"), n), "yyyy-MM-dd")
 
 
+def picture(video: Column) -> Column:
+    """The url that every video has."""
+    return F.concat(F.lit(PICTURE[0]), video, F.lit(PICTURE[1]))
+
+
 def thumbnail(thumbs: Column, video: Column) -> Column:
     """The url of highest resolution in map<string, struct<url>>."""
-    ladder = [empty_to_null(F.try_element_at(thumbs, F.lit(k))["url"]) for k in ("maxres", "standard", "high", "medium", "default")]
-    return F.coalesce(*ladder, F.concat(F.lit("https://i.ytimg.com/vi/"), video, F.lit("/hqdefault.jpg")))
+    ladder = [empty_to_null(F.try_element_at(thumbs, F.lit(k))["url"]) for k in RESOLUTIONS]
+    return F.coalesce(*ladder, picture(video))

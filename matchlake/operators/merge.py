@@ -49,7 +49,7 @@ def manual_records(manual: DataFrame, seasons: DataFrame, windows: DataFrame) ->
             "patchVersion": F.when(F.col("version_given"), F.col("_version")).otherwise(F.col("patchVersion")),
             "channel": F.lit("manual"),
             "channelName": F.coalesce("channelName", "tournament"),
-            "thumbnail": F.coalesce("thumbnail", F.concat(F.lit("https://i.ytimg.com/vi/"), "id", F.lit("/hqdefault.jpg"))),
+            "thumbnail": F.coalesce("thumbnail", X.picture(F.col("id"))),
             "durationSec": F.coalesce("durationSec", F.lit(0)),
             "viewCount": F.coalesce("viewCount", F.lit(0)),
             "matchType": F.coalesce("matchType", F.lit("tournament")),
