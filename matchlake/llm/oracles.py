@@ -156,3 +156,45 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
 FROM h JOIN best USING (hex)
 """
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+tot AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0)::BIGINT AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (total + 2 * v) AS p
+  FROM tot t JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+whole AS (SELECT lang, sum(n)::BIGINT AS total FROM p GROUP BY lang),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n)::BIGINT + 2) // (any_value(total) + 2 * any_value(v)) AS q FROM p JOIN whole USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS r, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.s = a.source AND x.r = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS "rank" FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, "rank" FROM ranked WHERE part = 'pair' OR "rank" <= 10
+"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT row_number() OVER () AS pos, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS MATERIALIZED (SELECT pos, term, count(*) AS times FROM (SELECT pos, unnest(w) AS term FROM i) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+wt AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, big_n),
+hit AS MATERIALIZED (
+  SELECT rid, doc_id, term, wt.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * big_n) // big_l))) AS part
+  FROM tf JOIN d USING (rid) JOIN wt USING (term), s),
+scored AS (SELECT pos, rid, doc_id, sum(times * part)::BIGINT AS score FROM asked JOIN hit USING (term) GROUP BY ALL HAVING sum(times * part) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, doc_id NULLS LAST)::INT AS "rank" FROM scored QUALIFY "rank" <= 10)
+SELECT item_id, "rank", ranked.doc_id, score FROM ranked JOIN i USING (pos)
+"""

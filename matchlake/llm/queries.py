@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import decontaminate, lm, mixing, oracles, pii, quality, secret_scan, sharding, simhash, urls, warc
+from matchlake.llm import ann, decontaminate, divergence, lexical, lm, mixing, oracles, pii, quality, secret_scan, sharding, simhash, urls, warc
 from matchlake.llm.common import table
 
 
@@ -81,6 +81,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scores, op3_secret_scans, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op9_pii, op10_simhash)}
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7, "op8_url_filters": oracles.OP8}
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_lm_scores, op3_secret_scans, op4_warc, op5_decontamination, op6_sharding, op7_mixing, op8_url_filters, op9_pii, op10_simhash,
+        op11_nearest, op12_divergence, op13_ranked_search,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracles.OP1, "op4_warc": oracles.OP4, "op5_decontamination": oracles.OP5, "op7_mixing": oracles.OP7, "op8_url_filters": oracles.OP8,
+    "op12_divergence": oracles.OP12, "op13_ranked_search": oracles.OP13,
+}
