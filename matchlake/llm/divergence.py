@@ -34,7 +34,6 @@ SPILL = 200_000
 #: Weights (terms times sources) that a task holds at once, and terms of a task of merged stripes.
 CELLS, TERMS = 1_000_000, 20_000
 
-_COUNTS = pa.list_(pa.struct([("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())]))
 _STRIPE = "lang string, term string, counts array<struct<source:string,docs:bigint,n:bigint>>"
 
 
@@ -48,18 +47,20 @@ def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entries = 0
 
     def spilled() -> pa.RecordBatch:
-        langs, terms, counts = [], [], []
-        for (lang, term), by in stripes.items():
-            langs.append(lang)
-            terms.append(None if term is None else term.decode())
-            counts.append([{"source": s, "docs": c[0], "n": c[1]} for s, c in by.items()])
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()), pa.array(counts, _COUNTS)], names=["lang", "term", "counts"])
+        flat = [c for by in stripes.values() for c in by.values()]
+        columns = [pa.array([s for by in stripes.values() for s in by], pa.string()), *(pa.array([c[k] for c in flat], pa.int64()) for k in (0, 1))]
+        ends = np.cumsum([0, *map(len, stripes.values())]).astype(np.int32)
+        counts = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=["source", "docs", "n"]))
+        langs, terms = [lang for lang, _ in stripes], [None if term is None else term.decode() for _, term in stripes]
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()), counts], names=["lang", "term", "counts"])
 
     for b in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
             stripes.setdefault((lang, None), {}).setdefault(source, [0, 0])
             for term, n in Counter(terms_of(text)).items():
-                by = stripes.setdefault((lang, term), {})
+                by = stripes.get((lang, term))
+                if by is None:
+                    by = stripes[lang, term] = {}
                 c = by.get(source)
                 if c is None:
                     by[source] = [1, n]

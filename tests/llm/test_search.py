@@ -139,7 +139,7 @@ def test_divergences_by_hand(spark, monkeypatch):
 
 
 def test_spilled_stripes_add_up(monkeypatch):
-    rows = [("en", f"s{k % 3}", f"w{k % 11} w{k % 7} w{k % 7}".encode()) for k in range(200)]
+    rows = [("en", f"s{k % 3}", f"w{'abcdefghijk'[k % 11]} w{'abcdefg'[k % 7]} w{'abcdefg'[k % 7]}".encode()) for k in range(200)]
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 30])], names=["lang", "source", "text"]) for i in range(0, 200, 30)]
 
     def total():
