@@ -6,8 +6,8 @@ verified and linked. The shuffle is on the variant: its top bits name the bucket
 bucket that any of its variants falls into, where the variants of that bucket are enumerated. This sends the same
 variants as one row each would, in a fiftieth of the bytes.
 
-Cases: ids are integers; fingerprints that rows without an id alone have link none, and are in component null; a null or empty text has no words and fingerprint zero, which is linked like any other; fewer words than a
-shingle make one shingle; equal fingerprints collapse before the search, so copies cost one entry; repeated rows keep
+Cases: ids are integers, any of them; rows without an id are linked like others, but a component without any id is null; a null or empty text has no words
+and fingerprint zero, which is linked like any other; fewer words than a shingle make one shingle; equal fingerprints collapse before the search, so copies cost one entry; repeated rows keep
 their rows and share a component; an empty table gives an empty result. Extra columns of the input are ignored.
 """
 
@@ -156,15 +156,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def named_components(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component, component_id) of nodes (node, id), whatever numbers they have: the root that found (node, root) gives, else the node itself, and the smallest id there."""
+    roots = found.select(F.col("root").alias("node"), "root").distinct()
+    linked = cut(found.unionByName(roots).join(nodes, "node").select("node", "root", "id"))
+    least = cut(linked.groupBy("root").agg(F.min("id").alias("component_id")))
+    linked = linked.join(least, "root").select("node", F.col("root").alias("component"), "component_id")
+    alone = nodes.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """(id, fp, component_id) for each row: component_id is the smallest id reachable over links of at most so many (an even number of) differing bits."""
     if distance % 2:
         raise ValueError("the distance must be even: two balls of half of it meet")
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    fps = cut(prints.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")))
-    known = fps.where("node is not null")
-    found = components(ball_links(known, distance // 2))
-    label = fps.join(found, "node", "left").select(F.col("fp"), F.coalesce("root", "node").alias("component_id"))
+    fps = cut(prints.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    found = components(ball_links(fps.select("fp", "node"), distance // 2))
+    label = fps.select("fp", "node").join(named_components(fps.select("node", "id"), found), "node").select("fp", "component_id")
     return prints.join(label, "fp", "left").select(id_col, "fp", F.col("component_id"))
 
 

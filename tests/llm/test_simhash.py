@@ -80,3 +80,21 @@ def test_components(spark):
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got.get(k, k) for k in range(41)} == {0} and {got.get(k, k) for k in range(100, 160)} == {100} and got[300] == 200
     assert simhash.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_links_over_rows_without_an_id(spark, monkeypatch):
+    prints = [(1, 0), (None, 15), (2, 255), ((1 << 62) + 3, 0x7FFF << 40), (None, (0x7FFF << 40) + 1), (None, 0x5555 << 44)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: spark.createDataFrame(prints, "doc_id bigint, fp bigint"))
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect())
+    assert got == sorted([("1", "1"), ("None", "1"), ("2", "1"), (str((1 << 62) + 3), str((1 << 62) + 3)), ("None", str((1 << 62) + 3)), ("None", "None")])
+
+
+def test_the_query_itself(spark):
+    """Its own columns, against all pairs."""
+    from matchlake.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    fps = [fingerprint(r.text) for r in rows]
+    want = classes([r.doc_id for r in rows], fps, 4)
+    got = sorted(tuple(r) for r in queries.op10_simhash(spark, "/root/testdata/sf0.001").select("doc_id", "fingerprint", "component_id").collect())
+    assert got == sorted((r.doc_id, f"{f:016x}", want[r.doc_id]) for r, f in zip(rows, fps))
