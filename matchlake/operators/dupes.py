@@ -1,13 +1,19 @@
 """Duplicate matches and duplicate entities.
 
 Matches block on their signature and a duration bucket; entities on slugs, words, deletion variants and prefixes. Every
-candidate join is an equi-join. A signature's bucket may be popular; its rows then lie in one key, which adaptive execution
-splits, and the result itself has a row for each pair, as the audit asks.
+candidate join is an equi-join.
+
+Neither lists the square of a group. Records that agree in all columns that decide about a pair are one class: pairs are those
+of classes, named by their smallest ids, with the number of record pairs each stands for, and a table of members gives the
+records. A class of more than one has a pair of its own. What is done with single records (which to drop, for whom) follows from
+the classes and is the same as over all pairs. Entities of one key are a star around the smallest id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +21,11 @@ from pyspark.sql import functions as F
 from matchlake.functions import pixels as P
 from matchlake.functions import text as X
 from matchlake.operators.checkpoints import cut
+from matchlake.operators.linking import components, followed
 
+#: What pairs hang on: how long and where, and what tiers and precedence look at besides.
+LENGTH = ("sig", "durationSec", "channel")
+DECIDING = (*LENGTH, "publishedAt", "has_override", "has_fuse", "dhash")
 WINDOW_SEC = 90
 TIERS = ("A", "B", "C")
 #: What a kind of evidence weighs, and the order in which kinds are tried.
@@ -29,6 +39,42 @@ def signature(teams: Column) -> Column:
     return F.when(full, F.array_join(F.array_sort(F.transform(teams, side)), " ~ "))
 
 
+def collapsed(df: DataFrame, by: tuple[str, ...] = DECIDING) -> DataFrame:
+    """A row a class of records that may have duplicates and agree in these columns: id, the smallest, and n, how many."""
+    return df.where("durationSec > 0 and sig is not null").groupBy(*by).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+def members(df: DataFrame, classes: DataFrame, by: tuple[str, ...] = DECIDING) -> DataFrame:
+    """(id, class) of records."""
+    own = classes.select(F.col("id").alias("class"), *(F.col(c).alias(f"_{c}") for c in by))
+    return df.join(own, reduce(and_, (df[c].eqNullSafe(own[f"_{c}"]) for c in by))).select("id", "class")
+
+
+def link_counts(df: DataFrame, window_sec: int = WINDOW_SEC) -> DataFrame:
+    """(class, n, links, cross): the records of one signature, length and channel, and how many partners each of them has, and how many in other channels.
+
+    Lengths are swept in their order within a signature, with a moving sum; that is over a row a length and channel, however many records there are."""
+    own = collapsed(df, LENGTH)
+    sweep = lambda *by: F.sum("n").over(Window.partitionBy(*by).orderBy("durationSec").rangeBetween(-window_sec, window_sec))
+    seen = own.select(F.col("id").alias("class"), "n", sweep("sig").alias("_all"), sweep("sig", "channel").alias("_here"))
+    return seen.select("class", "n", (F.col("_all") - 1).alias("links"), (F.col("_all") - F.col("_here")).alias("cross"))
+
+
+def class_pairs(classes: DataFrame, window_sec: int = WINDOW_SEC, scope: str = "all") -> DataFrame:
+    """match_pairs of classes with `pairs`, the record pairs that each stands for; a class of several records is paired with itself."""
+    between = match_pairs(classes, window_sec, scope).withColumn("pairs", F.col("a.n") * F.col("b.n"))
+    if scope == "cross":
+        return between
+    own = F.struct(*classes.columns)
+    within = classes.where("n > 1").select(own.alias("a"), own.alias("b"), (F.col("durationSec") * 0).alias("delta"), F.lit(True).alias("intra"), F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    return between.unionByName(within)
+
+
+def with_ham(pairs: DataFrame) -> DataFrame:
+    """Pairs of classes with ham, how far their hashes lie apart."""
+    return pairs.withColumn("ham", P.hamming(F.col("a.dhash"), F.col("b.dhash")))
+
+
 def match_pairs(df: DataFrame, window_sec: int = WINDOW_SEC, scope: str = "all") -> DataFrame:
     """Pairs of records (id, sig, durationSec, channel, publishedAt, has_override, has_fuse) of one signature and about one length; a.id < b.id."""
     width = window_sec + 1
@@ -115,15 +161,22 @@ def actionable(pairs: DataFrame, min_tier: str = "B") -> DataFrame:
     return open_.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def actionable_members(judged: DataFrame, classes: DataFrame, of: DataFrame, min_tier: str = "B") -> DataFrame:
+    """What actionable gives over all pairs of records, from judged pairs of classes (with themselves too) and of (id, class).
+
+    The strongest pair of a class's smallest id is that of the class. Any other record is also dropped for that smallest id, at no difference
+    in length, unless an override forbids it; no pair with a class of a later smallest id is stronger than that."""
+    best = actionable(judged.where("keep.id <> drop.id"), min_tier).select(F.col("drop.id").alias("class"), F.struct(F.col("tier"), F.coalesce("ham", F.lit(64)).alias("far"), F.col("delta"), F.col("keep.id").alias("keep"), F.col("ham")).alias("best"))
+    own = F.struct(F.lit("A").alias("tier"), F.when(F.col("dhash").isNull(), 64).otherwise(0).alias("far"), (F.col("durationSec") * 0).alias("delta"), F.col("id").alias("keep"), F.when(F.col("dhash").isNotNull(), 0).alias("ham"))
+    self_ = classes.where("n > 1 and not has_override").select(F.col("id").alias("class"), own.alias("own"))
+    about = cut(best.join(self_, "class", "full"))
+    rows = of.join(about, "class").select("id", F.least("best", F.when(F.col("id") != F.col("class"), F.col("own"))).alias("x")).where("x is not null")
+    return rows.select(F.struct("x.keep").alias("keep"), F.struct("id").alias("drop"), "x.tier", "x.ham", "x.delta").withColumn("keep", F.struct(F.col("keep.keep").alias("id")))
+
+
 def survivors(action: DataFrame) -> DataFrame:
-    """(drop, survivor): keep pointers followed until a record that stays. Pointers double in each round; precedence is a total order, so there are no cycles."""
-    now = cut(action.select(F.col("drop.id").alias("drop"), F.col("keep.id").alias("survivor")))
-    while True:
-        hop = now.select(F.col("drop").alias("survivor"), F.col("survivor").alias("_to"))
-        after = cut(now.join(hop, "survivor", "left").select("drop", F.coalesce("_to", "survivor").alias("survivor"), F.col("_to").isNotNull().alias("moved")))
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now
+    """(drop, survivor): keep pointers followed until a record that stays; precedence is a total order, so there are no cycles."""
+    return followed(action.select(F.col("drop.id").alias("drop"), F.col("keep.id").alias("survivor")), "drop", "survivor")
 
 
 def exclusions(action: DataFrame) -> DataFrame:
@@ -134,24 +187,39 @@ def exclusions(action: DataFrame) -> DataFrame:
 
 
 def tier_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("tier").agg(F.count("*").alias("n"))
+    """(tier, n) of pairs; of classes: of the record pairs that they stand for."""
+    return pairs.groupBy("tier").agg(F.sum("pairs").alias("n") if "pairs" in pairs.columns else F.count("*").alias("n"))
 
 
 def _same(rows: DataFrame, key: str, kind: str) -> DataFrame:
-    a, b = (rows.select(F.col(key).alias("_k"), F.col("id").alias(x)) for x in "ab")
-    return a.join(b, "_k").where("a < b and _k <> ''").select("a", "b", F.lit(kind).alias("kind"))
+    """A star for each key: the smallest id with each other."""
+    first = rows.where(F.col(key) != "").groupBy(key).agg(F.min("id").alias("a"))
+    return rows.join(first, key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(kind).alias("kind"))
+
+
+def entity_classes(pairs: DataFrame) -> DataFrame:
+    """(id, class, kinds): the entities that pairs link, directly or through others, by their smallest id, with the kinds of evidence within the class."""
+    found = cut(components(pairs.select("a", "b")))
+    order = F.create_map(*(F.lit(x) for k, n in enumerate(WEIGHTS) for x in (n, k)))
+    label = F.col("b").alias("id"), "kind"  # every pair's b is in found, as its a is smaller
+    kinds = pairs.select(*label).join(found, "id").groupBy("class").agg(F.array_sort(F.collect_set(F.struct(order[F.col("kind")].alias("o"), "kind"))).alias("k"))  # six kinds
+    roots = found.select("class").distinct().select(F.col("class").alias("id"), "class")
+    return found.unionByName(roots).join(kinds, "class").select("id", "class", F.array_join("k.kind", "+").alias("kinds"))
 
 
 def entity_pairs(registry: DataFrame, kinds: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
-    """(a, b, kind), a < b, from a registry (id, handle): each heuristic blocks by an equi-join."""
+    """(a, b, kind), a < b, from a registry (id, handle): each heuristic blocks by an equi-join. Handles of one slug, or one leet spelling, are a star around
+    the smallest id; sponsors and initials are found between the smallest ids of equal words, typos and affixes between those of equal slugs."""
     rows = registry.select("id", "handle", X.slug(F.col("handle")).alias("slug"), X.handle_words(F.col("handle")).alias("words")).withColumn("leet", X.deleet(F.col("slug")))
+    by_words = rows.groupBy("slug", "words").agg(F.min("id").alias("id"))
+    by_slug = rows.groupBy("slug").agg(F.min("id").alias("id"))
     made = {
         "slug": lambda: _same(rows, "slug", "slug"),
         "leet": lambda: _same(rows, "leet", "leet"),
-        "sponsor": lambda: sponsors(rows),
-        "initials": lambda: initials(rows),
-        "typo": lambda: typos(rows),
-        "affix": lambda: affixes(rows),
+        "sponsor": lambda: sponsors(by_words),
+        "initials": lambda: initials(by_words),
+        "typo": lambda: typos(by_slug),
+        "affix": lambda: affixes(by_slug),
     }
     out = None
     for k in kinds:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchlake.functions import pixels as P
 from matchlake.functions import text as X
 from matchlake.operators import dupes, evidence
+from matchlake.operators.checkpoints import cut
 from matchlake.plans import proxies as V
 from matchlake.plans.registry import query
 
@@ -25,38 +26,74 @@ kp AS (SELECT *, CASE WHEN first THEN a ELSE b END AS keep, CASE WHEN first THEN
 act AS (SELECT * FROM kp WHERE tier <> 'C' AND NOT dov AND NOT (dgd AND NOT kgd) QUALIFY row_number() OVER (PARTITION BY drp ORDER BY tier, coalesce(ham, 64), delta, keep) = 1)"""
 
 
-def _pairs(spark, sf):
-    return dupes.with_hash_distance(dupes.match_pairs(V.copies(spark, sf)), V.copy_hashes(spark, sf))
+#: Classes of records that agree in what decides about pairs, and their pairs, judged.
+_CLASSES = """, cl AS (SELECT sig, dur, channel, min(id) AS id, count(*) AS n FROM copies WHERE dur > 0 AND sig IS NOT NULL GROUP BY ALL)"""
+_FINE = """, fine AS (SELECT sig, dur, channel, pub, ov, fu, dhash, min(copies.id) AS id, count(*) AS n FROM copies LEFT JOIN grid ON grid.id = copies.id WHERE dur > 0 AND sig IS NOT NULL GROUP BY ALL),
+dp AS (
+  SELECT a.id AS a, b.id AS b, abs(a.dur - b.dur) AS delta, a.channel = b.channel AS intra, a.pub AS ap, b.pub AS bp, a.dur AS ad, b.dur AS bd, a.ov AS ao, b.ov AS bo, a.fu AS af, b.fu AS bf,
+         bit_count(xor(a.dhash, b.dhash))::INT AS ham, CASE WHEN a.id = b.id THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS pairs
+  FROM fine a JOIN fine b ON a.sig = b.sig AND a.id <= b.id AND abs(a.dur - b.dur) <= 90 AND (a.id < b.id OR a.n > 1))""" + _PAIRS[_PAIRS.index(",\ntp AS"):].replace("FROM hp", "FROM dp", 1).split(",\nact AS")[0]
 
 
-def _judged(spark, sf):
-    return dupes.flags(dupes.precedence(dupes.tier(_pairs(spark, sf))))
+def _copies(spark, sf):
+    """The records with their hashes, kept: all queries of duplicates read them more than once."""
+    rows = V.copies(spark, sf).join(V.copy_hashes(spark, sf), "id", "left")
+    return cut(rows)
 
 
-@query(_PAIRS + " SELECT a, b, delta, intra FROM dp")
+def _judged(classes):
+    return dupes.flags(dupes.precedence(dupes.tier(dupes.with_ham(dupes.class_pairs(classes)))))
+
+
+def _action(spark, sf):
+    rows = _copies(spark, sf)
+    classes = cut(dupes.collapsed(rows))
+    return dupes.actionable_members(_judged(classes), classes, dupes.members(rows, classes))
+
+
+@query(_CLASSES + """ SELECT a.id AS a, b.id AS b, abs(a.dur - b.dur) AS delta, a.channel = b.channel AS intra, (CASE WHEN a.id = b.id THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END)::BIGINT AS pairs
+FROM cl a JOIN cl b ON a.sig = b.sig AND a.id <= b.id AND abs(a.dur - b.dur) <= 90 AND (a.id < b.id OR a.n > 1)""")
 def dupe_pairs(spark, sf):
-    return dupes.match_pairs(V.copies(spark, sf)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "delta", "intra")
+    """Pairs of classes of equal signature, length and channel, with the record pairs that each stands for."""
+    return dupes.class_pairs(dupes.collapsed(_copies(spark, sf), dupes.LENGTH)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "delta", "intra", "pairs")
 
 
-@query(_PAIRS + " SELECT a, b, delta, intra FROM dp WHERE NOT intra")
+@query(_CLASSES + """ SELECT a.id AS a, b.id AS b, abs(a.dur - b.dur) AS delta, false AS intra, (a.n * b.n)::BIGINT AS pairs
+FROM cl a JOIN cl b ON a.sig = b.sig AND a.id < b.id AND abs(a.dur - b.dur) <= 90 AND a.channel <> b.channel""")
 def dupe_pairs_cross(spark, sf):
-    return dupes.match_pairs(V.copies(spark, sf), scope="cross").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "delta", "intra")
+    return dupes.class_pairs(dupes.collapsed(_copies(spark, sf), dupes.LENGTH), scope="cross").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "delta", "intra", "pairs")
+
 
+@query(_CLASSES + " SELECT copies.id, cl.id AS class FROM copies JOIN cl ON cl.sig = copies.sig AND cl.dur = copies.dur AND cl.channel = copies.channel")
+def dupe_members(spark, sf):
+    rows = _copies(spark, sf)
+    return dupes.members(rows, dupes.collapsed(rows, dupes.LENGTH), dupes.LENGTH)
 
-@query(_PAIRS + """ SELECT keep, drp AS "drop", tier, rule, ham, delta,
+
+@query(_PAIRS + """, cl AS (SELECT sig, dur, channel, min(id) AS id, count(*) AS n FROM copies WHERE dur > 0 AND sig IS NOT NULL GROUP BY ALL),
+ends AS (SELECT a AS id, intra FROM dp UNION ALL SELECT b, intra FROM dp), per AS (SELECT id, count(*) AS links, count(*) FILTER (NOT intra) AS across FROM ends GROUP BY id)
+SELECT cl.id AS class, n, coalesce(links, 0) AS links, coalesce(across, 0) AS "cross" FROM cl LEFT JOIN per ON per.id = cl.id""")
+def dupe_links(spark, sf):
+    """How many duplicates the records of each class have; the SQL counts them over all pairs of records."""
+    return dupes.link_counts(_copies(spark, sf))
+
+
+@query(_FINE + """ SELECT keep, drp AS "drop", tier, rule, ham, delta, pairs::BIGINT AS pairs,
 array_to_string(list_filter([CASE WHEN dpub < kpub THEN 'reverse-direction' END, CASE WHEN dgd AND NOT kgd THEN 'blocked-by-prefer-existing' END, CASE WHEN dov THEN 'drop-has-override' END], lambda x: x IS NOT NULL), ',') AS flags FROM kp""")
 def dupe_tiers(spark, sf):
-    return _judged(spark, sf).select(F.col("keep.id").alias("keep"), F.col("drop.id").alias("drop"), "tier", "rule", "ham", "delta", F.array_join("flags", ",").alias("flags"))
+    """Judged pairs of classes; one of a class with itself is that of any two of its records, of which the smaller id stays."""
+    pairs = _judged(cut(dupes.collapsed(_copies(spark, sf))))
+    return pairs.select(F.col("keep.id").alias("keep"), F.col("drop.id").alias("drop"), "tier", "rule", "ham", "delta", "pairs", F.array_join("flags", ",").alias("flags"))
 
 
 @query(_PAIRS + " SELECT tier, count(*) AS n FROM kp GROUP BY ALL")
 def dupe_tier_counts(spark, sf):
-    return dupes.tier_counts(_judged(spark, sf))
+    return dupes.tier_counts(_judged(cut(dupes.collapsed(_copies(spark, sf)))))
 
 
 @query(_PAIRS + ' SELECT keep, drp AS "drop", tier, delta FROM act')
 def dupe_actionable(spark, sf):
-    return dupes.actionable(_judged(spark, sf)).select(F.col("keep.id").alias("keep"), F.col("drop.id").alias("drop"), "tier", "delta")
+    return _action(spark, sf).select(F.col("keep.id").alias("keep"), F.col("drop.id").alias("drop"), "tier", "delta")
 
 
 @query(_PAIRS + """, steps AS (SELECT a0.drp, coalesce(a5.keep, a4.keep, a3.keep, a2.keep, a1.keep, a0.keep) AS cur FROM act a0 LEFT JOIN act a1 ON a1.drp = a0.keep
@@ -64,12 +101,12 @@ def dupe_actionable(spark, sf):
 more AS (SELECT s.drp, coalesce(t.cur, s.cur) AS cur FROM steps s LEFT JOIN steps t ON t.drp = s.cur)
 SELECT m.drp AS "drop", coalesce(t.cur, m.cur) AS survivor FROM more m LEFT JOIN more t ON t.drp = m.cur""")
 def dupe_survivors(spark, sf):
-    return dupes.survivors(dupes.actionable(_judged(spark, sf)))
+    return dupes.survivors(_action(spark, sf))
 
 
 @query(_PAIRS + ' SELECT drp AS id, \'Δdur \' || delta || \'s, thumb hamming \' || coalesce(ham::VARCHAR, \'n/a\') || \' [tier \' || tier || \']\' AS evidence, true AS exclude FROM act')
 def dupe_exclusions(spark, sf):
-    return dupes.exclusions(dupes.actionable(_judged(spark, sf))).drop("dupeOf")
+    return dupes.exclusions(_action(spark, sf)).drop("dupeOf")
 
 
 @query("SELECT id, dhash FROM grid")
@@ -125,16 +162,19 @@ hd AS (
 hs AS (SELECT id, handle, featured, regexp_replace(lower(handle), '[^a-z0-9]+', '', 'g') AS slug,
   list_filter(list_transform(string_split(handle, ' '), lambda w: regexp_replace(lower(w), '[^a-z0-9]+', '', 'g')), lambda w: w <> '') AS words FROM hd),
 hl AS (SELECT *, translate(slug, '013457', 'oieast') AS leet FROM hs),
-duo AS (SELECT x.id AS a, y.id AS b, x.slug AS sa, y.slug AS sb, x.leet AS la, y.leet AS lb, x.words AS wa, y.words AS wb FROM hl x JOIN hl y ON x.id < y.id),
+hw AS (SELECT slug, words, min(id) AS id FROM hl GROUP BY ALL), h1 AS (SELECT slug, min(id) AS id FROM hl GROUP BY ALL),
+duo AS (SELECT x.id AS a, y.id AS b, x.slug AS sa, y.slug AS sb, x.words AS wa, y.words AS wb FROM hw x JOIN hw y ON x.id < y.id),
+du1 AS (SELECT x.id AS a, y.id AS b, x.slug AS sa, y.slug AS sb FROM h1 x JOIN h1 y ON x.id < y.id),
 sw AS (SELECT a, b, CASE WHEN length(sa) >= length(sb) THEN wa ELSE wb END AS l, CASE WHEN length(sa) >= length(sb) THEN wb ELSE wa END AS s, CASE WHEN length(sa) >= length(sb) THEN sb ELSE sa END AS ss
   FROM duo WHERE len(list_intersect(list_filter(wa, lambda w: length(w) >= 3), list_filter(wb, lambda w: length(w) >= 3))) > 0),
 swk AS (SELECT a, b, CASE WHEN len(l) > len(s) AND list_contains(l, ss) THEN 'sponsor'
   WHEN len(l) > 1 AND len(l) = len(s) AND length(s[1]) = 1 AND length(l[1]) > 1 AND starts_with(l[1], s[1]) AND l[2:] = s[2:] THEN 'initials' END AS kind FROM sw),
 ep AS (
-  SELECT a, b, 'slug' AS kind FROM duo WHERE sa = sb AND sa <> '' UNION ALL SELECT a, b, 'leet' FROM duo WHERE la = lb AND la <> ''
+  SELECT a, b, 'slug' AS kind FROM (SELECT min(id) OVER (PARTITION BY slug) AS a, id AS b FROM hl WHERE slug <> '') WHERE a <> b
+  UNION ALL SELECT a, b, 'leet' FROM (SELECT min(id) OVER (PARTITION BY leet) AS a, id AS b FROM hl WHERE leet <> '') WHERE a <> b
   UNION ALL SELECT a, b, kind FROM swk WHERE kind IS NOT NULL
-  UNION ALL SELECT a, b, 'typo' FROM duo WHERE length(sa) >= 5 AND length(sb) >= 5 AND abs(length(sa) - length(sb)) <= 1 AND damerau_levenshtein(sa, sb) = 1
-  UNION ALL SELECT a, b, 'affix' FROM duo WHERE (length(sa) < length(sb) AND length(sa) >= 4 AND length(sb) - length(sa) <= 3 AND starts_with(sb, sa) AND regexp_full_match(substr(sb, length(sa) + 1), '([0-9]+|[a-z]{1,3})'))
+  UNION ALL SELECT a, b, 'typo' FROM du1 WHERE length(sa) >= 5 AND length(sb) >= 5 AND abs(length(sa) - length(sb)) <= 1 AND damerau_levenshtein(sa, sb) = 1
+  UNION ALL SELECT a, b, 'affix' FROM du1 WHERE (length(sa) < length(sb) AND length(sa) >= 4 AND length(sb) - length(sa) <= 3 AND starts_with(sb, sa) AND regexp_full_match(substr(sb, length(sa) + 1), '([0-9]+|[a-z]{1,3})'))
      OR (length(sb) < length(sa) AND length(sb) >= 4 AND length(sa) - length(sb) <= 3 AND starts_with(sa, sb) AND regexp_full_match(substr(sa, length(sb) + 1), '([0-9]+|[a-z]{1,3})')))"""
 
 
@@ -150,6 +190,15 @@ for _k in dupes.WEIGHTS:
     _kind(_k)
 
 
+@query(_HANDLES.replace(", base AS", ", RECURSIVE base AS", 1) + """, el AS (SELECT DISTINCT a, b FROM ep), ways AS (SELECT a AS x, b AS y FROM el UNION SELECT b, a FROM el),
+reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, b.y FROM reach r JOIN ways b ON b.x = r.y), named AS (SELECT x AS id, least(x, min(y)) AS class FROM reach GROUP BY x),
+ev AS (SELECT class, string_agg(kind, '+' ORDER BY list_position(['slug', 'leet', 'sponsor', 'initials', 'typo', 'affix'], kind)) AS kinds FROM (SELECT DISTINCT class, kind FROM ep JOIN named ON named.id = b) GROUP BY class)
+SELECT id, named.class, kinds FROM named JOIN ev USING (class)""")
+def entity_classes(spark, sf):
+    """Entities that some evidence links, directly or through others, as classes."""
+    return dupes.entity_classes(cut(dupes.entity_pairs(V.handles(spark, sf))))
+
+
 @query(_HANDLES + """, cnt AS (SELECT id, length(handle)::BIGINT AS n, featured FROM hd), top AS (SELECT id, [substr(slug, 1, 1), substr(slug, 2, 1)] AS t FROM hs),
 g AS (SELECT a, b, string_agg(kind, '+' ORDER BY list_position(['slug', 'leet', 'sponsor', 'initials', 'typo', 'affix'], kind)) AS kinds, count(*) AS k,
   max(CASE kind WHEN 'slug' THEN 5 WHEN 'leet' THEN 4 WHEN 'sponsor' THEN 3 WHEN 'initials' THEN 3 WHEN 'typo' THEN 2 ELSE 1 END) AS w FROM (SELECT DISTINCT * FROM ep) GROUP BY a, b),

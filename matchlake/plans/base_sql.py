@@ -38,4 +38,6 @@ grid AS (SELECT lpad(vec_id::VARCHAR, 12, '0') AS id,
 
 def sql(body: str) -> str:
     """A query over the views: either a SELECT, or further views and a SELECT, begun by a comma."""
+    if ", RECURSIVE " in body:
+        return f"WITH RECURSIVE {BASE.strip()}{body.replace(', RECURSIVE ', ', ', 1)}"
     return f"WITH {BASE.strip()}{body if body.lstrip().startswith(',') else ' ' + body}"
