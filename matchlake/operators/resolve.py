@@ -59,21 +59,28 @@ def resolve_characters(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("how").isin("exact", "words"), "high").otherwise("low"))
 
 
+def taken_numbers(taken: DataFrame) -> DataFrame:
+    """(slug, t): the numbers that ids (id) hold of their slugs, 1 for the slug itself."""
+    suffix = F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 2)
+    number = F.when(suffix == "", 1).when(suffix.rlike("^([2-9]|[1-9][0-9]{1,17})$"), suffix.cast("bigint"))
+    return taken.select(F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 1).alias("slug"), number.cast("bigint").alias("t")).where("t is not null").distinct()
+
+
 def mint_ids(slugs: DataFrame, taken: DataFrame) -> DataFrame:
-    """(slug, id): the slug itself if no seed has it, else with the smallest free number from 2. taken: (id)."""
-    used = taken.select(F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 1).alias("slug"), F.col("id").alias("_id"))
+    """(slug, id): the slug itself if no seed has it, else with the smallest free number from 2. taken: (id).
+
+    The smallest free number follows a taken one, so the numbers after taken ones that are not taken themselves are all it can be."""
     own = slugs.select("slug").distinct()
-    held = own.join(used, "slug", "left").groupBy("slug").agg(F.collect_set("_id").alias("ids"))
-    free = F.array_except(F.transform(F.sequence(F.lit(2), F.size("ids") + 2), lambda n: F.concat(F.col("slug"), F.lit("-"), n)), F.col("ids"))
-    return held.select("slug", F.when(F.array_contains("ids", F.col("slug")), F.get(free, F.lit(0))).otherwise(F.col("slug")).alias("id"))
+    used = taken_numbers(taken).join(own, "slug", "left_semi")
+    free = used.select("slug", (F.col("t") + 1).alias("t")).join(used, ["slug", "t"], "left_anti").groupBy("slug").agg(F.min("t").alias("n"))
+    bare = used.where("t = 1").select("slug").join(free, "slug")
+    return own.join(bare, "slug", "left").select("slug", F.when(F.col("n").isNull(), F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-"), F.col("n"))).alias("id"))
 
 
 def mint_names(names: DataFrame, taken: DataFrame) -> DataFrame:
     """(name, slug, id) of hand-written names (name, slug, ord) without an entry: names of one slug take successive free ids in order."""
     nth = numbered_within(names.where("slug is not null").select("name", "slug", "ord"), "slug", "ord", "name")
-    suffix = F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 2)
-    used = taken.select(F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 1).alias("slug"), F.when(suffix == "", 1).when(suffix.rlike("^([2-9]|[1-9][0-9]{1,17})$"), suffix.cast("bigint")).cast("bigint").alias("t"))
-    used = used.where("t is not null").distinct().join(names.select("slug").distinct(), "slug", "left_semi")
+    used = taken_numbers(taken).join(names.select("slug").distinct(), "slug", "left_semi")
     # below the j-th taken number t lie t - j free ones: it moves up all names after so many, so that places among both are the numbers
     moves = numbered_within(used, "slug", "t").select("slug", (F.col("t") - F.col("_k")).alias("v"), F.lit(1).alias("move"), F.col("t").alias("tie"), F.lit(None).cast("string").alias("name"))
     both = nth.select("slug", F.col("_k").alias("v"), F.lit(0).alias("move"), F.lit(0).cast("bigint").alias("tie"), F.col("name").cast("string").alias("name")).unionByName(moves)
@@ -108,7 +115,7 @@ def discover(names: DataFrame, registry_ids: DataFrame) -> DataFrame:
     """(slug, id, handle, aliases, n) of unresolved names (name, slug, ord): the handle is the most frequent spelling, of equals the first seen."""
     by_name = names.groupBy("slug", "name").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     found = by_name.groupBy("slug").agg(
-        F.max_by("name", F.struct("n", -F.col("first"))).alias("handle"),
+        F.min_by("name", F.struct(-F.col("n"), "first")).alias("handle"),
         F.array_sort(F.collect_set(F.lower("name"))).alias("aliases"),
         F.sum("n").alias("n"),
     )

@@ -40,7 +40,6 @@ def build_records(raw: DataFrame, characters: DataFrame, players: DataFrame, fus
     """(records with reasons, discovered players). raw: ord, id, channel, title, description, publishedAt, thumbnail, durationSec, viewCount."""
     parsed = cut(parse_titles(raw, brand))  # four branches follow
     chars, names = map(cut, tokens(parsed))
-    names = names.withColumn("ord", F.col("ord.ord") * 10_000 + F.col("ord.side") * 1_000 + F.col("pos"))
     c = resolve.resolve_characters(chars.drop("ord"), resolve.alias_dim(characters))
     p, discovered = resolve.resolve_players(names, players)
     ordered = lambda x: F.array_sort(F.collect_list(x))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from matchlake.functions import text as X
+from matchlake.sources.keyed import RANGE, keyed_entries
 
 RAW = "id string, title string, description string, publishedAt string, thumbnail string, durationSec int, viewCount bigint"
 DUMP = "id string, snippet struct<title:string,description:string,publishedAt:string,thumbnails:map<string,struct<url:string>>>, contentDetails struct<duration:string>, statistics struct<viewCount:string>"
@@ -21,15 +22,6 @@ def _array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("ord"), "*")
 
 
-def _colons(schema: str) -> str:
-    out, depth = [], 0
-    for part in schema.split(","):
-        name = part.strip()
-        out.append(name.replace(" ", ":", 1) if depth == 0 else name)
-        depth += name.count("<") - name.count(">")
-    return ",".join(out)
-
-
 def read_raw(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Dumps of several channels (channel to path), in that order: channel, ord within all, and the record."""
     out = None
@@ -65,18 +57,16 @@ def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _array(spark, path, schema)
 
 
-def read_keyed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An id-keyed object as rows, in the object's order; keys that start with // are comments. Such an object is one JSON value, so it is a task's: for registries written by hand."""
-    raw = spark.read.text(path, wholetext=True)
-    value = F.from_json("value", f"map<string,struct<{_colons(schema)}>>", {"mode": "FAILFAST"})
-    return raw.select(F.posexplode(value).alias("ord", "key", "v")).where(~F.col("key").startswith("//")).select("ord", "key", "v.*")
+def read_keyed_json(spark: SparkSession, path: str, schema: str, range_bytes: int = RANGE) -> DataFrame:
+    """An id-keyed object as rows, with its order (ord, which can be sorted by); keys that start with // are comments. Read in byte ranges, see keyed."""
+    rows = keyed_entries(spark, path, range_bytes).where(~F.col("key").startswith("//"))
+    return rows.select("ord", "key", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v")).select("ord", "key", "v.*")
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """(id, patch): each entry's keys with their values in JSON, a JSON null as a null value, so presence stays known. One JSON value, as read_keyed_json."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))
-    rows = raw.select(F.explode("m").alias("id", "body")).where(~F.col("id").startswith("//"))
-    return rows.select("id", F.from_json("body", "map<string,string>").alias("patch"))
+def read_overrides(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """(id, patch): each entry's keys with their values in JSON, a JSON null as a null value, so presence stays known. Read in byte ranges, as read_keyed_json."""
+    rows = keyed_entries(spark, path, range_bytes).where(~F.col("key").startswith("//"))
+    return rows.select(F.col("key").alias("id"), F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("patch"))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

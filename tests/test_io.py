@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from matchlake.sources import io
+from matchlake.operators import periods, titles
+from matchlake.sources import io, keyed
 
 
 def put(path, value):
@@ -21,12 +22,59 @@ def test_raw_in_channel_order(spark, tmp_path):
 
 def test_keyed_and_overrides(spark, tmp_path):
     f = put(tmp_path / "f.json", {"//": {"id": "comment"}, "b": {"id": "b", "aliases": ["x"]}, "a": {"id": "a", "active": True}})
-    assert [(r.ord, r.id) for r in io.read_keyed_json(spark, f, io.FUSE).orderBy("ord").collect()] == [(1, "b"), (2, "a")]
+    assert [r.id for r in io.read_keyed_json(spark, f, io.FUSE).orderBy("ord").collect()] == ["b", "a"]
     o = put(tmp_path / "o.json", {"v": {"season": None, "teams": [{"fuse": None}], "exclude": False}})
     patch = io.read_overrides(spark, o).first().patch
     assert patch == {"season": None, "teams": '[{"fuse":null}]', "exclude": "false"}
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 1000, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_keyed_in_ranges(spark, tmp_path, size, indent):
+    """Ranges that begin in strings, escapes, numbers and nested values."""
+    odd = {"a": {"x": 'quote " brace } \\ end\\'}, '\\"{': {"x": "\\\\"}, "é,": {"x": None, "y": [1, {"z": "],"}]}, "": {"x": ""}, "last": {"x": "{[" * 20}}
+    if size > 3:
+        odd |= {f"k{n}": {"x": "v" * (n % 50), "n": [n] * (n % 4)} for n in range(300)}
+    path = tmp_path / "o.json"
+    path.write_text(json.dumps(odd, ensure_ascii=False, indent=indent))
+    if path.stat().st_size / size > 400:
+        pytest.skip("more ranges than a test needs")
+    rows = keyed.keyed_entries(spark, str(path), size)
+    assert [(r.key, json.loads(r.value)) for r in rows.orderBy("ord").collect()] == list(odd.items())
+
+
+def test_keyed_reads_many_tasks_and_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(3):
+        put(folder / f"{n}.json", {f"{n}-{k}": {"id": str(k)} for k in range(2000)})
+    (folder / "empty.json").write_text(" {\n} ")
+    rows = io.read_keyed_json(spark, str(folder), "id string", range_bytes=4096)
+    assert rows.count() == 6000 and rows.select("key").distinct().count() == 6000
+    (tmp_path / "twice.json").write_text('{"a": {"id": "1"}, "b": {"id": "2"}, "a": {"id": "3"}}')
+    assert [(r.key, r.id) for r in io.read_keyed_json(spark, str(tmp_path / "twice.json"), "id string").orderBy("ord").collect()] == [("a", "3"), ("b", "2")]
+
+
+@pytest.mark.parametrize("text", ["", "[1]", '{"a": 1', '{"a": "b}', '{"a" 1}', '{"a": 1,}', '{a: 1}', "7", '{"a": }'])
+def test_malformed_keyed_objects_fail(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception):
+        keyed.keyed_entries(spark, str(tmp_path / "bad.json"), 4).collect()
+
+
+def test_five_channels_become_records(spark, tmp_path):
+    """Rows of each channel, in channel order, through to records."""
+    title = "ARENA ▰ Ana (Vi/Jinx) vs Ben (Ekko/Ahri) ▰ High Level"
+    row = lambda i: {"id": i, "title": title, "description": "", "publishedAt": "2026-01-01", "thumbnail": "", "durationSec": 1, "viewCount": 2}
+    paths = {f"c{k}": put(tmp_path / f"{k}.json", [row(f"{k}a"), row(f"{k}b")]) for k in range(7)}
+    raw = io.read_raw(spark, paths)
+    names = spark.createDataFrame([(0, "vi", "Vi", None), (1, "jinx", "Jinx", None), (2, "ekko", "Ekko", None), (3, "ahri", "Ahri", None)], "ord int, id string, name string, aliases array<string>")
+    seasons = spark.createDataFrame([(0, "2025-01-01", None, None)], periods.SEASONS)
+    records, found = titles.build_records(raw, names, names.where("false"), [], seasons, spark.createDataFrame([], periods.PATCHES), "ARENA")
+    assert [r.id for r in records.orderBy("ord").collect()] == [f"{k}{x}" for k in range(7) for x in "ab"]
+    assert {(r.id, r.n) for r in found.collect()} == {("ana", 14), ("ben", 14)}
+
+
 def test_registry_and_missing(spark, tmp_path):
     c = put(tmp_path / "c.json", [{"id": "vi", "name": "Vi", "extra": {"aliases": ["v"]}}])
     assert io.read_registry(spark, c, io.CHARACTERS).first().extra.aliases == ["v"]
