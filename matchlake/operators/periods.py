@@ -1,4 +1,6 @@
-"""Seasons and patches: interval joins to small dimensions, computed windows, and their checks."""
+"""Seasons and patches: interval joins, computed windows, and their checks.
+
+Intervals of a dimension don't overlap. A dimension of few rows (MOST) is held by each task; a larger one is joined by a sweep over both sides."""
 
 from __future__ import annotations
 
@@ -6,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
+from matchlake.operators.asof import as_of
 
+#: Rows of a dimension that each task may hold: under 2 MB.
+MOST = 10_000
 #: Days after a season's start within which a label of the season before is believed.
 GRACE_DAYS = 2
 SEASONS = "season int, start string, end string, todo string"
@@ -22,24 +27,35 @@ def _within(day, start, end):
     return (day >= start) & (end.isNull() | (day < end))
 
 
+def placed(df: DataFrame, day: F.Column, dim: DataFrame, start: str, end: str) -> DataFrame:
+    """df with the columns of the row of dim whose interval (start to before end, open if null) holds the day; nulls where none does."""
+    rows = dim.limit(MOST + 1).collect()
+    if len(rows) <= MOST:
+        held = F.broadcast(df.sparkSession.createDataFrame(rows, dim.schema))
+        return df.join(held, _within(day, held[start], held[end]), "left")
+    swept = as_of(df.withColumn("_day", day), "_day", dim, start)
+    inside = _within(F.col("_day"), F.col("_at")[start], F.col("_at")[end])
+    return swept.select(*df.columns, *(F.when(inside, F.col("_at")[c]).alias(c) for c in dim.columns))
+
+
 def with_season(df: DataFrame, seasons: DataFrame, day_col: str = "publishedAt") -> DataFrame:
-    """df with season and season_start, null before all seasons. Seasons are a handful of rows that do not overlap, so the join neither shuffles df nor fans out."""
-    s = F.broadcast(seasons.select(F.col("season"), F.col("start").alias("season_start"), F.col("end").alias("_season_end")))
-    return df.join(s, _within(_day(day_col), F.col("season_start"), F.col("_season_end")), "left").drop("_season_end")
+    """df with season and season_start, null before all seasons."""
+    s = seasons.select(F.col("season"), F.col("start").alias("season_start"), F.col("end").alias("_season_end"))
+    return placed(df, _day(day_col), s, "season_start", "_season_end").drop("_season_end")
 
 
 def patch_windows(patches: DataFrame, seasons: DataFrame) -> DataFrame:
     """patches with their season and end: the next start within the season, else the season's end."""
-    s = F.broadcast(seasons.select(F.col("season"), F.col("start").alias("_s"), F.col("end").alias("_e")))
-    of = patches.join(s, _within(F.col("start"), F.col("_s"), F.col("_e")), "left")
+    s = seasons.select(F.col("season"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    of = placed(patches, F.col("start"), s, "_s", "_e")
     nxt = F.lead("start").over(Window.partitionBy("season").orderBy("start"))
     return of.withColumn("end", F.coalesce(F.when(F.col("season").isNotNull(), nxt), F.col("_e"))).drop("_s", "_e")
 
 
 def with_patch(df: DataFrame, windows: DataFrame, day_col: str = "publishedAt") -> DataFrame:
     """df with patchVersion: the window that holds the day."""
-    p = F.broadcast(windows.select(F.col("version").alias("patchVersion"), F.col("start").alias("_ps"), F.col("end").alias("_pe")))
-    return df.join(p, _within(_day(day_col), F.col("_ps"), F.col("_pe")), "left").drop("_ps", "_pe")
+    p = windows.select(F.col("version").alias("patchVersion"), F.col("start").alias("_ps"), F.col("end").alias("_pe"))
+    return placed(df, _day(day_col), p, "_ps", "_pe").drop("_ps", "_pe")
 
 
 def with_grace(df: DataFrame, seasons: DataFrame, label_col: str = "labeled", day_col: str = "publishedAt", days: int = GRACE_DAYS) -> DataFrame:
@@ -53,7 +69,7 @@ def with_grace(df: DataFrame, seasons: DataFrame, label_col: str = "labeled", da
 
 def null_contradicting_patch(df: DataFrame, windows: DataFrame) -> DataFrame:
     """patchVersion is null where its season isn't the record's."""
-    p = F.broadcast(windows.select(F.col("version").alias("_v"), F.col("season").alias("_ps")))
+    p = windows.select(F.col("version").alias("_v"), F.col("season").alias("_ps"))
     kept = F.when(F.col("_ps").eqNullSafe(F.col("season")), F.col("patchVersion"))
     return df.join(p, F.col("patchVersion") == F.col("_v"), "left").withColumn("patchVersion", kept).drop("_v", "_ps")
 
@@ -69,12 +85,12 @@ def patch_groups(seasons: DataFrame, windows: DataFrame) -> DataFrame:
 def expand_tokens(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """Versions (and eras) that tokens (token) stand for: a parent stands for itself and its children."""
     g = groups.select(F.col("parent").alias("token"), F.explode(F.concat(F.array("parent"), "children")).alias("version"))
-    return tokens.join(F.broadcast(g), "token", "left").select(F.coalesce("version", "token").alias("version")).distinct()
+    return tokens.join(g, "token", "left").select(F.coalesce("version", "token").alias("version")).distinct()
 
 
 def retire_tokens(tokens: DataFrame, retired: DataFrame) -> DataFrame:
     """(version, ord) of tokens (token, ord) in their order, each once: a retired token (token, versions) gives its versions in its place."""
-    rows = tokens.join(F.broadcast(retired.select("token", "versions")), "token", "left")
+    rows = tokens.join(retired.select("token", "versions"), "token", "left")
     each = rows.select("ord", F.posexplode(F.coalesce("versions", F.array("token"))).alias("pos", "version"))
     return each.groupBy("version").agg(F.min(F.struct("ord", "pos")).alias("ord"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
@@ -58,9 +58,50 @@ def stale_snapshot(existing: DataFrame, raw: DataFrame, manual: DataFrame, fetch
     return lost.where(F.lit(fetched_at).cast("timestamp") < F.lit(published_at).cast("timestamp"))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """60 bits of a digest of a row's columns in the order of their names, as a number that may be summed; another engine can compute it."""
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(df.columns)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, hash): the same for the same rows in any order."""
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("hash"))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_hash(df)), F.lit(0)).cast("string").alias("hash"))
+
+
+def hash_tree(df: DataFrame, key: str = "id", levels: int = 3) -> DataFrame:
+    """(node, rows, hash) of a snapshot: rows fall into leaves by the first hex digits of their key's digest, and a node stands for all leaves that begin with it;
+    '' for all. Sums merge, so a node is the sum of those below it, and the trees of parts add up to that of the whole."""
+    leaves = df.select(F.substring(F.md5(F.col(key).cast("string")), 1, levels).alias("leaf"), row_hash(df).alias("h")).groupBy("leaf").agg(F.count("*").alias("rows"), F.sum("h").alias("hash"))
+    up = leaves.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda n: F.substring("leaf", F.lit(1), n))).alias("node"), "rows", "hash")
+    return up.groupBy("node").agg(F.sum("rows").alias("rows"), F.sum("hash").cast("decimal(38,0)").alias("hash"))
+
+
+def changed_ranges(old: DataFrame, new: DataFrame, levels: int = 3) -> DataFrame:
+    """(node, old_rows, new_rows) of the leaves in which two snapshots' trees differ, found from the top: only below nodes that differ are nodes compared."""
+    a = old.select("node", F.col("rows").alias("old_rows"), F.col("hash").alias("_a"))
+    b = new.select("node", F.col("rows").alias("new_rows"), F.col("hash").alias("_b"))
+    above = None
+    for level in range(levels + 1):
+        x, y = (t.where(F.length("node") == level) for t in (a, b))
+        if above is not None:
+            under = above.select(F.col("node").alias("_p"))
+            x, y = (t.join(under, F.substring("node", 1, level - 1) == F.col("_p"), "left_semi") for t in (x, y))
+        both = x.join(y, "node", "full")
+        above = both.where(~F.col("old_rows").eqNullSafe(F.col("new_rows")) | ~F.col("_a").eqNullSafe(F.col("_b")))
+    return above.select("node", F.coalesce("old_rows", F.lit(0)).alias("old_rows"), F.coalesce("new_rows", F.lit(0)).alias("new_rows"))
+
+
+def changed_keys(old: DataFrame, new: DataFrame, ranges: DataFrame, key: str = "id", levels: int = 3) -> DataFrame:
+    """(key, change) of rows that were added, removed or changed, looked for in the leaves (node) that differ. Keys are unique in each snapshot."""
+
+    def within(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(key), row_hash(df).alias(name), F.substring(F.md5(F.col(key).cast("string")), 1, levels).alias("node"))
+        return rows.join(ranges.select("node"), "node", "left_semi").drop("node")
+
+    both = within(old, "_a").join(within(new, "_b"), key, "full")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
+    return both.select(key, change.alias("change")).where("change is not null")
 
 
 def content_changed(old: DataFrame, new: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -59,6 +59,24 @@ def resolve_characters(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("how").isin("exact", "words"), "high").otherwise("low"))
 
 
+def keyword_ids(texts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, key) of the texts that some alias stands in as a word or words: the longest alias's key, of equally long ones that of the smallest ord.
+    texts: (id, text); aliases: (alias, key, ord), any number of them.
+
+    A text is cut into runs of word characters and of others. An alias that stands there is some runs in a row, as many as it has itself, so all
+    rows of runs up to the longest alias's number are joined with the aliases. Rows may not begin or end with the text's own outer runs of other characters, where no word begins or ends."""
+    runs = r"[a-z0-9_]+|[^a-z0-9_]+"
+    known = aliases.select(F.lower("alias").alias("alias"), "key", "ord").where("alias <> ''")
+    most = known.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(runs), F.lit(0))))).first()[0] or 0
+    inner = F.regexp_replace(F.lower(text_col), "^[^a-z0-9_]+|[^a-z0-9_]+$", "")
+    cut_up = texts.select(id_col, F.regexp_extract_all(inner, F.lit(runs), F.lit(0)).alias("_r")).where(F.size("_r") > 0)
+    from_ = F.explode(F.sequence(F.lit(1), F.size("_r"))).alias("_i")
+    rows = cut_up.select(id_col, "_r", from_)
+    rows = rows.select(id_col, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("_r") - F.col("_i") + 1)), lambda n: F.array_join(F.slice("_r", F.col("_i"), n), ""))).alias("alias")) if most else rows.select(id_col, F.lit("").alias("alias")).where("false")
+    found = rows.distinct().join(known, "alias")
+    return found.groupBy(id_col).agg(F.min_by("key", F.struct(-F.length("alias"), "ord")).alias("key"))
+
+
 def taken_numbers(taken: DataFrame) -> DataFrame:
     """(slug, t): the numbers that ids (id) hold of their slugs, 1 for the slug itself."""
     suffix = F.regexp_extract("id", r"^(.*?)(?:-(\d+))?$", 2)

@@ -342,6 +342,12 @@ def gap_filter(spark, sf):
     return evidence.filter_gaps(_gaps(spark, sf), "low", "s1").select("id")
 
 
+@query(_GAPS + " SELECT id FROM gp ORDER BY CASE era WHEN 'beta' THEN 0 WHEN 's0' THEN 1 ELSE 2 END, day, id LIMIT 50")
+def first_gaps(spark, sf):
+    """The first fifty gaps in their order."""
+    return evidence.order_gaps(_gaps(spark, sf)).limit(50).select("id")
+
+
 @query(_GAPS + " SELECT id, row_number() OVER (ORDER BY CASE era WHEN 'beta' THEN 0 WHEN 's0' THEN 1 ELSE 2 END, day, id)::INT AS row FROM gp WHERE bucket IN ('low', 'none')")
 def review_rows(spark, sf):
     return evidence.review_rows(_gaps(spark, sf))

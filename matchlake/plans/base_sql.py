@@ -10,10 +10,10 @@ windows AS (
 tl AS (
   SELECT l_orderkey AS video, l_linenumber % 2 AS side, s_name AS player, p_brand AS chr, p_type, l_returnflag
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
-tm AS (
+tm AS MATERIALIZED (
   SELECT video, side, list_sort(list(DISTINCT player)) AS players, list_sort(list(DISTINCT chr)) AS chars,
          CASE WHEN min(l_returnflag) <> 'A' THEN min(p_type) END AS fuse FROM tl GROUP BY ALL),
-recs AS (
+recs AS MATERIALIZED (
   SELECT o_orderkey::VARCHAR AS id, o_orderkey AS n, o_orderpriority AS channel, day, floor(o_totalprice / 1000)::INT AS dur, o_custkey AS views, o_orderstatus AS st,
          l.players AS lp, l.chars AS lc, l.fuse AS lf, r.players AS rp, r.chars AS rc, r.fuse AS rf, se.season, w.version,
          CASE WHEN se.season IS NULL THEN 'Beta' ELSE 'S' || se.season END AS era
@@ -24,7 +24,7 @@ sides AS (
   SELECT id, era, channel, season, 0 AS side, lp AS players, lc AS chars, lf AS fuse FROM recs
   UNION ALL SELECT id, era, channel, season, 1, rp, rc, rf FROM recs),
 pairs AS (SELECT *, CASE WHEN len(chars) = 2 THEN array_to_string(chars, '|') END AS pair FROM sides),
-det AS (SELECT id, rf AS l, lf AS r, CASE st WHEN 'F' THEN 'ok' WHEN 'O' THEN 'ok-unordered' ELSE 'low' END AS status FROM recs WHERE n % 7 <> 0),
+det AS MATERIALIZED (SELECT id, rf AS l, lf AS r, CASE st WHEN 'F' THEN 'ok' WHEN 'O' THEN 'ok-unordered' ELSE 'low' END AS status FROM recs WHERE n % 7 <> 0),
 copies AS (
   SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, array_to_string(list_sort([coalesce(lang, 'none') || '|w' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) // 10,
            'l' || (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) || '|v' || (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[aeiou]+', '', 'g'))) // 25]), ' ~ ') AS sig, n_chars::INT AS dur,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
@@ -355,11 +356,48 @@ def content_changed(spark, sf):
     return quality.content_changed(r, new, ("generated",))
 
 
-@query()
+_FLAT = """, flat AS (SELECT id, season, version, views, lf, rf FROM recs),
+later AS (SELECT id, season, version, CASE WHEN lf IS NULL AND rf IS NULL THEN views + 1 ELSE views END AS views, lf, rf FROM flat WHERE season IS NOT NULL OR lf IS NOT NULL
+  UNION ALL SELECT id || '-b', season, version, views, lf, rf FROM flat WHERE season = 1 AND lf IS NULL)"""
+
+
+def _row_hash(views="views", key="id"):
+    return f"('0x' || substr(md5(concat_ws(chr(31), 'false', {key}, coalesce(lf, chr(30)), coalesce(version, chr(30)), coalesce(rf, chr(30)), coalesce(season::VARCHAR, chr(30)), {views}::VARCHAR)), 1, 15))::BIGINT"
+
+
+def _later(flat):
+    """The snapshot of a later run: some records gone, some with other values, some new."""
+    bare = F.col("lf").isNull() & F.col("rf").isNull()
+    kept = flat.where("season is not null or lf is not null").withColumn("viewCount", F.when(bare, F.col("viewCount") + 1).otherwise(F.col("viewCount")))
+    return kept.unionByName(flat.where("season = 1 and lf is null").withColumn("id", F.concat("id", F.lit("-b"))))
+
+
+@query(_FLAT + f" SELECT count(*) AS rows, coalesce(sum({_row_hash()}), 0)::HUGEINT::VARCHAR AS hash FROM flat")
 def fingerprint(spark, sf):
     return quality.fingerprint(V.flat(V.records(spark, sf)))
 
 
+@query(_FLAT + f""" SELECT left(md5(id), n) AS node, count(*) AS rows, sum({_row_hash()})::HUGEINT::VARCHAR AS hash FROM flat, (VALUES (0), (1), (2), (3)) AS l(n) GROUP BY 1""")
+def hash_tree(spark, sf):
+    """Sums of row hashes by ranges of keys, at four levels."""
+    return quality.hash_tree(V.flat(V.records(spark, sf))).withColumn("hash", F.col("hash").cast("string"))
+
+
+@query(_FLAT + f""", o AS (SELECT left(md5(id), 3) AS node, count(*) AS n, sum({_row_hash()}) AS h FROM flat GROUP BY 1), w AS (SELECT left(md5(id), 3) AS node, count(*) AS n, sum({_row_hash()}) AS h FROM later GROUP BY 1)
+SELECT node, coalesce(o.n, 0) AS old_rows, coalesce(w.n, 0) AS new_rows FROM o FULL JOIN w USING (node) WHERE o.n IS DISTINCT FROM w.n OR o.h IS DISTINCT FROM w.h""")
+def changed_ranges(spark, sf):
+    flat = checkpoints.cut(V.flat(V.records(spark, sf)))
+    return quality.changed_ranges(checkpoints.cut(quality.hash_tree(flat)), checkpoints.cut(quality.hash_tree(_later(flat))))
+
+
+@query(_FLAT + """ SELECT coalesce(f.id, l.id) AS id, CASE WHEN f.id IS NULL THEN 'added' WHEN l.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM flat f FULL JOIN later l ON f.id = l.id WHERE f.id IS NULL OR l.id IS NULL OR f.views <> l.views""")
+def changed_keys(spark, sf):
+    flat = checkpoints.cut(V.flat(V.records(spark, sf)))
+    later = checkpoints.cut(_later(flat))
+    return quality.changed_keys(flat, later, quality.changed_ranges(quality.hash_tree(flat), quality.hash_tree(later)))
+
+
 def _verdicts(r):
     """Entries on records, some of them rejected for each reason, some that clear."""
     k = _n() % 8
@@ -481,14 +519,68 @@ def emitted_replays(spark, sf):
     return rows.select("id", "date", "views", "durationSec", F.array_join(F.get("sides", F.lit(1))["characters"], ",").alias("right_characters"))
 
 
+def _written(spark, texts):
+    """A folder with a file for each row's text."""
+    folder = _folder(spark)
+    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def _piece():
+    """Orders by thousands of their numbers, so that a file holds so many entries at most."""
+    return F.floor(F.col("id").cast("bigint") / 20_000)
+
+
 @query("""SELECT DISTINCT lower(p_type) AS key, p_type AS name, contains(p_type, 'A') AS active, lower(p_type) AS aliases FROM part""")
 def registry_keyed(spark, sf):
-    """An id-keyed object, built from the types and parsed back."""
+    """An id-keyed object of the types in a file, read in ranges."""
     t = V.table(spark, sf, "part").select("p_type").distinct()
     entry = F.struct(F.lower("p_type").alias("k"), F.struct(F.col("p_type").alias("name"), F.array(F.lower("p_type")).alias("aliases"), F.col("p_type").contains("A").alias("active")).alias("v"))
-    text = t.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
-    rows = text.select(F.explode(F.from_json("value", "map<string,struct<name:string,aliases:array<string>,active:boolean>>")).alias("key", "v"))
-    return rows.select("key", "v.name", "v.active", F.array_join("v.aliases", ",").alias("aliases"))
+    folder = _written(spark, t.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value")))  # some hundred types
+    rows = io.read_keyed_json(spark, folder, "name string, aliases array<string>, active boolean", range_bytes=4096)
+    return rows.select("key", "name", "active", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_brand) - 1 AS ord, p_brand AS id, upper(p_brand) AS name, lower(p_brand) AS alias FROM (SELECT DISTINCT p_brand FROM part)""")
+def registry_array(spark, sf):
+    """An array of the brands in a file, in its order."""
+    b = V.table(spark, sf, "part").select("p_brand").distinct()
+    entry = F.struct(F.col("p_brand").alias("id"), F.upper("p_brand").alias("name"), F.struct(F.array(F.lower("p_brand")).alias("aliases")).alias("extra"))
+    folder = _written(spark, b.agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("value")))  # tens of brands
+    return io.read_registry(spark, folder, io.CHARACTERS).select("ord", "id", "name", F.get("extra.aliases", F.lit(0)).alias("alias"))
+
+
+@query("""SELECT channel, (row_number() OVER (PARTITION BY channel ORDER BY n) - 1) AS place, id, 'match ' || id AS title, dur AS "durationSec", views AS "viewCount" FROM recs""")
+def raw_channels(spark, sf):
+    """Dumps of five channels, each an array in files of its own, read in channel order."""
+    r = V.bare_records(spark, sf).select("id", "title", F.lit("").alias("description"), "publishedAt", "thumbnail", "durationSec", F.col("viewCount").cast("bigint"), "channel")
+    names = [f"{k}-{x}" for k, x in enumerate(("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"), 1)]
+    item = F.struct(_n().alias("_n"), *(c for c in r.columns if c != "channel"))
+    files = r.groupBy("channel", _piece().alias("piece")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("value"))  # 20,000 at most
+    raw = io.read_raw(spark, {c: _written(spark, files.where(F.col("channel") == c).select("value")) for c in names})
+    by = Window.partitionBy("channel").orderBy(F.col("id").cast("bigint"))
+    return raw.select("channel", (F.row_number().over(by) - 1).cast("bigint").alias("place"), "id", "title", "durationSec", "viewCount")
+
+
+@query("""SELECT id, CASE n % 50 WHEN 3 THEN 'exclude,season' WHEN 4 THEN 'viewCount' ELSE 'season' END AS keys, CASE n % 50 WHEN 1 THEN '1' WHEN 3 THEN '0' END AS season, n % 50 = 2 AS nulls FROM recs WHERE n % 50 IN (1, 2, 3, 4)""")
+def overrides_read(spark, sf):
+    """Overrides of records as id-keyed objects in files, read in ranges; a key that is there with null differs from one that is not."""
+    o = V.overrides(V.bare_records(spark, sf))
+    line = F.concat(F.lit('"'), "id", F.lit('":'), F.to_json("patch", {"ignoreNullFields": "false"}))
+    texts = o.groupBy(_piece().alias("piece")).agg(F.concat(F.lit('{"//":{"note":"by hand"},'), F.array_join(F.array_sort(F.collect_list(line)), ","), F.lit("}")).alias("value"))  # 20,000 at most
+    rows = io.read_overrides(spark, _written(spark, texts.select("value")), range_bytes=16_384)
+    p = F.col("patch")
+    return rows.select("id", F.array_join(F.array_sort(F.map_keys(p)), ",").alias("keys"), F.col("patch")["season"].alias("season"), (F.map_contains_key(p, F.lit("season")) & F.col("patch")["season"].isNull()).alias("nulls"))
+
+
+@query("""SELECT p_partkey, arg_min(a, {'l': -length(a), 'a': a}) AS alias FROM part, (SELECT DISTINCT unnest([array_to_string(string_split(lower(p_name), ' ')[1:2], ' '), string_split(lower(p_name), ' ')[-1]]) AS a FROM part)
+WHERE contains(' ' || lower(p_name) || ' ' || lower(p_type) || ' ', ' ' || a || ' ') GROUP BY p_partkey""")
+def keyword_dictionary(spark, sf):
+    """The longest alias in each part's name and type, of all first two words and last words of names."""
+    p = V.table(spark, sf, "part")
+    w = F.split(F.lower("p_name"), " ")
+    aliases = p.select(F.explode(F.array(F.array_join(F.slice(w, 1, 2), " "), F.element_at(w, -1))).alias("alias")).distinct().select("alias", F.col("alias").alias("key"), F.col("alias").alias("ord"))
+    return resolve.keyword_ids(p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), aliases, "p_partkey").withColumnRenamed("key", "alias")
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '(^|[^a-z0-9_])' || 'red' || '($|[^a-z0-9_])') THEN 'r' WHEN contains(lower(p_name), 'zzz') THEN 'z' END AS alias_id FROM part""")

@@ -197,10 +197,12 @@ def top_pairs(spark, sf):
     return stats.top_pairs(V.records(spark, sf), 10)
 
 
-@query(""", b AS (SELECT DISTINCT p_brand AS b FROM part)
-SELECT x.b || '|' || y.b AS pair FROM b x JOIN b y ON x.b < y.b WHERE x.b || '|' || y.b NOT IN (SELECT pair FROM pairs JOIN recs USING (id) WHERE pair IS NOT NULL AND st = 'P')""")
+@query(""", b AS (SELECT DISTINCT p_brand AS b FROM part UNION SELECT DISTINCT p_type FROM part)
+SELECT x.b || '|' || y.b AS pair FROM b x JOIN b y ON x.b < y.b WHERE x.b || '|' || y.b NOT IN (SELECT pair FROM pairs WHERE pair IS NOT NULL)""")
 def never_paired(spark, sf):
-    return stats.never_paired(V.records(spark, sf).where("st = 'P'"), V.table(spark, sf, "part").select(F.col("p_brand").alias("id")).distinct())
+    """The roster is the brands and, as characters that nobody plays, the types."""
+    part = V.table(spark, sf, "part")
+    return stats.never_paired(V.records(spark, sf), part.select(F.col("p_brand").alias("id")).union(part.select("p_type")).distinct())
 
 
 @query("SELECT player, count(*) AS n FROM (SELECT unnest(list_distinct(list_concat(lp, rp))) AS player FROM recs) GROUP BY ALL")
