@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.operators.checkpoints import cut, shared_dir
 
-__all__ = ["WORD", "cut", "lower_ascii", "settings", "shared_dir", "shuffle_width", "table", "words"]
+__all__ = ["WORD", "cut", "lower_ascii", "packed", "settings", "shared_dir", "shuffle_width", "table", "words"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def packed(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df, of so many rows, in as many partitions as these fill: few rows over many partitions cost a task and two files for each of them in every step."""
+    return df.coalesce(max(1, ceil(rows / per_task)))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

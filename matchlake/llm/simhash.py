@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import cut
+from matchlake.llm.common import cut, packed
 
 #: A bucket is named by 12 bits of the variant, by more where it would hold more distinct fingerprints than this on average.
 BUCKET_BITS, PER_BUCKET = 12, 400
@@ -31,6 +31,8 @@ BUCKET_BITS, PER_BUCKET = 12, 400
 SPLIT_AT = 1500
 #: Buckets have so many bits at most: enough for 4e11 fingerprints. Up to 2^20 buckets the table of crowded ones is small enough to be broadcast.
 MAX_BUCKET_BITS, BROADCAST_BITS = 30, 20
+#: Links of a task on average, when components are looked for.
+LINKS_PER_TASK = 50_000
 
 
 def fingerprint_of(text: bytes | None, shingle: int, seed: int = 42) -> int:
@@ -134,8 +136,9 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return sent.groupBy("task").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) reaches; by alternating large and small stars."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root): the smallest node that each node of the edges (a, b; so many rows, where that is known) reaches; by alternating large and small stars."""
+    edges = edges if rows is None else packed(edges, rows, LINKS_PER_TASK)
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(e: DataFrame) -> tuple:
@@ -143,12 +146,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = packed(edges, before[0], LINKS_PER_TASK)
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        both = small.union(least.select("a", F.col("m").alias("b")))
+        edges = cut(packed(both, before[0], LINKS_PER_TASK).distinct())  # a star has no more links than what it replaces
         after = state(edges)
         if after == before:
             break
