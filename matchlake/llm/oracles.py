@@ -29,25 +29,31 @@ scored AS (
          CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS upper_share
   FROM base),
 stepped AS (
-  SELECT *, least(len(list_filter([0.5, 0.3, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]::DOUBLE[], lambda x: x >= symbol_share)),
+  SELECT *, [len(list_filter([0.5, 0.3, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05]::DOUBLE[], lambda x: x >= symbol_share)),
                   len(list_filter([0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2]::DOUBLE[], lambda x: x >= dup_line_share)),
                   len(list_filter([0.29, 0.28, 0.27, 0.26, 0.25, 0.225, 0.2, 0.15, 0.1]::DOUBLE[], lambda x: x >= repeat_share)),
-                  len(list_filter([0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]::DOUBLE[], lambda x: x >= upper_share)))::INT AS step
+                  len(list_filter([0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2]::DOUBLE[], lambda x: x >= upper_share))] AS steps
   FROM scored),
 worst AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-texts AS (SELECT lang, t, min(step) AS step FROM stepped JOIN worst USING (doc_id) WHERE NOT base_failed GROUP BY lang, t HAVING min(q) >= 1),
-sizes AS (SELECT l.lang, count(t.t) AS n FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN texts t ON t.lang IS NOT DISTINCT FROM l.lang GROUP BY l.lang),
-named AS (SELECT lang, CASE WHEN n >= 200 THEN {{'lang': lang}} END AS pool FROM sizes),
-pools AS (SELECT pool, count(t.t) AS n, list(t.step) FILTER (t.step IS NOT NULL) AS steps FROM named LEFT JOIN texts t ON t.lang IS NOT DISTINCT FROM named.lang GROUP BY pool),
-tried AS (SELECT pool, n, k, len(list_filter(coalesce(steps, []), lambda x: x <= k)) AS lost FROM pools, range(9) r(k)),
+texts AS (SELECT lang, t, md5(t) < '8' AS orders, any_value(steps) AS steps FROM stepped JOIN worst USING (doc_id) WHERE NOT base_failed GROUP BY lang, t HAVING min(q) >= 1),
+langs AS (SELECT DISTINCT lang FROM documents),
+moves AS (SELECT lang, r, k FROM langs, range(4) a(r), range(9) b(k)),
+path AS MATERIALIZED (
+  SELECT lang, r, k, row_number() OVER (PARTITION BY lang ORDER BY n, k, r) - 1 AS place FROM (
+    SELECT m.lang, r, k, count(t.t) AS n FROM moves m LEFT JOIN texts t ON t.lang IS NOT DISTINCT FROM m.lang AND t.orders AND t.steps[r + 1] <= k GROUP BY ALL)),
 tested AS (
-  SELECT pool, n, k, CASE WHEN lost >= n * 0.05 THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1), lambda j:
-           exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(1 - 0.05)))) END <= 0.05 / (SELECT count(*) FROM pools) AS ok
+  SELECT t.lang, t.t, coalesce(min(place), 36) AS move FROM texts t LEFT JOIN path p ON p.lang IS NOT DISTINCT FROM t.lang AND p.k = t.steps[p.r + 1] WHERE NOT t.orders GROUP BY t.lang, t.t),
+tried AS (
+  SELECT l.lang, m, count(t.t) AS n, count(t.t) FILTER (move <= m) AS lost FROM (SELECT lang, m FROM langs, range(36) r(m)) l LEFT JOIN tested t ON t.lang IS NOT DISTINCT FROM l.lang GROUP BY l.lang, m),
+shown AS (
+  SELECT lang, n, m, CASE WHEN lost >= n * 0.05 THEN 1.0 ELSE list_sum(list_transform(range(0, lost + 1), lambda j:
+           exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(1 - 0.05)))) END <= 0.05 / (SELECT count(*) FROM langs) AS ok
   FROM tried),
-last AS (SELECT pool, any_value(n) AS holdout, coalesce(min(k) FILTER (NOT ok), 9)::INT - 1 AS last_step FROM tested GROUP BY pool)
-SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step > last_step AS kept, s.lang,
-       symbol_share, dup_line_share, repeat_share, upper_share, step, holdout::BIGINT AS holdout, last_step
-FROM stepped s JOIN named ON named.lang IS NOT DISTINCT FROM s.lang JOIN last ON last.pool IS NOT DISTINCT FROM named.pool
+last AS (SELECT lang, any_value(n) AS holdout, coalesce(min(m) FILTER (NOT ok), 36)::INT - 1 AS last_move FROM shown GROUP BY lang),
+moved AS (SELECT rid, coalesce(min(place), 36)::INT AS move FROM stepped s LEFT JOIN path p ON p.lang IS NOT DISTINCT FROM s.lang AND p.k = s.steps[p.r + 1] GROUP BY rid)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND move > last_move AS kept, s.lang,
+       symbol_share, dup_line_share, repeat_share, upper_share, move, holdout::BIGINT AS holdout, last_move
+FROM stepped s JOIN moved USING (rid) JOIN last ON last.lang IS NOT DISTINCT FROM s.lang
 """
 
 OP5 = rf"""

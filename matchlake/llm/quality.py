@@ -1,16 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule scores a text; a text whose score lies above the rule's cutoff is rejected. The rules' cutoffs are tightened
-together, step by step; a labelled holdout of distinct texts tells how many good ones each step would reject. For each
-stratum on its own, steps are tried from the loosest on: one is admitted if the exact binomial test rejects, at level delta
-over the number of strata (Bonferroni), that its false rejection rate is above the risk, and the first that isn't ends the
-sequence (so the steps before it need no further correction). The last admitted step is used. So with probability
-1 - delta no stratum loses more than `risk` of those of its good texts that pass the base rule.
-
-Strata with fewer than POOL_BELOW good texts are tried together, as one stratum; the promise then holds for them as a whole.
-
-Cases: a null text has no words and fails the base rule; with too few labels for any step, a stratum keeps what passes the
-base rule; a null stratum is a stratum of its own; of contradicting labels of one id or text the worst counts; labels
+Each rule scores a text; a text whose score lies above the rule's cutoff is rejected. Each rule has a cutoff of its own in
+each stratum, found on a labelled holdout of distinct good texts that is split in two halves by a hash of the text. The
+first half orders the moves (tighten one rule by one step) by how many of its texts the rule would then reject, so that a
+rule that good texts often break comes late and stops no other. On the second half, which the order doesn't depend on, the
+moves are tried in that order: one is admitted if the exact binomial test rejects, at level delta over the number of strata
+(Bonferroni), that the false rejection rate of all rules together is above the risk, and the first that isn't ends the
+sequence (so the moves before it need no further correction). With probability 1 - delta no stratum loses more than `risk`
+of those of its good texts that pass the base rule; this holds for each stratum, whatever its size.
+
+Cases: a null text has no words and fails the base rule; with too few labels for any move (about 90 good texts in its
+second half are needed for four strata), a stratum keeps what passes the base rule; a null stratum is a stratum of its own; of contradicting labels of one id or text the worst counts; labels
 without a text don't count; copies count once in the holdout; repeated rows each get a row; an empty table gives an empty
 result. Extra columns stay.
 """
@@ -38,9 +38,8 @@ STEPS = {
     "upper_share": (0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
 }
 N_STEPS = 9
+N_MOVES = N_STEPS * len(STEPS)
 RISK, DELTA = 0.05, 0.05
-#: Good texts of a stratum that is tried on its own.
-POOL_BELOW = 200
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -67,7 +66,7 @@ def repeated_words(w: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the rules' scores, and the first step that rejects; without the text."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the rules' scores, and each rule's first step that rejects (steps); without the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     made = docs.withColumns({"_w": words(F.col(text_col)), "_lines": lines})
@@ -93,8 +92,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     passed = lambda rule, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda x: x >= F.col(rule)))
-    step = F.least(*(passed(rule, grid) for rule, grid in STEPS.items()))
-    return made.withColumn("step", step).drop(text_col, "_w", "_lines", "_n_lines", "_upper")
+    steps = F.array(*(passed(rule, grid) for rule, grid in STEPS.items()))
+    return made.withColumn("steps", steps).drop(text_col, "_w", "_lines", "_n_lines", "_upper")
 
 
 def log_gamma(x: Column) -> Column:
@@ -118,30 +117,44 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.exp(at_k) * lower).otherwise(1.0)
 
 
+def first_move(steps: Column, at: Column) -> Column:
+    """The first of a stratum's moves that rejects a text, N_MOVES if none does; at: the place of each move, by rule and step."""
+    by_rule = (F.when(F.get(steps, F.lit(r)) < N_STEPS, F.get(at, r * N_STEPS + F.get(steps, F.lit(r)))) for r in range(len(STEPS)))
+    return F.coalesce(F.least(*by_rule), F.lit(N_MOVES))
+
+
 def limits(scored: DataFrame, labels: DataFrame, id_col: str, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(_stratum, holdout, last_step): for each stratum the good texts that it, or its pool, was tried on, and the last admitted step, -1 if there is none."""
+    """(_stratum, at, holdout, last_move): for each stratum the places of its moves, the good texts they were tried on, and the last admitted move, -1 if there is none."""
     worst = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_q"))
-    texts = scored.where("not base_failed").join(worst, id_col).groupBy(F.col(stratum).alias("_stratum"), "text_hash").agg(F.min("_q").alias("_q"), F.min("step").alias("step"))
-    lost = F.array(*(F.sum((F.col("step") <= k).cast("bigint")) for k in range(N_STEPS)))
-    tried = texts.where("_q >= 1").groupBy("_stratum").agg(F.count("*").alias("n"), lost.alias("lost"))
-    every = scored.select(F.col(stratum).alias("_stratum")).distinct()
-    own = every.join(tried, every["_stratum"].eqNullSafe(tried["_stratum"]), "left").select(every["_stratum"], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lost", F.array_repeat(F.lit(0).cast("bigint"), N_STEPS)).alias("lost"))
-    own = cut(own.withColumn("_alone", F.when(F.col("n") >= POOL_BELOW, F.struct("_stratum"))))
-    pools = own.groupBy("_alone").agg(F.sum("n").alias("holdout"), F.array(*(F.sum(F.get("lost", F.lit(k))) for k in range(N_STEPS))).alias("lost"))
-    level = delta / max(1, pools.count())
+    one = [F.min("_q").alias("_q"), F.first("steps").alias("steps"), F.first("orders").alias("orders")]
+    texts = cut(scored.where("not base_failed").join(worst, id_col).groupBy(F.col(stratum).alias("_s"), "text_hash").agg(*one).where("_q >= 1").select("_s", "steps", "orders"))
+    every = cut(scored.select(F.col(stratum).alias("_stratum")).distinct())
+    none = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n)
+
+    breaks = F.array(*(F.count_if(F.get("steps", F.lit(r)) <= k) for r in range(len(STEPS)) for k in range(N_STEPS)))
+    ordering = texts.where("orders").groupBy("_s").agg(breaks.alias("breaks"))
+    moves = F.array_sort(F.transform("breaks", lambda n, m: F.struct(n.alias("n"), (m % N_STEPS).alias("k"), m.alias("m"))))["m"]
+    at = let(moves, lambda order: F.transform(F.sequence(F.lit(0), F.lit(N_MOVES - 1)), lambda m: (F.array_position(order, m) - 1).cast("int")))
+    paths = every.join(ordering, F.col("_stratum").eqNullSafe(F.col("_s")), "left").select("_stratum", F.coalesce("breaks", none(N_MOVES)).alias("breaks")).select("_stratum", at.alias("at"))
+
+    tested = texts.where("not orders").join(paths, F.col("_stratum").eqNullSafe(F.col("_s"))).select("_s", first_move(F.col("steps"), F.col("at")).alias("move"))
+    lost = F.array(*(F.count_if(F.col("move") <= m) for m in range(N_MOVES)))
+    tested = tested.groupBy("_s").agg(F.count("*").alias("n"), lost.alias("lost"))
+    own = paths.join(tested, F.col("_stratum").eqNullSafe(F.col("_s")), "left").select("_stratum", "at", F.coalesce("n", F.lit(0)).alias("holdout"), F.coalesce("lost", none(N_MOVES)).alias("lost"))
+    level = delta / max(1, every.count())
     admitted = F.transform("lost", lambda k: binomial_tail(k, F.col("holdout"), risk) <= level)
-    last = F.when(F.array_contains(admitted, F.lit(False)), F.array_position(admitted, F.lit(False)) - 2).otherwise(N_STEPS - 1)
-    pools = pools.select(F.col("_alone").alias("_pool"), "holdout", last.cast("int").alias("last_step"))
-    return own.join(pools, F.col("_alone").eqNullSafe(F.col("_pool"))).select("_stratum", "holdout", "last_step")
+    last = F.when(F.array_contains(admitted, F.lit(False)), F.array_position(admitted, F.lit(False)) - 2).otherwise(N_MOVES - 1)
+    return own.select("_stratum", "at", "holdout", last.cast("int").alias("last_move"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **how) -> DataFrame:
-    """id, the features, kept (not base_failed, and rejected by no step up to its stratum's last), stratum, text_hash, the rules' scores, step, and what limits gives its stratum."""
-    scored = cut(features(docs.select(id_col, text_col, stratum).withColumn("text_hash", F.xxhash64(text_col)), text_col))
+    """id, the features, kept (not base_failed, and rejected by no move up to its stratum's last), stratum, text_hash, the rules' scores, move (the first that rejects), and holdout and last_move of its stratum."""
+    halves = {"text_hash": F.xxhash64(text_col), "orders": F.md5(text_col) < "8"}
+    scored = cut(features(docs.select(id_col, text_col, stratum).withColumns(halves), text_col))
     found = limits(scored, labels, id_col, stratum, **how)
-    kept = ~F.col("base_failed") & (F.col("step") > F.col("last_step"))
-    out = scored.join(found, scored[stratum].eqNullSafe(found["_stratum"])).withColumn("kept", kept)
-    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", stratum, "text_hash", *STEPS, "step", "holdout", "last_step")
+    out = scored.join(found, scored[stratum].eqNullSafe(found["_stratum"])).withColumn("move", first_move(F.col("steps"), F.col("at")))
+    kept = ~F.col("base_failed") & (F.col("move") > F.col("last_move"))
+    return out.withColumn("kept", kept).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", stratum, "text_hash", *STEPS, "move", "holdout", "last_move")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", **how) -> DataFrame:

@@ -145,8 +145,8 @@ def passes(rows, labels):
         lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         upper = sum("A" <= c <= "Z" for c in text or "")
         share = {"symbol_share": symbols / chars if chars else 0, "dup_line_share": dup / len(lines) if lines else 0, "repeat_share": again / n if n else 0, "upper_share": upper / chars if chars else 0}
-        step = min(sum(x >= share[r] for x in grid) for r, grid in quality.STEPS.items())
-        scored[i] = (n < 20 or 100 * again > 30 * n, step, lang, text)
+        steps = [sum(x >= share[r] for x in grid) for r, grid in quality.STEPS.items()]
+        scored[i] = (n < 20 or 100 * again > 30 * n, steps, lang, text)
     worst = {}
     for i, q in labels:
         if q is not None:
@@ -156,24 +156,20 @@ def passes(rows, labels):
         if i in scored and not scored[i][0]:
             key = scored[i][2:]
             texts[key] = (min(q, texts.get(key, (1, 0))[0]), scored[i][1])
-    steps = defaultdict(list)
-    for (lang, _), (q, step) in texts.items():
-        if q >= 1:
-            steps[lang].append(step)
-    pool = {lang: lang if len(steps[lang]) >= quality.POOL_BELOW else ("pool",) for lang in {x[2] for x in scored.values()}}
-    held = defaultdict(list)
-    for lang, name in pool.items():
-        held[name] += steps[lang]
-    last = {}
-    for name, own in held.items():
-        n, at = len(own), -1
-        for k in range(quality.N_STEPS):
-            lost = sum(x <= k for x in own)
-            if lost >= n * 0.05 or sum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(lost + 1)) > 0.05 / len(held):
+    last, place = {}, {}
+    langs = {x[2] for x in scored.values()}
+    for lang in langs:
+        own = [(hashlib.md5(t.encode()).hexdigest() < "8", steps) for (x, t), (q, steps) in texts.items() if x == lang and q >= 1]
+        moves = [(sum(orders and steps[r] <= k for orders, steps in own), k, r) for r in range(len(quality.STEPS)) for k in range(quality.N_STEPS)]
+        place[lang] = {(r, k): m for m, (_, k, r) in enumerate(sorted(moves))}
+        tried = [min(place[lang].get((r, k), quality.N_MOVES) for r, k in enumerate(steps)) for orders, steps in own if not orders]
+        n, last[lang] = len(tried), -1
+        for m in range(quality.N_MOVES):
+            lost = sum(x <= m for x in tried)
+            if lost >= n * 0.05 or sum(math.comb(n, j) * 0.05**j * 0.95 ** (n - j) for j in range(lost + 1)) > 0.05 / len(langs):
                 break
-            at = k
-        last[name] = at
-    return {i for i, (failed, step, lang, _) in scored.items() if not failed and step > last[pool[lang]]}
+            last[lang] = m
+    return {i for i, (failed, steps, lang, _) in scored.items() if not failed and min(place[lang].get((r, k), quality.N_MOVES) for r, k in enumerate(steps)) > last[lang]}
 
 
 def training_order(rows):
