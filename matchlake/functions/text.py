@@ -1,10 +1,11 @@
-"""Column expressions for titles, descriptions, names and dates. All run in the JVM but for unicode_slug."""
+"""Column expressions for titles, descriptions, names and dates. All run in the JVM."""
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,13 +101,25 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def unicode_slug(c: Column) -> Column:
-    """slug after compatibility decomposition, so accented letters count as their base. For distinct names: Spark has no such built-in."""
+@functools.cache
+def _decomposed() -> dict[str, str]:
+    """What each character beyond ASCII leaves in a slug, if anything, by compatibility decomposition."""
+    each = ((chr(k), unicodedata.normalize("NFKD", chr(k)).lower()) for k in range(128, sys.maxunicode + 1) if not 0xD800 <= k < 0xE000)
+    slugs = ((c, "".join(x for x in d if x.isascii() and x.isalnum())) for c, d in each)
+    return {c: d for c, d in slugs if d}
 
-    def slugs(names: pd.Series) -> pd.Series:
-        return names.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFKD", s).lower() if x.isascii() and x.isalnum()))
 
-    return F.pandas_udf(slugs, "string")(c)
+def unicode_slug(c: Column) -> Column:
+    """slug after compatibility decomposition, so accented letters count as their base. Characters that leave one letter are translated; names with
+    any that leave several are put together by characters."""
+    table = _decomposed()
+    several = "".join(x for x, d in table.items() if len(d) > 1)
+    one = lambda s: F.translate(s, "".join(table), "".join(d[0] for d in table.values()))
+    nth = lambda s, k: F.translate(s, several, "".join(table[x][k : k + 1] or " " for x in several))
+    most = max(map(len, table.values()))
+    whole = lambda x: F.when(F.instr(F.lit(several), x) > 0, F.concat(one(x), *(nth(x, k) for k in range(1, most)))).otherwise(one(x))
+    by_character = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), whole), "")
+    return slug(F.when(F.translate(c, several, "") == c, one(c)).otherwise(by_character))
 
 
 def deleet(c: Column) -> Column:

@@ -132,15 +132,15 @@ def spread(df: DataFrame, rows: str = "era", columns: str = "channel") -> DataFr
     return df.cube(rows, columns).agg(_n(), F.grouping_id().alias("g")).select(F.when(F.col("g").bitwiseAND(2) > 0, "all").otherwise(F.col(rows)).alias(rows), F.when(F.col("g").bitwiseAND(1) > 0, "all").otherwise(F.col(columns)).alias(columns), "n")
 
 
-def contract_stats(df: DataFrame, characters: DataFrame, players: DataFrame) -> DataFrame:
-    """(name, k1, k2, n): all statistics in one long table, as a sink takes them. A record names all counters that it raises, so one scan and one shuffle do."""
+def raised() -> Column:
+    """The counters (name, k1, k2) that a record raises, each as often as it counts."""
     kind = "struct<name:string,k1:string,k2:string>"
     key = lambda name, k1=None, k2=None: F.struct(F.lit(name).alias("name"), *((F.lit(None) if k is None else k).cast("string").alias(n) for n, k in (("k1", k1), ("k2", k2)))).cast(kind)
     some = lambda cond, *keys: F.when(cond, F.array(*keys)).otherwise(F.array().cast(f"array<{kind}>"))
     era = X.era_key(F.col("season"))
     fused = lambda t: t["fuse"].isNotNull()
     each = lambda made: F.flatten(F.transform("teams", made))
-    raised = F.concat(
+    return F.concat(
         F.array(key("totals.replays"), key("totals.byPatch", era)),
         some(F.exists("teams", fused), key("totals.withFuse")),
         F.transform("allCharacters", lambda c: key("characterUsage", c)),
@@ -148,7 +148,11 @@ def contract_stats(df: DataFrame, characters: DataFrame, players: DataFrame) ->
         each(lambda t: some(F.size(t["characters"]) == 2, key("pairingUsage", X.pair_key(t["characters"])))),
         each(lambda t: some(fused(t), key("fuseUsage", t["fuse"]), key("fuseByPatch", era, t["fuse"]))),
     )
-    counted = df.select(F.explode(raised).alias("k")).groupBy("k.name", "k.k1", "k.k2").agg(_n())
+
+
+def contract_stats(df: DataFrame, characters: DataFrame, players: DataFrame) -> DataFrame:
+    """(name, k1, k2, n): all statistics in one long table, as a sink takes them. A record names all counters that it raises, so one scan and one shuffle do."""
+    counted = df.select(F.explode(raised()).alias("k")).groupBy("k.name", "k.k1", "k.k2").agg(_n())
     none = F.lit(None).cast("string")
     for name, rows in (("totals.characters", characters), ("totals.players", players)):
         counted = counted.union(rows.agg(_n()).select(F.lit(name), none, none, "n"))

@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
-from matchlake.operators import checkpoints, merge, periods, quality, query as facets, resolve, stats, titles, upsert
+from matchlake.operators import checkpoints, maintained, merge, periods, quality, query as facets, resolve, stats, titles, upsert
 from matchlake.plans import proxies as V
 from matchlake.plans.registry import query
-from matchlake.sources import io
+from matchlake.sources import io, versions
 
 _STR = "array<string>"
 
@@ -320,6 +320,30 @@ def contract_stats(spark, sf):
     return stats.contract_stats(V.records(spark, sf), V.table(spark, sf, "part").select("p_brand").distinct(), V.table(spark, sf, "supplier"))
 
 
+def _new_folder(spark, name):
+    return f"{checkpoints.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(""", fin AS (SELECT * EXCLUDE (era), CASE WHEN s2 IS NULL THEN 'Beta' ELSE 'S' || s2 END AS era FROM (SELECT *, CASE WHEN n % 50 = 1 THEN 1 WHEN n % 50 = 2 THEN NULL ELSE season END AS s2 FROM recs WHERE n % 50 <> 3)),
+fs AS (SELECT era, lc AS chars, lf AS fuse FROM fin UNION ALL SELECT era, rc, rf FROM fin),
+u AS (SELECT era, c, count(*) AS n FROM (SELECT era, unnest(list_distinct(list_concat(lc, rc))) AS c FROM fin) GROUP BY ALL)
+SELECT 'totals.replays' AS name, NULL::VARCHAR AS k1, NULL::VARCHAR AS k2, count(*) AS n FROM fin UNION ALL SELECT 'totals.withFuse', NULL, NULL, count(*) FROM fin WHERE lf IS NOT NULL OR rf IS NOT NULL
+UNION ALL SELECT 'totals.byPatch', era, NULL, count(*) FROM fin GROUP BY era
+UNION ALL SELECT 'characterUsage', c, NULL, sum(n)::BIGINT FROM u GROUP BY c UNION ALL SELECT 'byPatchUsage', era, c, n FROM u UNION ALL SELECT 'pairingUsage', array_to_string(chars, '|') AS pair, NULL, count(*) FROM fs WHERE len(chars) = 2 GROUP BY pair
+UNION ALL SELECT 'fuseUsage', fuse, NULL, count(*) FROM fs WHERE fuse IS NOT NULL GROUP BY fuse UNION ALL SELECT 'fuseByPatch', era, fuse, count(*) FROM fs WHERE fuse IS NOT NULL GROUP BY era, fuse""")
+def stats_maintained(spark, sf):
+    """Counters of the records before 1998, then a run with the later ones, then one with overrides that move seasons and exclude; each run twice. SQL counts the end anew."""
+    r, folder = checkpoints.cut(V.records(spark, sf)), _new_folder(spark, "counters")
+    o = V.overrides(r)
+    maintained.start(r.where("publishedAt < '1998-01-01'"), folder)
+    later = maintained.delta(r.limit(0), r.where("publishedAt >= '1998-01-01'"))
+    before = r.join(o.select("id"), "id", "left_semi")
+    moved = maintained.delta(before, merge.drop_excluded(merge.apply_overrides(before, o), o))
+    for batch, change in (("later", later), ("overrides", moved)) * 2:
+        maintained.apply(spark, folder, batch, change)
+    return maintained.totals(versions.read(spark, folder))
+
+
 @query("""SELECT id, 'no-replay' AS rule FROM recs WHERE n % 97 = 0 UNION ALL SELECT id, 'unknown-token' FROM recs WHERE n % 89 = 0 AND n % 97 <> 0
 UNION ALL SELECT id, 'season-differs' FROM recs WHERE n % 83 = 0 AND n % 89 <> 0 AND n % 97 <> 0 AND version IS NOT NULL AND season <> 0""")
 def contract_violations(spark, sf):
@@ -410,20 +434,41 @@ _VERD = """, en AS (SELECT id, n % 8 AS k, n, n % 5 = 0 AS old, n % 10 = 0 AS ex
 jd AS (SELECT *, CASE WHEN n % 9 = 0 THEN 'not-in-report' WHEN k = 3 THEN 'unknown-fuse' WHEN k = 6 THEN 'unordered-needs-both' END AS reason FROM en)"""
 
 
-def _upsert(spark, sf):
-    r = V.records(spark, sf)
+def _verdict_tables(spark, sf, r):
+    """Overrides, verdicts, gaps and fuses."""
     ov = r.where(_n() % 5 == 0).select("id", F.lit("A").alias("left"), F.lit("B").alias("right"), F.lit(False).alias("unordered"), (_n() % 10 == 0).alias("extra"))
     fuses = V.table(spark, sf, "region").select(F.explode(F.array(F.lit("X"), F.lit("Y"))).alias("id")).distinct()
-    return upsert.apply_verdicts(ov, _verdicts(r), r.where(_n() % 9 != 0), r, fuses)
+    return ov, _verdicts(r), r.where(_n() % 9 != 0), fuses
+
 
+def _upsert(spark, sf):
+    r = V.records(spark, sf)
+    ov, entries, gaps, fuses = _verdict_tables(spark, sf, r)
+    return upsert.apply_verdicts(ov, entries, gaps, r, fuses)
 
-@query(_VERD + """ SELECT r.id, CASE WHEN jd.id IS NOT NULL AND reason IS NULL THEN CASE WHEN k NOT IN (4, 5) THEN 'X' END ELSE 'A' END AS "left", CASE WHEN jd.id IS NOT NULL AND reason IS NULL THEN CASE WHEN k NOT IN (4, 5) THEN 'Y' END ELSE 'B' END AS "right",
+
+_VERDICT_ROWS = """ SELECT r.id, CASE WHEN jd.id IS NOT NULL AND reason IS NULL THEN CASE WHEN k NOT IN (4, 5) THEN 'X' END ELSE 'A' END AS "left", CASE WHEN jd.id IS NOT NULL AND reason IS NULL THEN CASE WHEN k NOT IN (4, 5) THEN 'Y' END ELSE 'B' END AS "right",
 coalesce(jd.id IS NOT NULL AND reason IS NULL AND k = 2, false) AS unordered, r.n % 10 = 0 AND r.n % 5 = 0 AS extra FROM recs r LEFT JOIN jd ON jd.id = r.id
-WHERE (r.n % 5 = 0 AND NOT coalesce(reason IS NULL AND k IN (4, 5) AND r.n % 10 <> 0, false)) OR coalesce(jd.id IS NOT NULL AND reason IS NULL AND k NOT IN (4, 5), false)""")
+WHERE (r.n % 5 = 0 AND NOT coalesce(reason IS NULL AND k IN (4, 5) AND r.n % 10 <> 0, false)) OR coalesce(jd.id IS NOT NULL AND reason IS NULL AND k NOT IN (4, 5), false)"""
+
+
+@query(_VERD + _VERDICT_ROWS)
 def verdict_upsert(spark, sf):
     return _upsert(spark, sf)[0]
 
 
+@query(_VERD + """ SELECT 0 AS version, id, 'A' AS "left", 'B' AS "right", false AS unordered, n % 10 = 0 AS extra FROM recs WHERE n % 5 = 0 UNION ALL SELECT 1, v.* FROM (""" + _VERDICT_ROWS + ") v")
+def verdict_versions(spark, sf):
+    """Overrides as a table in versions: a batch of verdicts rewrites the buckets that it touches; run again, it changes nothing, and the version before stays."""
+    r, folder = checkpoints.cut(V.records(spark, sf)), _new_folder(spark, "overrides")
+    ov, entries, gaps, fuses = _verdict_tables(spark, sf, r)
+    versions.create(ov, folder, ["id"])
+    for _ in range(2):
+        last = versions.upsert(spark, folder, "verdicts", entries, lambda old, new: upsert.apply_verdicts(old, new, gaps, r, fuses)[0])
+    rows = [versions.read(spark, folder, k).select(F.lit(k).alias("version"), "*") for k in (0, last)]
+    return rows[0].unionByName(rows[1])
+
+
 @query(_VERD + " SELECT id, reason FROM jd WHERE reason IS NOT NULL")
 def verdict_rejects(spark, sf):
     return _upsert(spark, sf)[1].select("id", "reason")
