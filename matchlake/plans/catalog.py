@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlake.functions import text as X
-from matchlake.operators import checkpoints, maintained, merge, periods, quality, query as facets, resolve, stats, titles, upsert
+from matchlake.operators import checkpoints, facet_index, maintained, merge, periods, quality, query as facets, resolve, stats, titles, upsert
 from matchlake.plans import proxies as V
 from matchlake.plans.registry import query
 from matchlake.sources import io, versions
@@ -324,6 +324,17 @@ def _new_folder(spark, name):
     return f"{checkpoints.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query("""SELECT id FROM recs WHERE channel IN ('1-URGENT', '5-LOW', '2-HIGH') AND (era = 'S0' OR version = '1999.2') AND (lf IN (SELECT p_type FROM part WHERE p_type < 'M') OR rf IN (SELECT p_type FROM part WHERE p_type < 'M'))
+AND list_contains(list_concat(lc, rc), (SELECT min(p_brand) FROM part)) AND contains(lower(array_to_string(list_concat(lp, rp), chr(10))), '0007') AND contains(lower(array_to_string(list_concat(lp, rp), chr(10))), 'supplier')""")
+def facet_indexed(spark, sf):
+    """All facets at once, answered on the index."""
+    part, folder = V.table(spark, sf, "part"), _new_folder(spark, "facets")
+    facet_index.build(V.records(spark, sf), folder)
+    fuses = [r[0] for r in part.select("p_type").distinct().where("p_type < 'M'").collect()]  # a registry of some 150
+    asked = {"sources": ["1-URGENT", "rest"], "groups": {"rest": ["5-LOW", "2-HIGH"]}, "patches": ["S0", "1999.2"], "fuses": fuses, "chars": [part.agg(F.min("p_brand")).first()[0]], "q": "Supplier 0007"}
+    return facet_index.browse(spark, folder, **asked).select("id")
+
+
 @query(""", fin AS (SELECT * EXCLUDE (era), CASE WHEN s2 IS NULL THEN 'Beta' ELSE 'S' || s2 END AS era FROM (SELECT *, CASE WHEN n % 50 = 1 THEN 1 WHEN n % 50 = 2 THEN NULL ELSE season END AS s2 FROM recs WHERE n % 50 <> 3)),
 fs AS (SELECT era, lc AS chars, lf AS fuse FROM fin UNION ALL SELECT era, rc, rf FROM fin),
 u AS (SELECT era, c, count(*) AS n FROM (SELECT era, unnest(list_distinct(list_concat(lc, rc))) AS c FROM fin) GROUP BY ALL)
