@@ -5,6 +5,8 @@ import random
 import pytest
 
 from matchlake.operators import dupes, linking
+from matchlake.plans import audits
+from matchlake.plans import proxies as V
 
 ROW = "id string, sig string, durationSec int, channel string, publishedAt string, has_override boolean, has_fuse boolean, dhash bigint"
 
@@ -84,3 +86,15 @@ def test_components(spark):
     got = linking.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert {x.id: x["class"] for x in got} == {x: find(x) for x in root if find(x) != x} and len(got) == len({x.id for x in got})
     assert linking.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def alike(rows):
+    """All pairs of made records (a, b, delta, intra), by loops."""
+    own = sorted(r for r in rows if r[1] is not None and r[2] > 0)
+    return sorted((a[0], b[0], abs(a[2] - b[2]), a[3] == b[3]) for k, a in enumerate(own) for b in own[k + 1 :] if a[1] == b[1] and abs(a[2] - b[2]) <= 90)
+
+
+def test_pairs_of_records_that_agree_are_listed(spark, monkeypatch):
+    rows = made(60, 5)
+    monkeypatch.setattr(V, "copies", lambda *_: spark.createDataFrame(rows, ROW))
+    assert sorted(tuple(r) for r in audits.dupe_pairs(spark, "").collect()) == alike(rows)
