@@ -98,3 +98,4 @@ def test_pairs_of_records_that_agree_are_listed(spark, monkeypatch):
     rows = made(60, 5)
     monkeypatch.setattr(V, "copies", lambda *_: spark.createDataFrame(rows, ROW))
     assert sorted(tuple(r) for r in audits.dupe_pairs(spark, "").collect()) == alike(rows)
+    assert sorted(tuple(r) for r in audits.dupe_pairs_cross(spark, "").collect()) == [p for p in alike(rows) if not p[3]]
