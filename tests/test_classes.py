@@ -99,3 +99,15 @@ def test_pairs_of_records_that_agree_are_listed(spark, monkeypatch):
     monkeypatch.setattr(V, "copies", lambda *_: spark.createDataFrame(rows, ROW))
     assert sorted(tuple(r) for r in audits.dupe_pairs(spark, "").collect()) == alike(rows)
     assert sorted(tuple(r) for r in audits.dupe_pairs_cross(spark, "").collect()) == [p for p in alike(rows) if not p[3]]
+
+
+def test_tiers_of_records_that_agree(spark, monkeypatch):
+    """Of two that differ in their channel alone the smaller id stays, also where a smaller one of the other's class stays before it."""
+    rows = [("1", "s", 60, "x", "1", False, False, 0), ("2", "s", 60, "y", "1", False, False, 0), ("3", "s", 60, "x", "1", False, False, 0), *(r for r in made(40, 6))]
+    df = spark.createDataFrame(rows, ROW)
+    monkeypatch.setattr(V, "copies", lambda *_: df.drop("dhash"))
+    monkeypatch.setattr(V, "copy_hashes", lambda *_: df.select("id", "dhash"))
+    line = lambda r: (r.keep.id, r.drop.id, r.tier, r.rule, r.ham, r.delta, ",".join(r["flags"]))
+    got = sorted(map(str, map(tuple, audits.dupe_tiers(spark, "").collect())))
+    assert got == sorted(map(str, map(line, over_records(df).collect())))
+    assert str(("2", "3", "A", "id-tiebreak", 0, 0, "")) in got and len(got) == len(alike(rows))
