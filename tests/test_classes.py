@@ -7,6 +7,7 @@ import pytest
 from matchlake.operators import dupes, linking
 from matchlake.plans import audits
 from matchlake.plans import proxies as V
+from matchlake.plans.registry import QUERIES
 
 ROW = "id string, sig string, durationSec int, channel string, publishedAt string, has_override boolean, has_fuse boolean, dhash bigint"
 
@@ -111,3 +112,16 @@ def test_tiers_of_records_that_agree(spark, monkeypatch):
     got = sorted(map(str, map(tuple, audits.dupe_tiers(spark, "").collect())))
     assert got == sorted(map(str, map(line, over_records(df).collect())))
     assert str(("2", "3", "A", "id-tiebreak", 0, 0, "")) in got and len(got) == len(alike(rows))
+
+
+#: Three handles of one slug, one of them not its smallest id; one an edit away, and one with digits behind.
+NAMES = [("1", "Foo Bar", True), ("2", "foo-bar", False), ("3", "FooBar", False), ("4", "Foo Baz", False), ("5", "foobar22", False)]
+
+
+@pytest.fixture
+def named(spark, monkeypatch):
+    monkeypatch.setattr(V, "handles", lambda *_: spark.createDataFrame(NAMES, "id string, handle string, featured boolean"))
+
+
+def test_each_handle_of_a_slug_is_linked_to_its_typos(spark, named):
+    assert {(r.a, r.b) for r in QUERIES["entity_dupes_typo"](spark, "").collect()} == {("1", "4"), ("2", "4"), ("3", "4")}
