@@ -125,3 +125,7 @@ def named(spark, monkeypatch):
 
 def test_each_handle_of_a_slug_is_linked_to_its_typos(spark, named):
     assert {(r.a, r.b) for r in QUERIES["entity_dupes_typo"](spark, "").collect()} == {("1", "4"), ("2", "4"), ("3", "4")}
+
+
+def test_each_handle_of_a_slug_is_linked_to_its_affixes(spark, named):
+    assert {(r.a, r.b) for r in QUERIES["entity_dupes_affix"](spark, "").collect()} == {("1", "5"), ("2", "5"), ("3", "5")}
