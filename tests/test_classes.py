@@ -129,3 +129,10 @@ def test_each_handle_of_a_slug_is_linked_to_its_typos(spark, named):
 
 def test_each_handle_of_a_slug_is_linked_to_its_affixes(spark, named):
     assert {(r.a, r.b) for r in QUERIES["entity_dupes_affix"](spark, "").collect()} == {("1", "5"), ("2", "5"), ("3", "5")}
+
+
+def test_all_pairs_of_handles_are_ranked(spark, monkeypatch):
+    names = [(i, f"{h} Of The North", f) for i, h, f in NAMES[:4]]
+    monkeypatch.setattr(V, "handles", lambda *_: spark.createDataFrame(names, "id string, handle string, featured boolean"))
+    got = {tuple(sorted((r.canonical, r.other))): r.kinds for r in audits.entity_ranked(spark, "").collect()}
+    assert got == {(a, b): "typo" if b == "4" else "slug+leet" for a in "123" for b in "234" if a < b}
