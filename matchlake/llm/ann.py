@@ -40,6 +40,8 @@ BLOCK, SURE = 16, 2.1
 PER_TASK, QUERIES = 8_192, 20_000
 #: Pairs of a query and a candidate that are looked at together.
 PAIRS = 1_000_000
+#: One in so many pairs left, or more, are taken on as a product of matrices: as dear as a gather of a tenth of them, or so.
+DENSE = 16
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -141,17 +143,27 @@ class Best:
 def scan_list(q: np.ndarray, x: np.ndarray, rq: np.ndarray, rx: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(queries, candidates) of one list that no test abandons. rq, rx: rotated; within: the squared distance that a query's candidates must not exceed."""
     dim = rq.shape[1]
+    if not len(rq) or not len(rx):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = 1e-12 * (1 + (rq * rq).sum(axis=1) + (rx * rx).sum(axis=1).max())  # what products of matrices round off
     part = distances(rq[:, :BLOCK], rx[:, :BLOCK])
     d = min(BLOCK, dim)
     reject = lambda d: (d / dim) * (1 + SURE / np.sqrt(d)) ** 2 if d < dim else 1 + 1e-9
-    a, b = np.nonzero(part <= within[:, None] * reject(d) + 1e-12)
+    left = part <= (within * reject(d) + near)[:, None]
+    # while many are left, a block of columns is a product of matrices; then those left are gathered one by one
+    while d < dim and np.count_nonzero(left) * DENSE > left.size:
+        step = slice(d, min(d + BLOCK, dim))
+        part += distances(rq[:, step], rx[:, step])
+        d = step.stop
+        left &= part <= (within * reject(d) + near)[:, None]
+    a, b = np.nonzero(left)
     part = part[a, b]
     while d < dim and len(a):
         step = slice(d, min(d + BLOCK, dim))
         diff = rq[a, step] - rx[b, step]
         part = part + np.einsum("ij,ij->i", diff, diff)
         d = step.stop
-        ok = part <= within[a] * reject(d) + 1e-12
+        ok = part <= within[a] * reject(d) + near[a]
         a, b, part = a[ok], b[ok], part[ok]
     return a, b
 
@@ -267,10 +279,15 @@ def _scanned(held: pa.Table, asked: pa.Table, top: float, most: int) -> tuple[li
     for own in np.split(by_list, np.flatnonzero(np.diff(lists[by_list])) + 1):
         who = np.array(of_list.get(int(lists[own[0]]), []), dtype=np.int64)
         for block in np.array_split(who, max(1, -(-len(who) * len(own) // PAIRS))) if len(who) else ():
-            a, b = scan_list(q[block], x[own], rq[block], rx[own], np.maximum(0, norms[block] - 2 * best.bound[block]))
+            bound = best.bound[block]
+            fresh = np.isinf(bound)
+            if len(own) >= most and fresh.any():  # the first list of a query bounds it by all of its products at once, less what they round off
+                least = np.partition(q[block[fresh]] @ x[own].T, len(own) - most, axis=1)[:, len(own) - most]
+                bound[fresh] = least - 1e-12 * (1 + norms[block[fresh]])
+            a, b = scan_list(q[block], x[own], rq[block], rx[own], np.maximum(0, norms[block] - 2 * bound))
+            score = exact(q[block[a]], x[own[b]])
+            ok = score >= bound[a]
             a, b = block[a], own[b]
-            score = exact(q[a], x[b])
-            ok = score >= best.bound[a]
             best.add(a[ok], score[ok], first[b[ok]], b[ok])
     names = asked.column("digest").to_pylist()
     return [names[i] for i in best.query], best.at, best.score

@@ -81,6 +81,29 @@ def test_tests_abandon_most_candidates_and_keep_the_near():
     assert len(a) < 0.05 * full.size
 
 
+def test_few_pairs_are_scored_one_by_one(monkeypatch):
+    """A query's first list is bounded by products of matrices; and these abandon what gathered differences do."""
+    r = np.random.default_rng(6)
+    x, n = r.standard_normal((800, 64)), []
+    q, top, turn = x[:200], (x * x).sum(axis=1).max(), ann.rotation(65)
+    held = pa.table({"list": pa.array([0] * 800, pa.int32()), "ids": [[k] for k in range(800)], "vec": pa.array([v.tobytes() for v in x], pa.binary())})
+    asked = pa.table({"digest": pa.array([b"%d" % k for k in range(200)], pa.binary()), "vec": pa.array([v.tobytes() for v in q], pa.binary()), "probed": pa.array([[0]] * 200, pa.list_(pa.int32()))})
+    rq, rx = np.concatenate([q, np.zeros((200, 1))], axis=1) @ turn, ann.longer(x, top) @ turn
+    within = (q * q).sum(axis=1) + top - 2 * np.sort(q @ x.T, axis=1)[:, -21]
+    found = []
+    for dense in (0, 1 << 40):
+        monkeypatch.setattr(ann, "DENSE", dense)
+        found.append(set(zip(*map(np.ndarray.tolist, ann.scan_list(q, x, rq, rx, within)))))
+    assert found[0] == found[1] and 200 * 20 < len(found[0]) < 200 * 40
+    exact = ann.exact
+    monkeypatch.setattr(ann, "exact", lambda a, b: n.append(len(a)) or exact(a, b))
+    digests, at, scores = ann._scanned(held, asked, top, 21)
+    assert sum(n) < 200 * 40 and len(digests) == 200 * 21
+    want = np.argsort(-(q @ x.T), axis=1)[:, :21]
+    hits = {(int(d), int(a)) for d, a in zip(digests, at)}
+    assert sum((i, int(k)) in hits for i, row in enumerate(want) for k in row) > 0.99 * 200 * 21
+
+
 def test_copies_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     same = [(i, [1.0, 2.0, 2.0]) for i in range(200, 260)]
