@@ -1,12 +1,13 @@
 """Secret scans by grammar inference.
 
-Fixed patterns find labelled credentials. From a bounded sample of their values a prefix tree is built over character
-classes, and statistically compatible states are merged (ALERGIA: a state is compatible if the Hoeffding bound tells
+Fixed patterns find labelled credentials. From all of their distinct values that are not held out a prefix tree is counted over
+character classes, and statistically compatible states are merged (ALERGIA: a state is compatible if the Hoeffding bound tells
 neither its end nor any of its transitions apart, all the way down), which leaves a probabilistic automaton of each kind's
-format. All candidates of the corpus, labelled ones included (tokens of LEAST_ASSIGN characters or more), are then scored by
+format. The counts are taken in the tasks; the driver has the branches that most values take, STATES a kind at the utmost, and
+all the others' counts as one state that they lead to and stay in. All candidates of the corpus, labelled ones included (tokens of LEAST_ASSIGN characters or more), are then scored by
 their likelihood under the automata against a background of ordinary tokens. One that touches no labelled span is added if
 it scores above the cutoff. The cutoff lies between what held-out ordinary tokens of like length reach and what held-out
-labelled values do: at the score that RECALL of these reach, but never at one that more than 1 - ABOVE of the former do.
+labelled values do, over all of both: at the score that RECALL of these reach, but never at one that more than 1 - ABOVE of the former do.
 
 Cases: a null or empty text has no spans; without labelled credentials nothing is scored or added; repeated rows each get a
 row; offsets are code points, end exclusive; texts are scanned whole. Other columns are ignored.
@@ -21,7 +22,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.llm.common import cut
@@ -36,8 +38,8 @@ LEAST_ASSIGN = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_ASSIGN},}}")
 #: Candidates below and from this length on have cutoffs of their own, as ratios of short tokens spread more.
 LONG = 16
-#: Labelled values of each kind, and ordinary tokens, that the automata are fitted on: those of smallest hash.
-LABELLED, ORDINARY = 800, 3000
+#: States of a kind's prefix tree; scores that are put in order by the driver.
+STATES, AT_ONCE = 20_000, 10_000
 #: Significance of the merge test; share of held-out ordinary tokens that the cutoff lies above, and of held-out labelled values that should reach it.
 ALPHA, ABOVE, RECALL = 0.05, 0.999, 0.95
 
@@ -87,6 +89,11 @@ def shape(value: str) -> str:
     return "".join(map(char_class, value))
 
 
+def shapes(value: Column) -> Column:
+    """shape of a column of candidates."""
+    return F.translate(value, "123456789bcdefghijklmnopqrstuvwxyBCDEFGHIJKLMNOPQRSTUVWXY", "0" * 9 + "a" * 5 + "z" * 19 + "A" * 5 + "Z" * 19)
+
+
 class Automaton:
     """A deterministic probabilistic automaton: states have counts of arrivals, ends and transitions."""
 
@@ -94,6 +101,8 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[Counter] = [Counter()]
         self.ends, self.total = [0], [0]
+        #: What the branches hold that have no state of their own: transitions by class, arrivals, ends.
+        self.rare: tuple[Counter, int, int] = (Counter(), 0, 0)
         for v in values:
             at = 0
             self.total[0] += 1
@@ -109,6 +118,30 @@ class Automaton:
                 self.total[at] += 1
             self.ends[at] += 1
 
+    @classmethod
+    def counted(cls, nodes: list, edges: list, rare: tuple[Counter, int, int]) -> Automaton:
+        """From a tree's nodes (node, parent, c, n, ends; the root has no parent), the edges (parent, c, n) from these to rare branches, and what those hold."""
+        own, below = cls([]), defaultdict(list)
+        own.rare = rare
+        for x in nodes:
+            below[x["parent"]].append(x)
+        at = {None: None}
+        pending = sorted(below[None], key=lambda x: x["node"])
+        for x in pending:  # by level
+            at[x["node"]] = s = len(at) - 1
+            if s:
+                own.next.append({})
+                own.seen.append(Counter())
+                own.ends.append(0)
+                own.total.append(0)
+                own.next[at[x["parent"]]][x["c"]] = s
+                own.seen[at[x["parent"]]][x["c"]] = x["n"]
+            own.total[s], own.ends[s] = x["n"], x["ends"]
+            pending += sorted(below[x["node"]], key=lambda y: y["c"])
+        for x in edges:
+            own.seen[at[x["parent"]]][x["c"]] += x["n"]
+        return own
+
     def differ(self, x: int, n: int, y: int, m: int) -> bool:
         if not n or not m:
             return False
@@ -136,6 +169,8 @@ class Automaton:
             self.total[p] += self.total[q]
             for c, n in self.seen[q].items():
                 self.seen[p][c] += n
+                if c not in self.next[q]:
+                    continue
                 if c in self.next[p]:
                     pending.append((self.next[p][c], self.next[q][c]))
                 else:
@@ -171,8 +206,12 @@ class Automaton:
         steps, ends = [], []
         for s in order:
             whole = self.total[s] + 1.0
-            steps.append({c: (keep[self.next[s][c]], math.log(n / whole / _SIZE.get(c, 1))) for c, n in self.seen[s].items()})
+            steps.append({c: (keep[self.next[s][c]] if c in self.next[s] else len(order), math.log(n / whole / _SIZE.get(c, 1))) for c, n in self.seen[s].items()})
             ends.append(math.log(max(self.ends[s], 0.01) / whole))
+        seen, total, ended = self.rare
+        if total:
+            steps.append({c: (len(order), math.log(n / (total + 1.0) / _SIZE.get(c, 1))) for c, n in seen.items()})
+            ends.append(math.log(max(ended, 0.01) / (total + 1.0)))
         return steps, ends
 
 
@@ -193,12 +232,8 @@ def likelihood(model: tuple, value: str) -> float:
     return out + ends[at]
 
 
-def background(tokens: list[str]) -> dict:
+def background(pairs: dict[str, Counter]) -> dict:
     """Character bigrams of ordinary tokens, as log probabilities; '' begins a token."""
-    pairs: dict[str, Counter] = defaultdict(Counter)
-    for t in tokens:
-        for a, b in zip(["", *t], t):
-            pairs[a][b] += 1
     return {a: ({b: math.log((n + 0.1) / (sum(c.values()) + 8.0)) for b, n in c.items()}, math.log(0.1 / (sum(c.values()) + 8.0))) for a, c in pairs.items()}
 
 
@@ -224,34 +259,109 @@ class Model(NamedTuple):
     recall: tuple[float | None, float | None]
 
 
-def cutoff(ordinary: list[float], labelled: list[float]) -> tuple[float, float | None]:
+class Ordered:
+    """Any number of scores (x), in their order: one is found by counting in ranges that narrow down to few scores, or to equal ones."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = cut(rows.select("x"))
+        self.n, self.low, self.high = self.rows.agg(F.count("x"), F.min("x"), F.max("x")).first()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> float:
+        rows, n, low, high = self.rows, self.n, self.low, self.high
+        while n > AT_ONCE and low < high:
+            part = F.floor((F.col("x") - low) / ((high - low) / 1000))
+            for r in rows.groupBy(part.alias("part")).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("part").collect():
+                if k < r["n"]:
+                    break
+                k -= r["n"]
+            n, low, high = r["n"], r["low"], r["high"]
+            rows = rows.where(F.col("x").between(low, high))
+        return low if low == high else sorted(r["x"] for r in rows.collect())[k]
+
+    def above(self, least: float) -> int:
+        return self.rows.where(F.col("x") > least).count()
+
+
+def cutoff(ordinary: list[float] | Ordered, labelled: list[float] | Ordered) -> tuple[float, float | None]:
     """(the cutoff, the share of labelled scores above it) from held-out scores of both."""
-    ordinary, labelled = sorted(ordinary), sorted(labelled)
-    least = max(0.0, ordinary[min(len(ordinary) - 1, int(ABOVE * len(ordinary)))] if ordinary else 0.0)
+    ordinary, labelled = (sorted(x) if isinstance(x, list) else x for x in (ordinary, labelled))
+    least = max(0.0, ordinary[min(len(ordinary) - 1, int(ABOVE * len(ordinary)))] if len(ordinary) else 0.0)
     # just below the score that so many reach, if ordinary tokens leave that much room
-    at = labelled[int((1 - RECALL) * len(labelled))] if labelled else least
+    at = labelled[int((1 - RECALL) * len(labelled))] if len(labelled) else least
     cut_at = max(least, math.nextafter(at, -math.inf))
-    return cut_at, sum(x > cut_at for x in labelled) / len(labelled) if labelled else None
+    above = labelled.above(cut_at) if isinstance(labelled, Ordered) else sum(x > cut_at for x in labelled)
+    return cut_at, above / len(labelled) if len(labelled) else None
+
+
+def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, node, parent, c, n, ends): the prefixes of shapes (kind, shape, n), named by chained hashes."""
+    for b in batches:
+        out = []
+        for kind, value, n in zip(*(x.to_pylist() for x in b.columns)):
+            node, parent, c = xxhash.xxh64_intdigest(kind) >> 1, None, ""
+            out.append((kind, node, parent, c, n, 0 if value else n))
+            for k, c in enumerate(value, 1):
+                parent, node = node, xxhash.xxh64_intdigest(f"{node}{c}") >> 1
+                out.append((kind, node, parent, c, n, n if k == len(value) else 0))
+        if out:
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), types)], names=["kind", "node", "parent", "c", "n", "ends"])
+
+
+def automata(values: DataFrame) -> list[tuple]:
+    """The merged automaton of each kind of values (kind, value)."""
+    counts = values.groupBy("kind", shapes(F.col("value")).alias("shape")).agg(F.count("*").alias("n"))
+    tree = counts.mapInArrow(grown, "kind string, node bigint, parent bigint, c string, n bigint, ends bigint")
+    tree = cut(tree.groupBy("kind", "node", "parent", "c").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    out = []
+    arrivals = {r["kind"]: r["n"] for r in tree.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    for kind in (k for k in KINDS if k in arrivals):
+        own, often = tree.where(F.col("kind") == kind), F.col("parent").isNull() | (F.col("n") > arrivals[kind] // STATES)
+        nodes = own.where(often).collect()  # the arrivals at these are at most all: no more than STATES
+        seen, total, ended, edges = Counter(), 0, 0, []
+        for r in own.where(~often).groupBy("c").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).collect():
+            seen[r["c"]], total, ended = r["n"], total + r["n"], ended + r["ends"]
+        if total:
+            edges = own.where(~often).join(own.where(often).select(F.col("node").alias("parent")), "parent", "left_semi").select("parent", "c", "n").collect()
+            for r in edges:
+                seen[r["c"]] -= r["n"]
+        out.append(Automaton.counted(nodes, edges, (+seen, total, ended)).merged().table())
+    return out
+
+
+def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pairs = Counter(p for t in b.column(0).to_pylist() for p in zip(["", *t], t))
+        if pairs:
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "n": pa.array(pairs.values(), pa.int64())})
 
 
 def fitted(found: DataFrame) -> Model | None:
-    """The automata, the background and the cutoffs, from bounded samples of what was found; every second value of each is held out."""
-    values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
-    automata, held = [], []
-    for kind in KINDS[:3]:
-        rows = [r["value"] for r in values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(LABELLED).collect()]
-        if rows:
-            automata.append(Automaton([shape(v) for v in rows[::2]]).merged().table())
-            held += rows[1::2]
-    tokens = found.select(F.explode("candidates").alias("s")).select("s.value").where(~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))).distinct()  # words, and numbers such as addresses
-    bands = [tokens.where(w).orderBy(F.xxhash64("value"), "value").limit(ORDINARY) for w in (F.length("value") < LONG, F.length("value") >= LONG)]
-    bands = [[r[0] for r in b.collect()] for b in bands]
-    if not automata:
+    """The automata, the background and the cutoffs, from all distinct values and tokens found; about every second one of each is held out."""
+    held_out = F.pmod(F.xxhash64("value"), F.lit(2)) == 1
+    values = cut(found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct().withColumn("held", held_out))
+    lone = [r["kind"] for r in values.groupBy("kind").agg(F.min("held").alias("held")).where("held").collect()]  # no value is left to learn from
+    values = values.withColumn("held", F.col("held") & ~F.col("kind").isin(lone))
+    models = automata(values.where("not held"))
+    if not models:
         return None
-    base = background([t for b in bands for t in b[::2]])
-    score = lambda values: [ratio(automata, base, v) for v in values]
-    made = [cutoff(score(b[1::2]), score(v for v in held if (len(v) >= LONG) == long)) for long, b in enumerate(bands)]
-    return Model(automata, base, *zip(*made))
+    tokens = found.select(F.explode("candidates").alias("s")).select("s.value").where(~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))  # words, and numbers such as addresses
+    tokens = cut(tokens.distinct().withColumn("held", held_out))
+    pairs: dict[str, Counter] = defaultdict(Counter)
+    for r in tokens.where("not held").select("value").mapInArrow(bigrams, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # pairs of characters
+        pairs[r["a"]][r["b"]] = r["n"]
+    base = background(pairs)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"long": pa.array([len(v) >= LONG for v in b.column(0).to_pylist()], pa.bool_()), "x": pa.array([ratio(models, base, v) for v in b.column(0).to_pylist()], pa.float64())})
+
+    scored = [cut(d.where("held").select("value").mapInArrow(score, "long boolean, x double")) for d in (tokens, values)]
+    made = [cutoff(*(Ordered(s.where(w)) for s in scored)) for w in ("not long", "long")]
+    return Model(models, base, *zip(*made))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import time
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from matchlake.llm import pii, queries, secret_scan, warc
 
@@ -278,3 +279,41 @@ def test_cutoffs_keep_to_both_sides():
     cut, recall = secret_scan.cutoff([-1.0] * 100, [k / 100 for k in range(1, 101)])
     assert 0 < cut < 0.07 and recall >= secret_scan.RECALL
     assert secret_scan.cutoff([], []) == (0.0, None)
+
+
+def test_all_values_and_tokens_are_learnt_from(spark):
+    """Also those whose hash is not among the smallest, of thousands."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("ghijklmnop") for _ in range(n))
+    rare = spark.createDataFrame([(word(14) + "=",) for _ in range(4000)], "value string").orderBy(F.xxhash64("value").desc()).limit(12)
+    odd = [x.value for x in rare.collect()]
+    base = [("assign", word(15)) for _ in range(3000)] + [("assign", v) for v in odd]
+    rows = [([(k, 0, 1, v)], [(0, 1, word(13)), (2, 3, f"{word(12)}+{word(3)}")]) for k, v in base]
+    found = spark.createDataFrame(rows, "base array<struct<kind:string,start:bigint,end:bigint,value:string>>, candidates array<struct<start:bigint,end:bigint,value:string>>")
+    model = secret_scan.fitted(found)
+    assert any("=" in s for s in model.automata[0][0])
+    n = {a: sum(1 for _ in c[0]) for a, c in model.background.items()}
+    assert n[""] == 10 and "+" in model.background
+
+
+def test_the_counted_tree_is_that_of_all_values(spark, monkeypatch):
+    r = random.Random(10)
+    values = ["".join(r.choice(s) for s in ("k", "09", "09az", "az", "AZ", "0A", "z")[: r.randrange(4, 8)]) for _ in range(400)]
+    df = spark.createDataFrame([("hex", v) for v in values], "kind string, value string")
+    want = secret_scan.Automaton([secret_scan.shape(v) for v in values]).merged().table()
+    like = lambda m: [secret_scan.likelihood(m, v) for v in values]
+    assert like(secret_scan.automata(df)[0]) == pytest.approx(like(want))
+    monkeypatch.setattr(secret_scan, "STATES", 12)
+    merged, kept = secret_scan.Automaton.merged, []
+    monkeypatch.setattr(secret_scan.Automaton, "merged", lambda a: kept.append((len(a.total), sum(a.total) + a.rare[1], sum(a.ends) + a.rare[2])) or merged(a))
+    steps, ends = secret_scan.automata(df)[0]
+    assert kept[0][0] <= 13 and kept[0][1:] == (sum(len(v) + 1 for v in values), len(values))  # every arrival and end is counted
+    assert len(steps) == len(ends) <= 14 and all(0 <= to < len(steps) for s in steps for to, _ in s.values())
+
+
+def test_scores_are_found_by_their_order(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "AT_ONCE", 7)
+    r = random.Random(11)
+    xs = [r.choice([r.random(), 0.25, -3.0]) for _ in range(900)]
+    got = secret_scan.Ordered(spark.createDataFrame([(x,) for x in xs], "x double"))
+    assert [got[k] for k in (0, 1, 450, 898, 899)] == [sorted(xs)[k] for k in (0, 1, 450, 898, 899)] and got.above(0.25) == sum(x > 0.25 for x in xs) and len(got) == 900
