@@ -44,6 +44,8 @@ PRINTS, BITS, ROUNDS = 20, 32, 2
 HALVES, NEAREST = 2, 2
 #: Texts of one value, sorted, that a text is held against on either side in the rounds of nearest ones.
 NEIGHBOURS = 256
+#: Pairs of the rest that are looked at together.
+REST_PAIRS = 1_000_000
 #: Texts of a task on average, and texts that share a smallest hash beyond which they are dealt out to several tasks.
 PER_TASK, SPLIT_AT = 50_000, 20_000
 #: Distinct texts' fingerprints (0.4 kB each) and pairs of a task on average.
@@ -128,10 +130,11 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"`{id_col}` {kind}, text_hash bigint, same binary, n bigint, least array<bigint>, bits array<bigint>")
 
 
-def entries(reps: DataFrame, labels: DataFrame | None, turn: int, least: float) -> DataFrame:
+def entries(reps: DataFrame, labels: DataFrame | None, turn: int, least: float, whole: bool = False) -> DataFrame:
     """(task, key, bits, s0.., node, n, label): what meets where in this turn's fingerprints of reps (node, n, least, bits), labelled by labels (node, root) or
     else by node. Smallest hashes of one label alone are left out; texts of one that many share are dealt out by some of their bits, drawn for the turn.
-    The first turns carry 128 of the bits, the others all."""
+    The first turns carry 128 of the bits, the others all. With whole, what many share is dealt out by the values of its balls instead: each text goes to the
+    task of each, so that all that meet do so in some task."""
     early = turn < ROUNDS
     ks = [k for k in range(PRINTS) if (k % ROUNDS == turn if early else k % HALVES == turn % HALVES)]
     words = range(2 if early else WORDS)
@@ -145,6 +148,9 @@ def entries(reps: DataFrame, labels: DataFrame | None, turn: int, least: float)
     keys = keys.select("key", F.when(F.col("size") > SPLIT_AT, F.least(F.lit(16), F.ceil(F.log2(F.col("size") / SPLIT_AT)))).cast("int").alias("depth"))
     each = cut(each.join(keys, "key"))
     n_tasks = max(1, 2 ** ceil(log2(max(1, each.count() / PER_TASK))))
+    if whole:
+        near = F.transform(F.array(*(F.lit(int(v)) for v in ball(width(least)))), lambda v: F.xxhash64("key", F.col("bits").bitwiseXOR(v.cast("bigint"))).bitwiseOR(F.lit(-(1 << 63))))
+        return each.withColumn("task", F.explode(F.when(F.col("depth").isNull(), F.array(F.pmod("key", F.lit(n_tasks)))).otherwise(near))).drop("depth", "digits")
     deep = F.xxhash64("key", F.substring("digits", F.lit(1), F.col("depth"))).bitwiseOR(F.lit(-(1 << 63)))
     return each.withColumn("task", F.when(F.col("depth").isNull(), F.pmod("key", F.lit(n_tasks))).otherwise(deep)).drop("depth", "digits")
 
@@ -232,6 +238,38 @@ def compared(live: DataFrame, turn: int, least: float) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def rest(live: DataFrame, least: float) -> DataFrame:
+    """All pairs of nodes (a, b), a > b, of entries (whole) that share a value, have different labels and may be alike: what the turns' fewest pairs left."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, bits, node, label, n = (t.column(c).to_numpy() for c in ("key", "bits", "node", "label", "n"))
+        sketch = np.stack([t.column(f"s{k}").to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+        values, most = ball(width(least)), farthest(least, 64 * WORDS)
+        owner = np.repeat(np.arange(len(bits)), len(values))
+        at = spread((bits.astype(np.uint64)[:, None] ^ values[None, :]).ravel() ^ spread(key[owner].view(np.uint64)))
+        by = np.lexsort((label[owner], at))
+        at, owner = at[by], owner[by]
+        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
+        runs = np.flatnonzero(np.append((at[1:] != at[:-1]) | (label[owner][1:] != label[owner][:-1]), True)) + 1
+        # one is held against those of later labels of its value: from where its label ends to where the value does
+        here = np.arange(len(at))
+        begin, end = runs[np.searchsorted(runs, here, side="right")], ends[np.searchsorted(ends, here, side="right")]
+        count, made = end - begin, []
+        here, begin, count = here[count > 0], begin[count > 0], count[count > 0]
+        blocks = np.flatnonzero(np.diff(np.append(-1, np.cumsum(count) // REST_PAIRS)))
+        for x, y in zip(blocks, np.append(blocks[1:], len(here))):
+            c = count[x:y]
+            a, b = owner[np.repeat(here[x:y], c)], owner[np.repeat(begin[x:y] - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())]
+            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            a, b = (v[lo >= least * hi] for v in (a, b))
+            ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most
+            made.append(np.unique(np.stack([np.maximum(node[a[ok]], node[b[ok]]), np.minimum(node[a[ok]], node[b[ok]])]), axis=1))
+        pair = np.unique(np.concatenate(made, axis=1), axis=1) if made else np.zeros((2, 0), dtype=np.int64)
+        return pa.table({"a": pair[0], "b": pair[1]})
+
+    return live.groupBy("task").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of nodes: the text of the row that stands for it."""
     wanted = reps.join(nodes, "node", "left_semi").select("node", "nameless", F.coalesce("id", F.lit(0)).alias("id"), "text_hash")
@@ -273,9 +311,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     # texts of one id are one document
     of_id = placed.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b <> _last")
     tried, labels = None, components(placed.join(of_id, id_col).where("node <> b").select(F.col("node").alias("a"), "b"))
-    turn = 0
-    while True:
-        pairs = compared(entries(reps, labels, turn, least), turn, least)
+    turn, left = 0, 0
+    while left < HALVES:  # at last, all that the turns left, a half of the fingerprints after the other
+        if left or turn >= ROUNDS + HALVES and not linked:
+            pairs, left = rest(entries(reps, labels, ROUNDS + left, least, True), least), left + 1
+        else:
+            pairs = compared(entries(reps, labels, turn, least), turn, least)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         n_pairs = pairs.count()
         pairs = packed(pairs, n_pairs, PAIRS_PER_TASK)
@@ -288,8 +329,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
                 linked = True
                 labels = components(packed(links, n_links, PAIRS_PER_TASK).union(labels), n_links + labels.count())  # what earlier links joined is a star
         turn += 1
-        if turn >= ROUNDS + HALVES and not linked:
-            break
     found = named_components(reps.select("node", "id"), labels)
     return cut(placed.join(found, "node").drop("node"))
 

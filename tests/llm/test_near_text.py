@@ -138,3 +138,19 @@ def test_lower_similarity(spark):
     want = [k for k, (x, y) in enumerate(own) if len(x & y) / len(x | y) >= 0.6]
     got = {x.doc_id: x.component_id for x in near_text.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), least=0.6).collect()}
     assert len(want) > 60 and sum(got[2 * k + 1] == 2 * k for k in want) >= 0.98 * len(want)
+
+
+def test_what_the_turns_leave_is_compared_in_full(spark, monkeypatch):
+    """All pairs that meet, also without any of the turns' pairs, where texts of one smallest hash are dealt out."""
+    r = random.Random(21)
+    shared, rows = [f"s{k}" for k in range(60)], []
+    for f in range(8):
+        own = shared + [f"w{r.randrange(10**6)}" for _ in range(60)]
+        for k in range(3):
+            rows.append((f * 3 + k, " ".join(own[:-1] + [f"x{f}{k}"])))
+    plain = near_text.compared
+    monkeypatch.setattr(near_text, "compared", lambda *args: plain(*args).where("false"))
+    monkeypatch.setattr(near_text, "SPLIT_AT", 4)
+    monkeypatch.setattr(near_text, "REST_PAIRS", 50)
+    got = {x.doc_id: x.component_id for x in near_text.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i // 3 * 3 for i, _ in rows}
