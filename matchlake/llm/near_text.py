@@ -15,8 +15,12 @@ ROUNDS rounds, over some of the fingerprints each, those of a value are held aga
 all, and what these links join needs no further pair. Then, over half of the fingerprints each, a text that still meets other components is held against
 the two of these that differ from it in the fewest bits, until a round links nothing. A value that more than NEIGHBOURS texts
 share is sorted by bits drawn anew for each fingerprint and round, and a text looks at its neighbours there; a smallest hash that over SPLIT_AT texts
-share is dealt out by such bits as well, so that no text is copied. So a link may be lost if a text
-has many others nearer by their bits that are below the similarity. Measured on made pairs at 0.8 in families of texts just below it: see the tests and README.
+share is dealt out by such bits as well, so that no text is copied.
+
+At last come all pairs that the rounds left. Texts that share any value with one of another component are joined by their shingles themselves, exactly: in one
+order of all shingles, rare ones first, texts so alike have one in common among the first tenth or fifth of each (see rest). Texts that differ from a
+template in more than that meet in what they have of their own, where they mostly are alone, and those that differ less are mostly linked by then. How rare a shingle is
+is told by a table of fixed size: it sets how many pairs are made, not which links are found.
 
 Cases: ids are integers, any of them; rows of one id are one document; texts of equal shingles collapse before the search, so copies cost
 one entry; a null or empty text has no shingles, and all such are alike; fewer words than a shingle make one shingle; rows
@@ -25,7 +29,7 @@ without an id are compared like others and link what they are near, but name no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from math import ceil, comb, log2
 
@@ -44,8 +48,10 @@ PRINTS, BITS, ROUNDS = 20, 32, 2
 HALVES, NEAREST = 2, 2
 #: Texts of one value, sorted, that a text is held against on either side in the rounds of nearest ones.
 NEIGHBOURS = 256
-#: Pairs of the rest that are looked at together.
-REST_PAIRS = 1_000_000
+#: Pairs of the rest that are looked at together, and the bits of the table (4 MB) that tells rare shingles of the rest from frequent ones.
+REST_PAIRS, SLOT_BITS = 1_000_000, 22
+#: Slots of the rest's texts, of each of which it is known whether an odd number of a text's shingles fall into it: 128 bytes.
+ODD = 1024
 #: Texts of a task on average, and texts that share a smallest hash beyond which they are dealt out to several tasks.
 PER_TASK, SPLIT_AT = 50_000, 20_000
 #: Distinct texts' fingerprints (0.4 kB each) and pairs of a task on average.
@@ -133,11 +139,11 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def entries(reps: DataFrame, labels: DataFrame | None, turn: int, least: float, whole: bool = False) -> DataFrame:
     """(task, key, bits, s0.., node, n, label): what meets where in this turn's fingerprints of reps (node, n, least, bits), labelled by labels (node, root) or
     else by node. Smallest hashes of one label alone are left out; texts of one that many share are dealt out by some of their bits, drawn for the turn.
-    The first turns carry 128 of the bits, the others all. With whole, what many share is dealt out by the values of its balls instead: each text goes to the
+    The first turns carry 128 of the bits, the others all. With whole, none are carried, and what many share is dealt out by the values of its balls instead: each text goes to the
     task of each, so that all that meet do so in some task."""
     early = turn < ROUNDS
     ks = [k for k in range(PRINTS) if (k % ROUNDS == turn if early else k % HALVES == turn % HALVES)]
-    words = range(2 if early else WORDS)
+    words = range(0 if whole else 2 if early else WORDS)
     own = reps.withColumn("label", F.col("node")) if labels is None else reps.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
     each = own.select("node", "label", "n", "bits", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.get("least", F.lit(k)).alias("least"), F.get("bits", F.lit(k)).alias("bits")) for k in ks))).alias("x"))
     drawn_bits = np.random.default_rng([turn, 640]).permutation(PRINTS * BITS)[:16].tolist()
@@ -238,36 +244,134 @@ def compared(live: DataFrame, turn: int, least: float) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def rest(live: DataFrame, least: float) -> DataFrame:
-    """All pairs of nodes (a, b), a > b, of entries (whole) that share a value, have different labels and may be alike: what the turns' fewest pairs left."""
+def unlinked(live: DataFrame, least: float) -> DataFrame:
+    """(node) of entries (whole) that share a value with one of another label; the others can meet nothing that is new to them."""
 
     def meet(t: pa.Table) -> pa.Table:
-        key, bits, node, label, n = (t.column(c).to_numpy() for c in ("key", "bits", "node", "label", "n"))
-        sketch = np.stack([t.column(f"s{k}").to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
-        values, most = ball(width(least)), farthest(least, 64 * WORDS)
+        key, bits, node, label = (t.column(c).to_numpy() for c in ("key", "bits", "node", "label"))
+        values = ball(width(least))
         owner = np.repeat(np.arange(len(bits)), len(values))
         at = spread((bits.astype(np.uint64)[:, None] ^ values[None, :]).ravel() ^ spread(key[owner].view(np.uint64)))
-        by = np.lexsort((label[owner], at))
+        by = np.argsort(at)
         at, owner = at[by], owner[by]
-        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
-        runs = np.flatnonzero(np.append((at[1:] != at[:-1]) | (label[owner][1:] != label[owner][:-1]), True)) + 1
-        # one is held against those of later labels of its value: from where its label ends to where the value does
-        here = np.arange(len(at))
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        mixed = np.minimum.reduceat(label[owner], first) != np.maximum.reduceat(label[owner], first)
+        return pa.table({"node": np.unique(node[owner[np.repeat(mixed, np.diff(np.append(first, len(at))))]])})
+
+    return live.groupBy("task").applyInArrow(meet, "node bigint").distinct()
+
+
+def sets_of(texts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, label, n, text) of texts (node, text): the shingles' hashes as bytes, for a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "label", "n", "text"])
+
+    own = texts.withColumn("label", F.col("node")) if labels is None else texts.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    return own.select("node", "label", "text").mapInArrow(run, "node bigint, label bigint, n bigint, text binary")
+
+
+def set_of(packed_hashes: bytes) -> np.ndarray:
+    return np.frombuffer(packed_hashes, dtype=np.uint64)
+
+
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (spread(h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in sets, as binary digits of the count, by slots that shingles are hashed to: 0 none, 1 once. At most 2^SLOT_BITS bytes, however many shingles."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(SLOT_BITS, max(16, ceil(log2(max(total, 1)))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, dtype=np.int64)
+        for b in batches:
+            for h in b.column(0).to_pylist():
+                np.add.at(seen, slots(set_of(h), bits), 1)
+        for k, part in enumerate(seen.reshape(-1, 1 << 16)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        seen = sum(np.frombuffer(c, dtype=np.int64) for c in t.column("counts").to_pylist())
+        return pa.table({"block": [key[0].as_py()], "digits": pa.array([np.frexp(seen)[1].astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits >> 16, 1 << 16), dtype=np.uint8)
+    for block, digits in sets.select("text").mapInArrow(count, "block bigint, counts binary").groupBy("block").applyInArrow(add, "block bigint, digits binary").collect():
+        out[block] = np.frombuffer(digits, dtype=np.uint8)
+    return out.ravel()
+
+
+def prefixes(sets: DataFrame, digits: np.ndarray, least: float) -> DataFrame:
+    """(token, pos, n, node, label, odd): the first shingles of each set (node, label, n, text), rare ones first and all in one order, of which texts so alike have one
+    in common; without those that one text alone has. odd: of ODD slots, which ones an odd number of the set's shingles fall into."""
+    bits = len(digits).bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, odd = [], []
+            for node, label, packed_hashes in zip(*(b.column(c).to_pylist() for c in (0, 1, 2))):
+                h = set_of(packed_hashes)
+                often = digits[slots(h, bits)]
+                order = np.lexsort((h, often))[: len(h) - ceil(least * len(h) - 1e-6) + 1]
+                pos = np.flatnonzero(often[order] > 1)
+                made.append(np.stack([h[order[pos]].view(np.int64), pos, *(np.full(len(pos), x) for x in (len(h), node, label))]))
+                odd += [np.packbits(np.bincount(slots(h, ODD.bit_length() - 1), minlength=ODD).astype(np.uint8) & 1).tobytes()] * len(pos)
+            if made:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.concatenate(made, axis=1)), pa.array(odd, pa.binary())], names=["token", "pos", "n", "node", "label", "odd"])
+
+    return sets.select("node", "label", "text").mapInArrow(run, "token bigint, pos bigint, n bigint, node bigint, label bigint, odd binary")
+
+
+def rest(first: DataFrame, least: float) -> DataFrame:
+    """All pairs of nodes (a, b), a > b, of different labels whose first shingles and odd slots (prefixes) leave room for so much in common.
+
+    Texts of nx and ny shingles are so alike only if they share o = least / (1 + least) * (nx + ny). The first that they share, in the one order, stands before
+    the o - 1 others in both: at nx - o in the one and ny - o in the other at most. So every pair so alike meets at that shingle and passes.
+    A slot is odd in just one of them only if a shingle of just one of them falls into it, and of those there are nx + ny - 2 * o at most: no pair so alike is dropped."""
+    rate = least / (1 + least)
+    parts = F.ceil(F.col("count") / SPLIT_AT).cast("int").alias("parts")
+    hot = cut(first.groupBy("token").count().where(F.col("count") > SPLIT_AT).select("token", parts))
+    n_tasks = max(1, ceil(first.count() / PER_TASK))
+    first = first.withColumn("task", F.xxhash64(F.pmod("token", F.lit(n_tasks))))
+    if not hot.isEmpty():  # a shingle of many is dealt out: a task for any two parts of its texts
+        dealt = first.join(F.broadcast(hot), "token", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        first = dealt.withColumn("task", F.when(F.col("parts").isNull(), F.col("task")).otherwise(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))))
+
+    def meet(t: pa.Table) -> pa.Table:
+        token, label, pos, n, node = (t.column(c).to_numpy() for c in ("token", "label", "pos", "n", "node"))
+        by = np.lexsort((label, token))
+        begins = np.flatnonzero(np.append(True, token[by][1:] != token[by][:-1]))
+        # the smaller of two, or either of equal ones, has it among its very first; others need one that is smaller by enough
+        early = pos <= n - np.ceil(2 * rate * n - 1e-6)
+        smallest = np.repeat(np.minimum.reduceat(np.where(early, n, 1 << 62)[by], begins), np.diff(np.append(begins, len(by))))
+        by = by[early[by] | ((n - pos)[by] / rate - n[by] + 1e-6 >= smallest)]
+        token, label, pos, n, node = (x[by] for x in (token, label, pos, n, node))
+        odd = np.frombuffer(b"".join(t.column("odd").take(by).to_pylist()), dtype=np.uint64).reshape(len(by), ODD // 64)
+        ends = np.flatnonzero(np.append(token[1:] != token[:-1], True)) + 1 if len(by) else by
+        runs = np.flatnonzero(np.append((token[1:] != token[:-1]) | (label[1:] != label[:-1]), True)) + 1 if len(by) else by
+        # one is held against those of later labels: from where its label ends to where its shingle does
+        here = np.arange(len(by))
         begin, end = runs[np.searchsorted(runs, here, side="right")], ends[np.searchsorted(ends, here, side="right")]
         count, made = end - begin, []
         here, begin, count = here[count > 0], begin[count > 0], count[count > 0]
         blocks = np.flatnonzero(np.diff(np.append(-1, np.cumsum(count) // REST_PAIRS)))
         for x, y in zip(blocks, np.append(blocks[1:], len(here))):
             c = count[x:y]
-            a, b = owner[np.repeat(here[x:y], c)], owner[np.repeat(begin[x:y] - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())]
-            lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            a, b = (v[lo >= least * hi] for v in (a, b))
-            ok = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most
+            a, b = np.repeat(here[x:y], c), np.repeat(begin[x:y] - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
+            common = np.ceil(rate * (n[a] + n[b]) - 1e-6)
+            ok = (pos[a] <= n[a] - common) & (pos[b] <= n[b] - common) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
+            a, b, common = a[ok], b[ok], common[ok]
+            ok = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b] - 2 * common
             made.append(np.unique(np.stack([np.maximum(node[a[ok]], node[b[ok]]), np.minimum(node[a[ok]], node[b[ok]])]), axis=1))
         pair = np.unique(np.concatenate(made, axis=1), axis=1) if made else np.zeros((2, 0), dtype=np.int64)
         return pa.table({"a": pair[0], "b": pair[1]})
 
-    return live.groupBy("task").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return first.groupBy("task").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -278,8 +382,8 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, nodes
     return rows.join(wanted, ["nameless", "id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts (node, text) are at least so similar."""
+def verified(pairs: DataFrame, texts: DataFrame, least: float, of: Callable[[bytes | None], np.ndarray] = shingles) -> DataFrame:
+    """Those of pairs (a, b) whose texts (node, text) are at least so similar; of gives a text's shingles."""
     a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +391,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             keep, before, own = [], None, None
             for i, p, q in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
                 if i != before:  # pairs of one text mostly come together
-                    before, own = i, shingles(p)
-                keep.append(jaccard(own, shingles(q)) >= least)
+                    before, own = i, of(p)
+                keep.append(jaccard(own, of(q)) >= least)
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
@@ -311,12 +415,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     # texts of one id are one document
     of_id = placed.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b <> _last")
     tried, labels = None, components(placed.join(of_id, id_col).where("node <> b").select(F.col("node").alias("a"), "b"))
-    turn, left = 0, 0
-    while left < HALVES:  # at last, all that the turns left, a half of the fingerprints after the other
-        if left or turn >= ROUNDS + HALVES and not linked:
-            pairs, left = rest(entries(reps, labels, ROUNDS + left, least, True), least), left + 1
-        else:
-            pairs = compared(entries(reps, labels, turn, least), turn, least)
+    turn, linked = 0, True
+    while turn < ROUNDS + HALVES or linked:
+        pairs = compared(entries(reps, labels, turn, least), turn, least)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         n_pairs = pairs.count()
         pairs = packed(pairs, n_pairs, PAIRS_PER_TASK)
@@ -329,6 +430,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
                 linked = True
                 labels = components(packed(links, n_links, PAIRS_PER_TASK).union(labels), n_links + labels.count())  # what earlier links joined is a star
         turn += 1
+    # at last, all that the turns left
+    nodes = None
+    for half in range(HALVES):
+        some = cut(unlinked(entries(reps, labels, ROUNDS + half, least, True), least))
+        nodes = some if nodes is None else nodes.union(some).distinct()
+    if n_nodes := (nodes := cut(nodes)).count():
+        sets = cut(sets_of(texts_of(docs, id_col, text_col, reps, packed(nodes, n_nodes, TEXTS_PER_TASK)), labels))
+        sets = packed(sets, n_nodes, TEXTS_PER_TASK)
+        pairs = cut(rest(cut(prefixes(sets, frequencies(sets), least)), least).join(tried, ["a", "b"], "left_anti"))
+        if n_pairs := pairs.count():
+            links = cut(verified(packed(pairs, n_pairs, PAIRS_PER_TASK), sets.select("node", "text"), least, set_of))
+            if n_links := links.count():
+                labels = components(packed(links, n_links, PAIRS_PER_TASK).union(labels), n_links + labels.count())
     found = named_components(reps.select("node", "id"), labels)
     return cut(placed.join(found, "node").drop("node"))
 

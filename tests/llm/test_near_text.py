@@ -154,3 +154,43 @@ def test_what_the_turns_leave_is_compared_in_full(spark, monkeypatch):
     monkeypatch.setattr(near_text, "REST_PAIRS", 50)
     got = {x.doc_id: x.component_id for x in near_text.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: i // 3 * 3 for i, _ in rows}
+
+
+def test_the_rest_of_a_template_grows_with_its_texts(spark, monkeypatch):
+    """Texts of a template just below the similarity: when all pairs that meet were compared, 300 texts left 890."""
+    plain, left = near_text.rest, []
+
+    def counting(*args):
+        out = near_text.cut(plain(*args))
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "rest", counting)
+    for n in (300, 600):
+        left.clear()
+        near_text.near_duplicates(spark.createDataFrame(families(n), "doc_id bigint, text string")).count()
+        assert sum(left) <= n, (n, left)
+
+
+def test_the_rest_loses_no_pair(spark, monkeypatch):
+    """Against all pairs, where shingles of many are dealt out, at two similarities, over texts of many sizes, and labels that leave pairs within them out."""
+    monkeypatch.setattr(near_text, "SPLIT_AT", 7)
+    monkeypatch.setattr(near_text, "REST_PAIRS", 50)
+    r = random.Random(3)
+    rows = [t for _, t in families(60, near=40) + made(25)]
+    for t in rows[:40]:
+        w = t.split()
+        rows.append(" ".join(w[: len(w) - r.randrange(1, 40)]))
+    rows = list(dict.fromkeys(rows)) + ["", "one two", "one two three"]
+    own = [sets(t) for t in rows]
+    texts = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(rows)], "node bigint, text binary")
+    labels = spark.createDataFrame([(i, i // 4 * 4) for i in range(0, len(rows), 3)], "node bigint, root bigint")
+    label = {i: i // 4 * 4 if i % 3 == 0 else i for i in range(len(rows))}
+    made_sets = near_text.cut(near_text.sets_of(texts, labels))
+    for least in (0.8, 0.6):
+        pairs = near_text.rest(near_text.cut(near_text.prefixes(made_sets, near_text.frequencies(made_sets), least)), least)
+        got = {(x.a, x.b) for x in pairs.collect()}
+        want = {(a, b) for b, a in combinations(range(len(rows)), 2) if own[a] and len(own[a] & own[b]) / len(own[a] | own[b]) >= least and label[a] != label[b]}
+        assert len(want) > 60 and want <= got and all(label[a] != label[b] for a, b in got)
+        found = near_text.verified(pairs, made_sets.select("node", "text"), least, near_text.set_of)
+        assert {(x.a, x.b) for x in found.collect()} == want
