@@ -41,3 +41,20 @@ def test_query(spark, duck, name):
     got, want = plans.QUERIES[name](spark, SF).toPandas(), duck.execute(plans.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["vote_winner", "vote_distances", "status", "promotions"])
+def test_readings_round_as_sql_does(spark, tmp_path, name):
+    """Shares whose fourth place is a five: some lie above it in doubles, some below."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    values = [5.85, 17.15, 40.55, 50.05, 50.15, 50.25, 50.55, 50.65, 40.45, 12.0, float("nan"), -40.55, 250.0, None]
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, '2024-01-01 10:00:00', ?, 'view', ?, '')", [(40 * k + j - 400, 100 * (k % 14) + j, v) for k, v in enumerate(values * 3) for j in range(4)])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        if t != "events":
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = plans.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(plans.SQL[name]).df()
+    assert len(want) and rows(got) == rows(want)
