@@ -93,3 +93,21 @@ def test_sinks(spark, tmp_path):
     io.emit(df, str(tmp_path / "e"))
     lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "e")).collect())
     assert lines == ['{"id":"a","n":1}', '{"id":"b","note":"x","n":2}']
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_judged_titles_have_the_reasons_of_their_records(spark, monkeypatch, most):
+    """Reasons without resolving players, with odd tokens held by tasks and joined."""
+    monkeypatch.setattr(titles, "MOST", most)
+    sides = ["Ana (Vi/Jinx)", "Ben + Cy (Ekko/Ahri)", "Ana (Vi)", "Ana (Vi-Jinx-Ahri)", "Ana (Vi/Nobody)", "Ana (Vi/Jinxx)", "Ana (nerfed Vi/Jinx)", " & (Vi/Jinx)", "Rank 1 NA Ana (Nobody/Ekkko/Nobody)", "Ana ()"]
+    made = [f"ARENA ▰ {x} vs {sides[(k + s) % len(sides)]} ▰ High Level" for s in (0, 3, 4) for k, x in enumerate(sides)] + ["no shape", "", None, "ARENA ▰ Ana (Vi/Jinx) beats Ben (Ekko/Ahri)"]
+    raw = spark.createDataFrame([(k, f"i{k}", "c", t, "", "2026-01-01", "", 1, 2) for k, t in enumerate(made)], "ord bigint, id string, channel string, title string, description string, publishedAt string, thumbnail string, durationSec int, viewCount bigint")
+    names = spark.createDataFrame([(0, "vi", "Vi", None), (1, "jinx", "Jinx", None), (2, "ekko", "Ekko", None), (3, "ahri", "Ahri", None)], "ord int, id string, name string, aliases array<string>")
+    seasons = spark.createDataFrame([(0, "2025-01-01", None, None)], periods.SEASONS)
+    records, _ = titles.build_records(raw, names, names.where("false"), [], seasons, spark.createDataFrame([], periods.PATCHES), "ARENA")
+    got = {r.id: (r.reasons, r.parseConfidence) for r in titles.judged(raw, names, "ARENA").collect()}
+    want = {r.id: (r.reasons, r.parseConfidence) for r in records.collect()}
+    assert got == want and len(got) == len(made)
+    said = str(want)
+    assert all(x in said for x in ("unresolved character", "fuzzy character", "no players parsed", "0 character(s)", "3 character(s)", "team-split", "'high'"))
+    assert {r.id: r.reasons for r in titles.low_confidence(titles.judged(raw, names, "ARENA")).collect()} == {k: w for k, (w, c) in want.items() if c == "low"}

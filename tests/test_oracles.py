@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from matchlake import plans
+from matchlake.operators import checkpoints
+from matchlake.plans import proxies as V
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,3 +60,15 @@ def test_readings_round_as_sql_does(spark, tmp_path, name):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = plans.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(plans.SQL[name]).df()
     assert len(want) and rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_low_confidence_keeps_and_moves_little(spark):
+    """Kept files hold no titles, and a record's line items are shuffled to it once, without what titles don't show."""
+    folder = checkpoints.shared_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    before = size()
+    n = plans.QUERIES["low_confidence"](spark, SF).count()
+    assert n > 500 and size() - before < 100 * n
+    plan = V.titles(spark, SF).select("id", "title")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(video") == 1 and "p_type" not in plan and "l_returnflag" not in plan
